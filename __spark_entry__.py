@@ -61,7 +61,11 @@ def _counts(s: Study, *cohort_ids: str) -> DataFrame:
 
 
 def _scores(s: Study, cutoff: float | None = None) -> DataFrame:
-    return compare.concept_scores(s.population_counts(), _counts(s, BUILDING), None, cutoff)
+    """Scores of the BUILDING customers, from their stored counts."""
+    cohort_id, size = s.ensure_cohorts(retail.BUILDING)[retail.BUILDING]
+    return compare.concept_scores(
+        s.population_counts(), s.store().cohort(cohort_id), None, cutoff, size
+    )
 
 
 def active_patients(s: Study) -> DataFrame:
@@ -94,8 +98,9 @@ def concept_names(s: Study) -> DataFrame:
 
 
 def population_counts(s: Study) -> DataFrame:
-    n_active = s.active().agg(F.count("*")).scalar()
-    return _rounded(counts.population_counts(s.patient_concepts(), s.concept_names(), n_active))
+    return _rounded(
+        counts.population_counts(s.patient_concepts(), s.concept_names(), s.n_active())
+    )
 
 
 def concept_schemes(s: Study) -> DataFrame:

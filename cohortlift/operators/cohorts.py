@@ -72,6 +72,7 @@ def cohort_members(
         )
         .distinct()
         .join(active, "pn", "left_semi")
+        .select("cohort_id", "pn")
     )
 
 

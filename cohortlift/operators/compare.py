@@ -40,13 +40,17 @@ def concept_scores(
     test: DataFrame,
     reference: DataFrame | None = None,
     cutoff: float | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Score every code of one cohort's ``(ccd, cnt, frc)`` against the population or a cohort.
 
     Codes absent from the reference are left out, and codes (``TOTAL`` too) with a reference
-    count below ``cutoff``.
+    count below ``cutoff``. The cohort's ``size`` is read from its ``TOTAL`` row if not given.
     """
-    size = test.where(F.col("ccd") == TOTAL).select("cnt").scalar()
+    if size is None:
+        n = test.where(F.col("ccd") == TOTAL).select("cnt").scalar()
+    else:
+        n = F.lit(size)
     rows = test.select("ccd", F.col("cnt").alias("test"), F.col("frc").alias("frc_test"))
     if reference is None:
         base = population.withColumnsRenamed({"total": "ref", "frc_total": "frc_ref"})
@@ -62,7 +66,7 @@ def concept_scores(
         base.join(rows, "ccd")
         .withColumns(
             {
-                "chisq": scores.chisq(F.col("test"), size, q, p),
+                "chisq": scores.chisq(F.col("test"), n, q, p),
                 "odds_ratio": scores.odds_ratio(q, p),
                 "dir": scores.direction(q, p),
             }
@@ -85,14 +89,18 @@ def compare(
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    allowed = scheme_filter(schemes, patterns).withColumnRenamed("c_name", "prefix")
     is_total = F.col("ccd") == TOTAL
-    codes_ = scored.where(~is_total).join(allowed, "prefix", "left_semi")
-    if limit is not None:
-        over = codes_.orderBy(*rank_order(rank_by)).limit(limit)
-        under = codes_.orderBy(*rank_order(rank_by, most_over_first=False)).limit(limit)
-        codes_ = over.union(under).distinct()
-    return scored.where(is_total).unionByName(codes_).orderBy(*result_order(rank_by))
+    total = scored.where(is_total)
+    codes_ = scored.where(~is_total & F.col("prefix").isNotNull())
+    if patterns and ALL not in patterns:
+        allowed = scheme_filter(schemes, patterns).withColumnRenamed("c_name", "prefix")
+        codes_ = codes_.join(allowed, "prefix", "left_semi").select(*scored.columns)
+    if limit is None:
+        return total.unionByName(codes_).orderBy(*result_order(rank_by))
+    over = codes_.orderBy(*rank_order(rank_by)).limit(limit)
+    under = codes_.orderBy(*rank_order(rank_by, most_over_first=False)).limit(limit)
+    both = over.union(under).distinct()
+    return total.unionByName(both).orderBy(*result_order(rank_by)).limit(2 * limit + 1)
 
 
 def rank_order(rank_by: str = "odds_ratio", most_over_first: bool = True) -> list[Column]:

@@ -56,46 +56,60 @@ def cohort_sizes(members: DataFrame) -> DataFrame:
     )
 
 
+def measure_cohorts(members: DataFrame, cohort_ids: list[str]) -> dict[str, tuple[int, int]]:
+    """``{cohort id: (size, members hash)}`` of the named cohorts, ``(0, 0)`` for empty ones."""
+    named = members.where(F.col("cohort_id").isin(cohort_ids))
+    found = {row[0]: (row[1], row[2]) for row in cohort_sizes(named).collect()}
+    return {c: found.get(c, (0, 0)) for c in cohort_ids}
+
+
 def cohort_counts(
     pairs: DataFrame,
     members: DataFrame,
     population: DataFrame,
-    cohort_ids: list[str],
+    sizes: dict[str, tuple[int, int]],
     colocated: bool = False,
 ) -> DataFrame:
-    """``cohort_id, ccd, cnt, frc, members_hash`` for each cohort and every population code.
-
-    Counts of all cohorts come from one pass over ``pairs``. Codes without a cohort patient get 0;
-    the ``TOTAL`` row holds the cohort's size. Flagged labs are divided by the cohort's count of
-    their base lab. ``members`` are distinct ``(cohort_id, pn)``; cohorts without members may
-    be named in ``cohort_ids``. Say ``colocated`` if ``pairs`` is bucketed by patient: each bucket
-    then probes a hash table of its own share of the members and ``pairs`` is not shuffled.
+    """``cohort_id, ccd, cnt, frc, members_hash`` of each measured cohort for every population code.
+
+    Counts of all cohorts come from one pass over ``pairs``. A zero for every population code joins
+    the same aggregation, so codes without a cohort patient need no join. Flagged labs are divided
+    by the cohort's count of their base lab, other codes by the cohort's size; the ``TOTAL`` row
+    holds the size. ``members`` are distinct ``(cohort_id, pn)``. Say ``colocated`` if ``pairs`` is
+    bucketed by patient: each bucket then probes a hash table of its own share of the members and
+    ``pairs`` is not shuffled.
     """
-    if not cohort_ids:
+    if not sizes:
         raise ValueError("name at least one cohort")
-    members = members.where(F.col("cohort_id").isin(cohort_ids))
-    # One row per named cohort, so the broadcast is as small as the list.
-    sizes = F.broadcast(cohort_sizes(members))
+    ids = list(sizes)
+    members = members.where(F.col("cohort_id").isin(ids))
     probe = members.hint("shuffle_hash") if colocated else members
-    counted = pairs.join(probe, "pn").groupBy("cohort_id", "ccd").agg(F.count("*").alias("cnt"))
-    found = (
-        _with_base_count(counted, "cnt", "cohort_id")
-        .join(sizes, "cohort_id")
-        .select("cohort_id", "ccd", "cnt", _fraction("cnt", F.col("n")).alias("frc"))
+    no, yes = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    hits = pairs.join(probe, "pn").select("cohort_id", "ccd", yes.alias("hit"), no.alias("listed"))
+    zeros = population.select(
+        F.explode(F.array(*[F.lit(c) for c in ids])).alias("cohort_id"),
+        "ccd",
+        no.alias("hit"),
+        yes.alias("listed"),
     )
-    is_total = F.col("ccd") == TOTAL
-    size = F.coalesce("n", F.lit(0))
+    counted = (
+        hits.unionByName(zeros)
+        .groupBy("cohort_id", "ccd")
+        .agg(F.sum("hit").alias("cnt"), F.max("listed").alias("listed"))
+    )
+    cohort, is_total = F.col("cohort_id"), F.col("ccd") == TOTAL
+    n = _by_cohort(cohort, {c: size for c, (size, _) in sizes.items()})
     return (
-        population.select("ccd")
-        .withColumn("cohort_id", F.explode(F.array(*[F.lit(c) for c in cohort_ids])))
-        .join(found, ["cohort_id", "ccd"], "left")
-        .join(sizes, "cohort_id", "left")
+        _with_base_count(counted, "cnt", "cohort_id")
+        .where("listed = 1")
         .select(
             "cohort_id",
             "ccd",
-            F.when(is_total, size).otherwise(F.coalesce("cnt", F.lit(0))).alias("cnt"),
-            F.when(is_total, F.lit(1.0)).otherwise(F.coalesce("frc", F.lit(0.0))).alias("frc"),
-            F.coalesce("members_hash", F.lit(0)).alias("members_hash"),
+            F.when(is_total, n).otherwise(F.col("cnt")).alias("cnt"),
+            F.when(is_total, F.lit(1.0))
+            .otherwise(F.coalesce(_fraction("cnt", n), F.lit(0.0)))
+            .alias("frc"),
+            _by_cohort(cohort, {c: h for c, (_, h) in sizes.items()}).alias("members_hash"),
         )
     )
 
@@ -139,6 +153,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
+def _by_cohort(cohort: Column, values: dict[str, int]) -> Column:
+    entries = [x for c, v in values.items() for x in (F.lit(c), F.lit(v).cast("bigint"))]
+    return F.create_map(*entries)[cohort]
+
+
 def _number(value: Column | int) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

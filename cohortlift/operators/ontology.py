@@ -83,7 +83,7 @@ def concept_branch_map(
         raise ValueError(f"match must be 'prefix' or 'like', not {match!r}")
     dim = F.col("c_dimcode")
     nodes = (
-        branches.where(dim.isNotNull() & F.col("c_basecode").isNotNull())
+        branches.where((dim != "") & (F.col("c_basecode") != ""))
         .groupBy("c_dimcode", "c_basecode")
         .agg(F.max("is_vf").alias("is_vf"))
         .withColumn("head", codes.literal_head(dim) if match == "like" else dim)

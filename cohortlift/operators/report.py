@@ -73,5 +73,6 @@ def report_table(
 
 
 def _fixed(column: str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(column))
+    shown = F.format_string(f"%.{digits}f", F.col(column))
+    return F.when(F.col(column).isNotNull(), shown)
 

@@ -73,6 +73,7 @@ class Study:
         self.rules = rules
         self.stage = stage or StageTables(spark)
         self._store: CohortStore | None = None
+        self._n_active: int | None = None
 
     # Shared tables
 
@@ -81,6 +82,11 @@ class Study:
             "active", lambda: cc.active_patients(self.star.facts, self.rules.active)
         )
 
+    def n_active(self) -> int:
+        if self._n_active is None:
+            self._n_active = self.active().count()
+        return self._n_active
+
     def branches(self) -> DataFrame:
         r = self.rules
         return on.ontology_branches(self.star.ontology, r.branch, r.value_flag, r.every_branch)
@@ -107,7 +113,7 @@ class Study:
     def buckets(self) -> int:
         """Buckets that keep every core busy and hold a bounded number of patients each."""
         cores = self.spark.sparkContext.defaultParallelism
-        return max(cores, math.ceil(self.active().count() / PATIENTS_PER_BUCKET))
+        return max(cores, math.ceil(self.n_active() / PATIENTS_PER_BUCKET))
 
     def concept_names(self) -> DataFrame:
         return cc.concept_names(self.branches(), self.star.concepts)
@@ -119,7 +125,7 @@ class Study:
             lambda: ct.population_counts(
                 self.patient_concepts(),
                 self.concept_names(),
-                self.active().agg(F.count("*")).scalar(),
+                self.n_active(),
                 r.denominator,
                 r.min_total,
                 r.strip,
@@ -136,6 +142,12 @@ class Study:
             self._store = CohortStore(self.spark, f"{self.stage.folder}/cohort_counts")
         return self._store
 
+    def rebuild(self) -> None:
+        """Forget the shared tables and the cohorts counted on them, for changed inputs."""
+        self.stage.drop("active", "branch_map", "pairs", "population", "schemes")
+        self.store().clear()
+        self._n_active = None
+
     def key_violations(self) -> DataFrame:
         """Rows that break the key of a shared table; empty for sound tables."""
         checks = {
@@ -158,13 +170,16 @@ class Study:
     def members(self, sets: dict[str, int]) -> DataFrame:
         return co.cohort_members(self.star.patient_sets, self.active(), sets)
 
-    def compute_cohorts(self, sets: dict[str, int]) -> DataFrame:
+    def compute_cohorts(
+        self, sets: dict[str, int], sizes: dict[str, tuple[int, int]] | None = None
+    ) -> DataFrame:
         """Counts of several patient sets ``{cohort id: patient set}`` in one pass, not stored."""
+        members = self.members(sets)
         return ct.cohort_counts(
             self.patient_concepts(),
-            self.members(sets),
+            members,
             self.population_counts(),
-            list(sets),
+            sizes or ct.measure_cohorts(members, list(sets)),
             colocated=True,
         )
 
@@ -176,26 +191,27 @@ class Study:
         ).collect()
         return {row.cohort_id: row.result_instance_id for row in found}
 
-    def ensure_cohorts(self, *patient_sets: int) -> dict[int, str]:
+    def ensure_cohorts(self, *patient_sets: int) -> dict[int, tuple[str, int]]:
         """Store the counts of these patient sets unless they are stored already.
 
         A stored result is used only if the size and the id hash of its members still hold. All
-        sets that need work share one pass over the patient x concept table.
+        sets that need work share one pass over the patient x concept table. Gives the cohort id
+        and size of every patient set that exists.
         """
         wanted = self.cohort_ids(*patient_sets)
         if not wanted:
             return {}
-        sizes = {r.cohort_id: (r.n, r.members_hash) for r in ct.cohort_sizes(self.members(wanted)).collect()}
+        sizes = ct.measure_cohorts(self.members(wanted), list(wanted))
         stored = {
             r.cohort_id: (r.n, r.members_hash)
             for r in co.stored_cohorts(self.store().read())
             .where(F.col("cohort_id").isin(list(wanted)))
             .collect()
         }
-        missing = {c: r for c, r in wanted.items() if stored.get(c) != sizes.get(c, (0, 0))}
+        missing = {c: r for c, r in wanted.items() if stored.get(c) != sizes[c]}
         if missing:
-            self.store().write(self.compute_cohorts(missing))
-        return {r: c for c, r in wanted.items()}
+            self.store().write(self.compute_cohorts(missing, {c: sizes[c] for c in missing}))
+        return {r: (c, sizes[c][0]) for c, r in wanted.items()}
 
     # Requests
 
@@ -231,14 +247,13 @@ class Study:
             if only_existing:
                 return Run(NO_STORED_QUERY.format(query_master))
         elif only_existing or self._still_holds(old, found):
-            return self._compared(old.cohort_id, None, **options)
-        cohort_id = self.ensure_cohorts(found.result_instance_id)[found.result_instance_id]
-        return self._compared(cohort_id, None, **options)
+            return self._compared((old.cohort_id, old.n), None, **options)
+        ensured = self.ensure_cohorts(found.result_instance_id)
+        return self._compared(ensured[found.result_instance_id], None, **options)
 
     def run_patient_set(self, patient_set: int, only_existing: bool = False, **options) -> Run:
         """Compare a patient set with the population."""
-        cohort_id, problem = self._cohort(patient_set, only_existing)
-        return problem or self._compared(cohort_id, None, **options)
+        return self._run_sets(patient_set, None, only_existing, options)
 
     def run_pair(
         self, test: int, reference: int, only_existing: bool = False, **options
@@ -248,12 +263,7 @@ class Study:
             return Run(IDENTICAL)
         if co.subset_check(self.star.patient_sets, test, reference).first().n_missing > 0:
             return Run(NOT_A_SUBSET)
-        if not only_existing:
-            self.ensure_cohorts(test, reference)
-        reference_id, problem = self._cohort(reference, only_existing, ensured=True)
-        if problem is None:
-            test_id, problem = self._cohort(test, only_existing, ensured=True)
-        return problem or self._compared(test_id, reference_id, **options)
+        return self._run_sets(test, reference, only_existing, options)
 
     def export(self, patient_set: int, reference: int | None = None) -> Run:
         """The stored result as a whole: no limit, every domain, reference count at least 1."""
@@ -262,26 +272,38 @@ class Study:
             return self.run_patient_set(patient_set, **options)
         return self.run_pair(patient_set, reference, **options)
 
-    def _cohort(
-        self, patient_set: int, only_existing: bool, ensured: bool = False
-    ) -> tuple[str | None, Run | None]:
-        if not only_existing:
-            ids = {r: c for c, r in self.cohort_ids(patient_set).items()} if ensured else None
-            cohort_id = (ids or self.ensure_cohorts(patient_set)).get(patient_set)
-            return cohort_id, None if cohort_id else Run(UNKNOWN_SET.format(patient_set))
-        stored = co.stored_cohorts(self.store().read(), result_instance_id=patient_set)
-        cohort_id = co.newest_cohort(stored).first().cohort_id
-        return cohort_id, None if cohort_id else Run(NO_STORED_SET.format(patient_set))
+    def _run_sets(
+        self, test: int, reference: int | None, only_existing: bool, options: dict
+    ) -> Run:
+        wanted = [test] if reference is None else [reference, test]
+        if only_existing:
+            found, absent = self._stored(wanted), NO_STORED_SET
+        else:
+            found, absent = self.ensure_cohorts(*wanted), UNKNOWN_SET
+        for patient_set in wanted:
+            if patient_set not in found:
+                return Run(absent.format(patient_set))
+        return self._compared(found[test], found.get(reference), **options)
+
+    def _stored(self, patient_sets: list[int]) -> dict[int, tuple[str, int]]:
+        """Cohort id and size of the newest stored result of each patient set."""
+        found = {}
+        for patient_set in patient_sets:
+            stored = co.stored_cohorts(self.store().read(), result_instance_id=patient_set)
+            newest = co.newest_cohort(stored).first()
+            if newest.cohort_id is not None:
+                found[patient_set] = (newest.cohort_id, newest.n)
+        return found
 
     def _still_holds(self, old, found) -> bool:
-        size = ct.cohort_sizes(self.members({found.cohort_id: found.result_instance_id})).first()
-        now = (size.n, size.members_hash) if size else (0, 0)
+        members = self.members({found.cohort_id: found.result_instance_id})
+        now = ct.measure_cohorts(members, [found.cohort_id])[found.cohort_id]
         return (old.n, old.members_hash) == now
 
     def _compared(
         self,
-        test_id: str,
-        reference_id: str | None,
+        test: tuple[str, int],
+        reference: tuple[str, int] | None,
         limit: int | str | None = None,
         patterns: list[str] | None = None,
         cutoff: float | None = None,
@@ -291,11 +313,12 @@ class Study:
         store = self.store()
         scored = cmp.concept_scores(
             self.population_counts(),
-            store.cohort(test_id),
-            None if reference_id is None else store.cohort(reference_id),
+            store.cohort(test[0]),
+            None if reference is None else store.cohort(reference[0]),
             cutoff,
+            test[1],
         )
         result = cmp.compare(scored, self.schemes(), limit, patterns, rank_by)
-        return Run(DONE, result, test_id, limit, self.schemes())
+        return Run(DONE, result, test[0], limit, self.schemes())
 
 

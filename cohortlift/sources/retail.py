@@ -23,6 +23,7 @@ _RUNS = [(11, 101, 1), (11, 102, 2), (12, 103, 3), (13, 104, 4), (14, 105, 5)]
 
 # Patient sets of suppliers have ids from here on: master 1000 + supplier, then year, then type.
 _FIRST_SUPPLIER_SET = 100_000
+_OTHER_RESULT = 50_000_000_000
 
 
 def retail_rules() -> Rules:
@@ -35,7 +36,7 @@ def retail_rules() -> Rules:
 
 
 def retail_star(spark: SparkSession, sf_dir: str, stage: StageTables) -> Star:
-    """The star over ``<sf_dir>/*.parquet``; facts and patient sets are written once and then read."""
+    """The star over ``<sf_dir>/*.parquet``, written once as tables and then read."""
 
     def read(name: str, *columns: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -43,11 +44,11 @@ def retail_star(spark: SparkSession, sf_dir: str, stage: StageTables) -> Star:
     patient_sets = stage.table("patient_sets", lambda: _patient_sets(read))
     return Star(
         facts=stage.table("facts", lambda: _facts(read)),
-        concepts=_concepts(read),
-        ontology=_ontology(read),
+        concepts=stage.table("concepts", lambda: _concepts(read)),
+        ontology=stage.table("ontology", lambda: _ontology(read)),
         schemes=_schemes(spark),
         patient_sets=patient_sets,
-        **_lineage(spark, patient_sets),
+        **_lineage(stage.table("runs", lambda: _runs(spark, patient_sets))),
     )
 
 
@@ -170,35 +171,33 @@ def _patient_sets(read) -> DataFrame:
     return by_segment.unionByName(one).unionByName(deliveries)
 
 
-def _lineage(spark: SparkSession, patient_sets: DataFrame) -> dict[str, DataFrame]:
+def _runs(spark: SparkSession, patient_sets: DataFrame) -> DataFrame:
     result = F.col("result_instance_id")
-    instance = F.floor(result / 10).cast("bigint")
     derived = (
         patient_sets.where(result >= _FIRST_SUPPLIER_SET)
         .select("result_instance_id")
         .distinct()
         .select(
-            F.floor(instance / 100).cast("bigint").alias("query_master_id"),
-            instance.alias("query_instance_id"),
+            F.expr("result_instance_id div 1000").alias("query_master_id"),
+            F.expr("result_instance_id div 10").alias("query_instance_id"),
             "result_instance_id",
         )
     )
     named = spark.createDataFrame(
         _RUNS, "query_master_id bigint, query_instance_id bigint, result_instance_id bigint"
     )
-    runs = named.unionByName(derived)
-    # Each run has a patient set and a result of another type, a count, with a higher id.
-    results = runs.select(
-        F.inline(
-            F.array(
-                F.struct(result.alias("id"), F.lit(1).alias("kind")),
-                F.struct((result + 50_000_000_000).alias("id"), F.lit(2).alias("kind")),
-            )
-        ),
-        "query_instance_id",
-    ).select(F.col("id").alias("result_instance_id"), "query_instance_id", F.col("kind").alias("result_type_id"))
+    return named.unionByName(derived)
+
+
+def _lineage(runs: DataFrame) -> dict[str, DataFrame]:
+    """Each run has a patient set and, with a higher id, a result of another type."""
+    result = F.col("result_instance_id")
+    kinds = F.array(
+        F.struct(result.alias("result_instance_id"), F.lit(1).alias("result_type_id")),
+        F.struct((result + _OTHER_RESULT).alias("result_instance_id"), F.lit(2).alias("result_type_id")),
+    )
     return {
         "query_masters": runs.select("query_master_id").distinct(),
         "query_instances": runs.select("query_instance_id", "query_master_id").distinct(),
-        "query_results": results,
+        "query_results": runs.select(F.inline(kinds), "query_instance_id"),
     }

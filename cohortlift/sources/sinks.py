@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cohortlift.operators.compare import domain_list
 
+MAX_DOMAINS = 10_000
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """CSV with a header; quotes are doubled, nulls are empty fields."""
@@ -22,7 +24,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     )
 
 
-def read_csv(spark, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read back what :func:`write_csv` wrote."""
     return (
         spark.read.schema(schema)
@@ -42,14 +44,17 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
 def payload(result: DataFrame | None, schemes: DataFrame | None, status: str, limit: int | None) -> str:
     """``{cols, rows, prefixes, status}`` as one JSON text, for a report of at most ``2 limit + 1`` rows.
 
-    An unlimited result grows with the data and belongs in :func:`write_json`.
+    An unlimited result grows with the data and belongs in :func:`write_json`, and so does a list of
+    more than ``MAX_DOMAINS`` domains.
     """
     if result is None:
         return json.dumps({"cols": [], "rows": [], "status": status})
     if limit is None:
         raise ValueError("a payload needs a limited report; use write_json for a whole result")
     rows = [list(row) for row in result.limit(2 * limit + 1).collect()]
-    domains = [list(row) for row in domain_list(schemes).collect()]
+    domains = [list(row) for row in domain_list(schemes).limit(MAX_DOMAINS + 1).collect()]
+    if len(domains) > MAX_DOMAINS:
+        raise ValueError("too many domains for a payload; use write_json for the domain list")
     return json.dumps(
         {"cols": [c.upper() for c in result.columns], "rows": rows, "prefixes": domains, "status": status}
     )

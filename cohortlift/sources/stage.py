@@ -68,7 +68,14 @@ class CohortStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
-        spark.createDataFrame([], self.SCHEMA).write.mode("append").partitionBy("cohort_id").parquet(path)
+        self._write_nothing("append")
+
+    def clear(self) -> None:
+        self._write_nothing("overwrite")
+
+    def _write_nothing(self, mode: str) -> None:
+        nothing = self.spark.createDataFrame([], self.SCHEMA)
+        nothing.write.mode(mode).partitionBy("cohort_id").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)

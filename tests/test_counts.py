@@ -1,0 +1,309 @@
+import random
+
+import pytest
+
+from cohortlift.operators import cohorts as co
+from cohortlift.operators import concepts as cc
+from cohortlift.operators import counts as ct
+from cohortlift.operators.joins import fits_broadcast
+from cohortlift.sources.star import SCHEMAS
+
+
+def pairs_of(spark, table):
+    """``{code: number of patients or list of patients}`` as a pair table."""
+    data = []
+    for code, patients in table.items():
+        patients = range(patients) if isinstance(patients, int) else patients
+        data += [(p, code) for p in patients]
+    return spark.createDataFrame(data, "pn bigint, ccd string")
+
+
+def names_of(spark, table):
+    return spark.createDataFrame(list(table.items()), "concept_cd string, name string")
+
+
+def test_active_patients_are_distinct(spark, rows):
+    facts = spark.createDataFrame(
+        [(1, "V:in", None), (1, "V:in", None), (2, "X", None), (3, "V:out", "H"), (None, "V:in", None)],
+        SCHEMAS["facts"],
+    )
+    assert rows(cc.active_patients(facts, "concept_cd LIKE 'V:%'")) == [(1,), (3,)]
+
+
+@pytest.fixture(scope="module")
+def clinic(spark):
+    """Facts with one very common code and one very busy patient, and a map with shared branches."""
+    rnd = random.Random(3)
+    data = [(rnd.randrange(40), f"C:{rnd.randrange(12)}", rnd.choice("HLN")) for _ in range(1500)]
+    data += [(p, "C:hot", rnd.choice(["H", "L", None])) for p in range(40) for _ in range(20)]
+    data += [(7, f"C:{rnd.randrange(12)}", "H") for _ in range(700)]
+    data += [(1, "", "H"), (None, "C:1", "H"), (2, None, "L"), (99, "C:1", "H")]
+    branch_map = [(f"C:{i}", f"B:{i % 4}", i % 2 == 0) for i in range(9)]
+    branch_map += [("C:hot", "B:hot", True), ("C:hot", "B:1", False), ("C:unused", "B:9", True)]
+    active = [(p,) for p in range(45)]
+    return data, branch_map, active
+
+
+def expected_pairs(clinic):
+    data, branch_map, active = clinic
+    known = {p for (p,) in active}
+    raw, rolled, flagged = set(), set(), set()
+    for p, code, flag in data:
+        if p in known and code:
+            raw.add((p, code))
+            for c, b, vf in branch_map:
+                if c == code:
+                    rolled.add((p, b))
+                    if vf and flag in ("H", "L"):
+                        flagged.add((p, f"{flag}_{b}"))
+    return raw, rolled, flagged
+
+
+def frames(spark, clinic):
+    data, branch_map, active = clinic
+    return (
+        spark.createDataFrame(data, SCHEMAS["facts"]),
+        spark.createDataFrame(branch_map, "concept_cd string, branch_cd string, is_vf boolean"),
+        spark.createDataFrame(active, "pn bigint"),
+    )
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("partitions", [None, 3])
+def test_patient_concepts_either_way_of_joining(spark, rows, clinic, small, partitions):
+    facts, branch_map, active = frames(spark, clinic)
+    raw, rolled, flagged = expected_pairs(clinic)
+    expansion = cc.code_expansion(branch_map)
+    pairs = cc.patient_concepts(facts, active, expansion, partitions, small)
+    assert rows(pairs) == sorted(raw | rolled | flagged)
+    assert rows(cc.concept_rollup(branch_map, facts, active, small)) == sorted(rolled)
+    assert rows(cc.abnormal_flags(branch_map, facts, active, small)) == sorted(flagged)
+
+
+def test_facts_are_scanned_once_and_the_last_distinct_is_local(spark, plan, clinic, tmp_path):
+    facts, branch_map, active = frames(spark, clinic)
+    facts.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    text = plan(cc.patient_concepts(facts, active, cc.code_expansion(branch_map), 4, small=True))
+    assert text.count("FileScan") == 1
+    top = text[: text.index("REPARTITION_BY_NUM")]
+    assert top.count("Exchange hashpartitioning") == 1  # the one by patient
+    assert "concept_cd" in text[text.index("PushedFilters") :]
+
+
+def test_a_bound_is_measured_in_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 100) s")
+    assert fits_broadcast(df, 100, 100_000)
+    assert not fits_broadcast(df, 99, 100_000)
+    assert not fits_broadcast(df, 100, 10_000)
+    assert fits_broadcast(df.limit(0), 0, 0)
+
+
+def test_names_take_the_smallest(spark, rows):
+    branches = spark.createDataFrame(
+        [("B:1", "d", "zeta", "f", 5, "FA"), ("B:1", "e", "beta", "f", 5, "FA"), (None, "e", "a", "f", 5, "FA")],
+        SCHEMAS["ontology"],
+    )
+    dimension = spark.createDataFrame(
+        [("/p/", "B:1", "alpha"), ("/q/", "C:1", None), ("/r/", "C:2", ""), ("/s/", "C:2", "two")],
+        SCHEMAS["concepts"],
+    )
+    assert rows(cc.concept_names(branches, dimension)) == [
+        ("B:1", "alpha"),
+        ("C:1", None),
+        ("C:2", "two"),
+    ]
+
+
+POPULATION = {
+    "LOINC:123-4": 20,
+    "H_LOINC:123-4": 15,
+    "L_LOINC:123-4": 11,
+    "H_LOINC:rare-1": 12,
+    "LOINC:rare-1": list(range(12)),
+    "H_OTHER:1": 14,
+    "OTHER:1": 18,
+    "H_LOINC:none-1": 13,
+    "TEN": 10,
+    "NAACCR|400": 11,
+    "PLAIN": 12,
+}
+
+
+def test_population_counts(spark):
+    names = names_of(spark, {"LOINC:123-4": "sodium", "PLAIN": "plain", "TEN": "ten"})
+    got = {
+        r.ccd: r for r in ct.population_counts(pairs_of(spark, POPULATION), names, 40).collect()
+    }
+    assert "TEN" not in got and len(got) == len(POPULATION)
+    assert (got["LOINC:123-4"].prefix, got["LOINC:123-4"].name) == ("LOINC", "sodium")
+    assert got["LOINC:123-4"].frc_total == 20 / 40
+    assert got["H_LOINC:123-4"].name == "[ABOVE REFERENCE] sodium"
+    assert got["H_LOINC:123-4"].prefix == "LOINC"
+    assert got["H_LOINC:123-4"].frc_total == 15 / 20
+    assert got["L_LOINC:123-4"].frc_total == 11 / 20
+    assert got["H_LOINC:rare-1"].name == "[ABOVE REFERENCE] "
+    assert got["H_OTHER:1"].frc_total == 14 / 40  # only labs are divided by their base
+    assert got["H_LOINC:none-1"].frc_total == 13 / 40
+    assert got["NAACCR|400"].prefix == "NAACCR" and got["PLAIN"].prefix == "PLAIN"
+    assert tuple(got["TOTAL"]) == ("TOTAL", "TOTAL", "All Patients in Population", 40, 1.0)
+
+
+def test_population_denominators_ignore_the_minimum(spark):
+    pairs = pairs_of(spark, {"LOINC:1-1": 4, "H_LOINC:1-1": 12})
+    got = {r.ccd: r for r in ct.population_counts(pairs, names_of(spark, {"x": "y"}), 40).collect()}
+    assert "LOINC:1-1" not in got
+    assert got["H_LOINC:1-1"].frc_total == 12 / 4
+
+
+def test_a_site_may_fix_the_population_denominator(spark):
+    pairs = pairs_of(spark, {"A:1": 12, "ABCH_X:1": 12})
+    names = names_of(spark, {"ABCH_X:1": "whole", "ABCX:1": "stripped"})
+    fixed = ct.population_counts(pairs, names, 40, denominator=383752, min_total=5)
+    got = {r.ccd: r for r in fixed.collect()}
+    assert got["A:1"].frc_total == 12 / 383752
+    assert (got["TOTAL"].total, got["TOTAL"].frc_total) == (40, 1.0)
+    assert (got["ABCH_X:1"].prefix, got["ABCH_X:1"].name) == ("ABCH_X", "whole")
+    everywhere = ct.population_counts(pairs, names, 40, strip="anywhere").where("ccd like 'ABC%'")
+    assert (everywhere.first().prefix, everywhere.first().name) == ("ABCX", "stripped")
+
+
+def test_cohort_counts(spark, rows):
+    pairs = pairs_of(spark, POPULATION)
+    population = ct.population_counts(pairs, names_of(spark, {"x": "y"}), 40)
+    members = spark.createDataFrame(
+        [("A", p) for p in (0, 5, 13, 18)] + [("B", 12)] + [("unnamed", 1)],
+        "cohort_id string, pn bigint",
+    )
+    ids = ["A", "B", "EMPTY"]
+    sizes = ct.measure_cohorts(members, ids)
+    assert {c: n for c, (n, _) in sizes.items()} == {"A": 4, "B": 1, "EMPTY": 0}
+    for colocated in (False, True):
+        counts = ct.cohort_counts(pairs, members, population, sizes, colocated)
+        got = {(r.cohort_id, r.ccd): r for r in counts.collect()}
+        assert len(got) == 3 * population.count()
+        assert (got["A", "LOINC:123-4"].cnt, got["A", "LOINC:123-4"].frc) == (4, 1.0)
+        assert (got["A", "H_LOINC:123-4"].cnt, got["A", "H_LOINC:123-4"].frc) == (3, 3 / 4)
+        assert (got["A", "PLAIN"].cnt, got["A", "PLAIN"].frc) == (2, 2 / 4)
+        assert (got["A", "H_OTHER:1"].cnt, got["A", "H_OTHER:1"].frc) == (3, 3 / 4)
+        assert (got["B", "PLAIN"].cnt, got["B", "PLAIN"].frc) == (0, 0.0)
+        assert (got["B", "OTHER:1"].cnt, got["B", "OTHER:1"].frc) == (1, 1.0)
+        for c, n in (("A", 4), ("B", 1), ("EMPTY", 0)):
+            assert (got[c, "TOTAL"].cnt, got[c, "TOTAL"].frc) == (n, 1.0)
+        assert all(r.cnt == 0 and r.frc == 0.0 for k, r in got.items() if k[0] == "EMPTY" and k[1] != "TOTAL")
+    with pytest.raises(ValueError):
+        ct.cohort_counts(pairs, members, population, {})
+
+
+def test_cohort_lab_denominator_ignores_the_minimum(spark):
+    pairs = pairs_of(spark, {"LOINC:1-1": 4, "H_LOINC:1-1": 12})
+    population = ct.population_counts(pairs, names_of(spark, {"x": "y"}), 40)
+    members = spark.createDataFrame([("A", p) for p in range(6)], "cohort_id string, pn bigint")
+    counts = ct.cohort_counts(pairs, members, population, ct.measure_cohorts(members, ["A"]))
+    got = {r.ccd: (r.cnt, r.frc) for r in counts.collect()}
+    assert got == {"H_LOINC:1-1": (6, 6 / 4), "TOTAL": (6, 1.0)}
+
+
+def test_wide_counts_have_two_columns_per_cohort(spark):
+    pairs = pairs_of(spark, {"A:1": 12, "B:1": 20})
+    population = ct.population_counts(pairs, names_of(spark, {"A:1": "a"}), 20)
+    members = spark.createDataFrame([("M1_I1_R1", 15), ("M1_I2_R2", 3)], "cohort_id string, pn bigint")
+    ids = ["M1_I1_R1", "M1_I2_R2"]
+    counts = ct.cohort_counts(pairs, members, population, ct.measure_cohorts(members, ids))
+    wide = ct.counts_wide(population, counts, ids)
+    assert wide.columns[5:] == ["M1_I1_R1", "frc_M1_I1_R1", "M1_I2_R2", "frc_M1_I2_R2"]
+    got = {r.ccd: tuple(r)[5:] for r in wide.collect()}
+    assert got == {"A:1": (0, 0.0, 1, 1.0), "B:1": (1, 1.0, 1, 1.0), "TOTAL": (1, 1.0, 1, 1.0)}
+
+
+def test_schemes_describe_themselves_by_default(spark, rows):
+    pairs = pairs_of(spark, {"A:1": 12, "B:1": 12, "C:1": 12, "NAACCR|1": 12})
+    population = ct.population_counts(pairs, names_of(spark, {"x": "y"}), 20)
+    schemes = spark.createDataFrame(
+        [("A:", "A", "Alpha"), ("", "B", ""), ("Z:", "Z", "unused")], SCHEMAS["schemes"]
+    )
+    assert rows(ct.concept_schemes(population, schemes), "c_key", "c_name", "c_description") == [
+        ("A:", "A", "Alpha"),
+        ("B", "B", "B"),
+        ("C", "C", "C"),
+        ("NAACCR", "NAACCR", "NAACCR"),
+        ("TOTAL", "TOTAL", "TOTAL"),
+    ]
+
+
+def test_duplicate_keys(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c")], "pn int, ccd string")
+    assert rows(ct.duplicate_keys(df, ["pn", "ccd"])) == [(None, "c", 2), (1, "a", 2)]
+    assert rows(ct.duplicate_keys(df.distinct(), ["pn", "ccd"])) == []
+
+
+@pytest.fixture(scope="module")
+def history(spark):
+    masters = spark.createDataFrame([(1,), (2,), (3,)], SCHEMAS["query_masters"])
+    instances = spark.createDataFrame(
+        [(10, 1), (11, 1), (20, 2), (30, 3)], SCHEMAS["query_instances"]
+    )
+    results = spark.createDataFrame(
+        [(100, 10, 1), (105, 11, 1), (109, 11, 2), (200, 20, 1), (300, 30, 2)],
+        SCHEMAS["query_results"],
+    )
+    sets = spark.createDataFrame(
+        [(100, 1), (100, 2), (100, 2), (105, 1), (109, 5), (300, 1), (105, 50)], SCHEMAS["patient_sets"]
+    )
+    return masters, instances, results, sets
+
+
+def test_latest_patient_set_of_a_query(spark, rows, history):
+    found = co.resolve_query(*history)
+    assert rows(found) == [(1, 11, 105, "M1_I11_R105")]  # 2 has no members, 3 no patient set
+    assert rows(co.resolve_query(*history, 1)) == rows(found)
+    assert rows(co.resolve_query(*history, 2)) == []
+
+
+def test_lineage_of_a_patient_set(spark, rows, history):
+    assert rows(co.resolve_patient_set(*history[:3])) == [
+        (1, 10, 100, "M1_I10_R100"),
+        (1, 11, 105, "M1_I11_R105"),
+        (2, 20, 200, "M2_I20_R200"),
+    ]
+    assert rows(co.resolve_patient_set(*history[:3], 109)) == []
+    assert len(rows(co.resolve_patient_set(*history[:3], [100, 200]))) == 2
+
+
+def test_members_are_active_and_distinct(spark, rows, history):
+    active = spark.createDataFrame([(1,), (2,), (3,)], "pn bigint")
+    assert rows(co.cohort(history[3], active, 100)) == [(1,), (2,)]
+    assert rows(co.cohort(history[3], active, 105)) == [(1,)]
+    assert rows(co.cohort(history[3], active, 77)) == []
+    both = co.cohort_members(history[3], active, {"A": 100, "B": 105})
+    assert rows(both) == [("A", 1), ("A", 2), ("B", 1)]
+
+
+def test_subset_check_uses_raw_members(spark, history):
+    def missing(test, reference):
+        return co.subset_check(history[3], test, reference).first().n_missing
+
+    assert missing(100, 100) == 0
+    assert missing(300, 100) == 0
+    assert missing(100, 105) == 1
+    assert missing(105, 100) == 1  # patient 50, active or not
+    assert missing(77, 100) == 0
+
+
+def test_stored_cohorts(spark, rows):
+    counts = spark.createDataFrame(
+        [
+            (code, n, 1.0, n * 7, c)
+            for c, n in (("M9_I1_R5", 3), ("M10_I1_R5", 4), ("M10_I2_R6", 5), ("M1_I1_R55", 6))
+            for code in ("TOTAL", "A:1")
+        ],
+        "ccd string, cnt bigint, frc double, members_hash bigint, cohort_id string",
+    )
+    assert rows(co.stored_cohorts(counts, query_master_id=10), "cohort_id") == [
+        ("M10_I1_R5",),
+        ("M10_I2_R6",),
+    ]
+    assert rows(co.stored_cohorts(counts, query_master_id=1), "cohort_id", "n") == [("M1_I1_R55", 6)]
+    # The newest by number, not by text.
+    assert set(rows(co.existing_cohort(counts, result_instance_id=5), "cohort_id")) == {("M10_I1_R5",)}
+    assert rows(co.existing_cohort(counts, result_instance_id=555)) == []
