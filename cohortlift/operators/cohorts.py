@@ -60,16 +60,14 @@ def cohort(patient_sets: DataFrame, active: DataFrame, result_instance_id: int)
 def cohort_members(
     patient_sets: DataFrame, active: DataFrame, sets: dict[str, int]
 ) -> DataFrame:
-    """Distinct active ``(cohort_id, pn)`` of several patient sets in one scan."""
-    label = F.create_map(
-        *[x for c, r in sets.items() for x in (F.lit(r).cast("bigint"), F.lit(c))]
+    """Distinct active ``(cohort_id, pn)`` of several patient sets ``{cohort id: set}`` in one scan."""
+    named = patient_sets.sparkSession.createDataFrame(
+        list(sets.items()), "cohort_id string, result_instance_id bigint"
     )
     return (
         patient_sets.where(F.col("result_instance_id").isin(list(sets.values())))
-        .select(
-            label[F.col("result_instance_id").cast("bigint")].alias("cohort_id"),
-            F.col("patient_num").alias("pn"),
-        )
+        .join(F.broadcast(named), "result_instance_id")  # no larger than the dict
+        .select("cohort_id", F.col("patient_num").alias("pn"))
         .distinct()
         .join(active, "pn", "left_semi")
         .select("cohort_id", "pn")

@@ -72,44 +72,45 @@ def cohort_counts(
 ) -> DataFrame:
     """``cohort_id, ccd, cnt, frc, members_hash`` of each measured cohort for every population code.
 
-    Counts of all cohorts come from one pass over ``pairs``. A zero for every population code joins
-    the same aggregation, so codes without a cohort patient need no join. Flagged labs are divided
-    by the cohort's count of their base lab, other codes by the cohort's size; the ``TOTAL`` row
-    holds the size. ``members`` are distinct ``(cohort_id, pn)``. Say ``colocated`` if ``pairs`` is
-    bucketed by patient: each bucket then probes a hash table of its own share of the members and
-    ``pairs`` is not shuffled.
+    Counts of all cohorts come from one pass over ``pairs``. A zero for every population code, which
+    carries the cohort's measures, joins the same aggregation, so that codes without a cohort
+    patient need no join. Flagged labs are divided by the cohort's count of their base lab, other
+    codes by the cohort's size; the ``TOTAL`` row holds the size. ``members`` are distinct
+    ``(cohort_id, pn)``. Say ``colocated`` if ``pairs`` is bucketed by patient: each bucket then
+    probes a hash table of its own share of the members and ``pairs`` is not shuffled.
     """
     if not sizes:
         raise ValueError("name at least one cohort")
-    ids = list(sizes)
-    members = members.where(F.col("cohort_id").isin(ids))
+    members = members.where(F.col("cohort_id").isin(list(sizes)))
     probe = members.hint("shuffle_hash") if colocated else members
-    no, yes = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    hits = pairs.join(probe, "pn").select("cohort_id", "ccd", yes.alias("hit"), no.alias("listed"))
-    zeros = population.select(
-        F.explode(F.array(*[F.lit(c) for c in ids])).alias("cohort_id"),
-        "ccd",
-        no.alias("hit"),
-        yes.alias("listed"),
+    hits = pairs.join(probe, "pn").select(
+        "cohort_id", "ccd", F.lit(1).alias("hit"), *[_null_long(c) for c in ("n", "members_hash")]
     )
+    listed = [
+        F.struct(F.lit(c).alias("cohort_id"), _long(n).alias("n"), _long(h).alias("members_hash"))
+        for c, (n, h) in sizes.items()
+    ]
+    zeros = population.select(F.inline(F.array(*listed)), "ccd", F.lit(0).alias("hit"))
     counted = (
         hits.unionByName(zeros)
         .groupBy("cohort_id", "ccd")
-        .agg(F.sum("hit").alias("cnt"), F.max("listed").alias("listed"))
+        .agg(
+            F.sum("hit").alias("cnt"),
+            F.max("n").alias("n"),
+            F.max("members_hash").alias("members_hash"),
+        )
     )
-    cohort, is_total = F.col("cohort_id"), F.col("ccd") == TOTAL
-    n = _by_cohort(cohort, {c: size for c, (size, _) in sizes.items()})
+    is_total = F.col("ccd") == TOTAL
+    fraction = F.coalesce(_fraction("cnt", F.col("n")), F.lit(0.0))
     return (
         _with_base_count(counted, "cnt", "cohort_id")
-        .where("listed = 1")
+        .where("n is not null")  # codes of the population only
         .select(
             "cohort_id",
             "ccd",
-            F.when(is_total, n).otherwise(F.col("cnt")).alias("cnt"),
-            F.when(is_total, F.lit(1.0))
-            .otherwise(F.coalesce(_fraction("cnt", n), F.lit(0.0)))
-            .alias("frc"),
-            _by_cohort(cohort, {c: h for c, (_, h) in sizes.items()}).alias("members_hash"),
+            F.when(is_total, F.col("n")).otherwise(F.col("cnt")).alias("cnt"),
+            F.when(is_total, F.lit(1.0)).otherwise(fraction).alias("frc"),
+            "members_hash",
         )
     )
 
@@ -153,9 +154,12 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def _by_cohort(cohort: Column, values: dict[str, int]) -> Column:
-    entries = [x for c, v in values.items() for x in (F.lit(c), F.lit(v).cast("bigint"))]
-    return F.create_map(*entries)[cohort]
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _null_long(name: str) -> Column:
+    return F.lit(None).cast("bigint").alias(name)
 
 
 def _number(value: Column | int) -> Column:
@@ -163,7 +167,7 @@ def _number(value: Column | int) -> Column:
 
 
 def _with_base_count(counted: DataFrame, count: str, *group: str) -> DataFrame:
-    """Add ``base_count``: for a flagged lab code, the count of the lab without the flag.
+    """Add ``base_count``: for a flagged lab code, the count of the lab without the flag, if any.
 
     A base code's window holds at most three rows (itself, high and low), so this replaces two
     self-joins of the counts without making large groups.
@@ -174,7 +178,7 @@ def _with_base_count(counted: DataFrame, count: str, *group: str) -> DataFrame:
     family = Window.partitionBy(*group, "_base")
     return (
         counted.withColumn("_base", base)
-        .withColumn("_of_base", F.max(F.when(is_base, F.col(count))).over(family))
+        .withColumn("_of_base", F.max(F.when(is_base & (F.col(count) > 0), F.col(count))).over(family))
         .withColumn("base_count", F.when(codes.is_flagged(ccd), F.col("_of_base")))
         .drop("_base", "_of_base")
     )

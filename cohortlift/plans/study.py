@@ -27,6 +27,7 @@ UNKNOWN_SET = "ERROR, patient set (PSID={0}) not found in QT tables"
 UNKNOWN_QUERY = "ERROR, QMID {0} has no patient set result instance"
 
 PATIENTS_PER_BUCKET = 50_000
+MEMBERS_PER_BUCKET = 1_000_000  # above, members are sorted (and may spill) and not hashed
 
 
 @dataclass(frozen=True)
@@ -175,12 +176,14 @@ class Study:
     ) -> DataFrame:
         """Counts of several patient sets ``{cohort id: patient set}`` in one pass, not stored."""
         members = self.members(sets)
+        sizes = sizes or ct.measure_cohorts(members, list(sets))
+        per_bucket = sum(n for n, _ in sizes.values()) / self.buckets()
         return ct.cohort_counts(
             self.patient_concepts(),
             members,
             self.population_counts(),
-            sizes or ct.measure_cohorts(members, list(sets)),
-            colocated=True,
+            sizes,
+            colocated=per_bucket <= MEMBERS_PER_BUCKET,
         )
 
     def cohort_ids(self, *patient_sets: int) -> dict[str, int]:

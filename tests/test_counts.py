@@ -124,6 +124,8 @@ POPULATION = {
     "H_OTHER:1": 14,
     "OTHER:1": 18,
     "H_LOINC:none-1": 13,
+    "LOINC:odd-1": list(range(20, 40)),
+    "H_LOINC:odd-1": 12,
     "TEN": 10,
     "NAACCR|400": 11,
     "PLAIN": 12,
@@ -184,6 +186,9 @@ def test_cohort_counts(spark, rows):
         assert len(got) == 3 * population.count()
         assert (got["A", "LOINC:123-4"].cnt, got["A", "LOINC:123-4"].frc) == (4, 1.0)
         assert (got["A", "H_LOINC:123-4"].cnt, got["A", "H_LOINC:123-4"].frc) == (3, 3 / 4)
+        assert (got["A", "LOINC:odd-1"].cnt, got["A", "LOINC:odd-1"].frc) == (0, 0.0)
+        # Without a cohort patient in its base lab a flagged lab is divided by the cohort's size.
+        assert (got["A", "H_LOINC:odd-1"].cnt, got["A", "H_LOINC:odd-1"].frc) == (2, 2 / 4)
         assert (got["A", "PLAIN"].cnt, got["A", "PLAIN"].frc) == (2, 2 / 4)
         assert (got["A", "H_OTHER:1"].cnt, got["A", "H_OTHER:1"].frc) == (3, 3 / 4)
         assert (got["B", "PLAIN"].cnt, got["B", "PLAIN"].frc) == (0, 0.0)
