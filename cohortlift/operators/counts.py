@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cohortlift.functions import codes
 from cohortlift.functions.codes import TOTAL, TOTAL_NAME
 
+MEMBERS_PER_BUCKET = 1_000_000  # above, members are sorted (and may spill) and not hashed
+
 
 def population_counts(
     pairs: DataFrame,
@@ -68,7 +70,7 @@ def cohort_counts(
     members: DataFrame,
     population: DataFrame,
     sizes: dict[str, tuple[int, int]],
-    colocated: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``cohort_id, ccd, cnt, frc, members_hash`` of each measured cohort for every population code.
 
@@ -76,14 +78,18 @@ def cohort_counts(
     carries the cohort's measures, joins the same aggregation, so that codes without a cohort
     patient need no join. Flagged labs are divided by the cohort's count of their base lab, other
     codes by the cohort's size; the ``TOTAL`` row holds the size. ``members`` are distinct
-    ``(cohort_id, pn)``. Say ``colocated`` if ``pairs`` is bucketed by patient: each bucket then
-    probes a hash table of its own share of the members and ``pairs`` is not shuffled.
+    ``(cohort_id, pn)``. If ``pairs`` has ``buckets`` by patient, only the members are shuffled: each
+    bucket probes a hash table of its share of them or, if the share is large, is merged with it.
     """
     if not sizes:
         raise ValueError("name at least one cohort")
     members = members.where(F.col("cohort_id").isin(list(sizes)))
-    probe = members.hint("shuffle_hash") if colocated else members
-    hits = pairs.join(probe, "pn").select(
+    if buckets:
+        # Spelled out, as otherwise the side with more partitions would set the number for both.
+        members = members.repartition(buckets, "pn")
+        if sum(n for n, _ in sizes.values()) / buckets <= MEMBERS_PER_BUCKET:
+            members = members.hint("shuffle_hash")
+    hits = pairs.join(members, "pn").select(
         "cohort_id", "ccd", F.lit(1).alias("hit"), *[_null_long(c) for c in ("n", "members_hash")]
     )
     listed = [

@@ -26,8 +26,10 @@ NO_STORED_QUERY = "No data for QMID {0}, try running without -e/--exists"
 UNKNOWN_SET = "ERROR, patient set (PSID={0}) not found in QT tables"
 UNKNOWN_QUERY = "ERROR, QMID {0} has no patient set result instance"
 
-PATIENTS_PER_BUCKET = 50_000
-MEMBERS_PER_BUCKET = 1_000_000  # above, members are sorted (and may spill) and not hashed
+PATIENTS_PER_BUCKET = 10_000
+
+# Nearly all keys of the distinct facts are new, so a small first-level hash map only costs time.
+MANY_KEYS = {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
 
 
 @dataclass(frozen=True)
@@ -108,8 +110,8 @@ class Study:
                 self.star.facts, self.active(), cc.code_expansion(self.branch_map()), self.buckets()
             )
 
-        exists = self.spark.catalog.tableExists(f"{self.stage.prefix}_pairs")
-        return self.stage.table("pairs", build, "pn", None if exists else self.buckets())
+        buckets = None if self.stage.exists("pairs") else self.buckets()
+        return self.stage.table("pairs", build, "pn", buckets, MANY_KEYS)
 
     def buckets(self) -> int:
         """Buckets that keep every core busy and hold a bounded number of patients each."""
@@ -176,14 +178,12 @@ class Study:
     ) -> DataFrame:
         """Counts of several patient sets ``{cohort id: patient set}`` in one pass, not stored."""
         members = self.members(sets)
-        sizes = sizes or ct.measure_cohorts(members, list(sets))
-        per_bucket = sum(n for n, _ in sizes.values()) / self.buckets()
         return ct.cohort_counts(
             self.patient_concepts(),
             members,
             self.population_counts(),
-            sizes,
-            colocated=per_bucket <= MEMBERS_PER_BUCKET,
+            sizes or ct.measure_cohorts(members, list(sets)),
+            self.stage.bucket_count("pairs"),
         )
 
     def cohort_ids(self, *patient_sets: int) -> dict[str, int]:

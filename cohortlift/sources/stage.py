@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="cohortlift-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlift-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 class StageTables:
@@ -40,20 +40,48 @@ class StageTables:
         build: Callable[[], DataFrame],
         bucket_by: str | None = None,
         buckets: int | None = None,
+        conf: dict[str, str] | None = None,
     ) -> DataFrame:
-        """The stage table ``name``, written from ``build()`` if it does not exist yet."""
-        full = f"{self.prefix}_{name}"
-        if not self.spark.catalog.tableExists(full):
-            writer = build().write.format("parquet").mode("overwrite")
-            if bucket_by and buckets:
-                writer = writer.bucketBy(buckets, bucket_by)
-            writer.option("path", f"{self.folder}/{name}").saveAsTable(full)
-        return self.spark.table(full)
+        """The stage table ``name``, written from ``build()`` if it does not exist yet.
+
+        Buckets are sorted by their key. ``conf`` holds for the session while the table is written.
+        """
+        if not self.exists(name):
+            with _conf(self.spark, conf or {}):
+                writer = build().write.format("parquet").mode("overwrite")
+                if bucket_by and buckets:
+                    writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+                writer.option("path", f"{self.folder}/{name}").saveAsTable(self._full(name))
+        return self.spark.table(self._full(name))
+
+    def exists(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(self._full(name))
+
+    def bucket_count(self, name: str) -> int | None:
+        """Number of buckets a written table has, or None."""
+        details = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self._full(name)}")
+        found = details.where("col_name = 'Num Buckets'").first()
+        return int(found.data_type) if found else None
+
+    def _full(self, name: str) -> str:
+        return f"{self.prefix}_{name}"
 
     def drop(self, *names: str) -> None:
         """Forget stage tables, so that they are built anew when next asked for."""
         for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
+
+
+@contextmanager
+def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 class CohortStore:

@@ -180,8 +180,8 @@ def test_cohort_counts(spark, rows):
     ids = ["A", "B", "EMPTY"]
     sizes = ct.measure_cohorts(members, ids)
     assert {c: n for c, (n, _) in sizes.items()} == {"A": 4, "B": 1, "EMPTY": 0}
-    for colocated in (False, True):
-        counts = ct.cohort_counts(pairs, members, population, sizes, colocated)
+    for buckets in (None, 3):
+        counts = ct.cohort_counts(pairs, members, population, sizes, buckets)
         got = {(r.cohort_id, r.ccd): r for r in counts.collect()}
         assert len(got) == 3 * population.count()
         assert (got["A", "LOINC:123-4"].cnt, got["A", "LOINC:123-4"].frc) == (4, 1.0)

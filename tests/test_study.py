@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlift import Rules, Star, StageTables, Study, catalog_star, read_star
+from cohortlift.operators import counts as ct
 from cohortlift.plans import study as st
 from cohortlift.sources import retail
 from cohortlift.sources.stage import shared_folder
@@ -34,11 +35,32 @@ def test_invariants(study):
     assert joined.count() == 2 * study.population_counts().count()
 
 
-def test_pairs_are_bucketed_and_counted_without_a_shuffle(study, plan):
-    text = plan(study.compute_cohorts({"A": retail.BUILDING}))
-    assert "Bucketed: true" in text
-    scan = text[text.index("ShuffledHashJoin") : text.index("_pairs")]
+@pytest.mark.parametrize("partitions", [2, 50])
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+@pytest.mark.parametrize("per_bucket", [0, 1_000_000])
+def test_cohorts_do_not_shuffle_the_pairs(study, plan, monkeypatch, partitions, broadcast, per_bucket):
+    """With more or fewer shuffle partitions than buckets, hashed or sorted."""
+    study.population_counts()
+    monkeypatch.setattr(ct, "MEMBERS_PER_BUCKET", per_bucket)
+    conf = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.autoBroadcastJoinThreshold": broadcast,
+    }
+    before = {key: study.spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            study.spark.conf.set(key, value)
+        text = plan(study.compute_cohorts({"A": retail.BUILDING}))
+    finally:
+        for key, value in before.items():
+            study.spark.conf.set(key, value)
+    if per_bucket == 0 and broadcast == "10m":
+        assert "BroadcastHashJoin [pn" in text  # AQE found the few members to be small
+        return
+    join = "ShuffledHashJoin [pn" if per_bucket else "SortMergeJoin [pn"
+    scan = text[text.index(join) : text.index("_pairs[")]
     assert "Exchange" not in scan
+    assert "Bucketed: true" in text
 
 
 def test_active_filter_reaches_the_files(study, plan):
@@ -229,6 +251,46 @@ def test_catalog_reader_and_missing_columns(spark, tmp_path):
         Star(**{**tables, "facts": star.facts.drop("valueflag_cd")})
 
 
-def test_shared_folder_is_the_one_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    assert shared_folder(spark) == (named or shared_folder(spark)).rstrip("/")
+class FakeSession:
+    """A session as far as the choice of the shared folder goes."""
+
+    def __init__(self, master, named=None, made=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master = master
+        self.made = made
+
+    def getCheckpointDir(self):
+        return self.made
+
+    def setCheckpointDir(self, folder):
+        self.made = f"file:{folder}/id"
+
+
+def test_shared_folder(spark):
+    assert shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(FakeSession("yarn", None, "hdfs:///made")) == "hdfs:///made"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.made
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_folder(spark) == named.rstrip("/")
+
+
+def test_settings_hold_only_while_a_table_is_written(spark):
+    key = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+    before = spark.conf.get(key)
+    seen = []
+
+    def build():
+        seen.append(spark.conf.get(key))
+        return spark.range(3)
+
+    stage = StageTables(spark)
+    assert stage.table("t", build, conf={key: "false"}).count() == 3
+    assert stage.table("t", build, conf={key: "false"}).count() == 3
+    assert seen == ["false"] and spark.conf.get(key) == before
+    stage.drop("t")
+    assert not stage.exists("t")
