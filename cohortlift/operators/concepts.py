@@ -20,21 +20,25 @@ def active_patients(facts: DataFrame, rule: Predicate) -> DataFrame:
     )
 
 
-def fact_triples(facts: DataFrame, active: DataFrame) -> DataFrame:
+def fact_triples(facts: DataFrame, active: DataFrame, partitions: int | None = None) -> DataFrame:
     """Distinct ``(pn, concept_cd, flag)`` of active patients; flags other than H and L are null.
 
     Repeats are dropped before the patient join, on all three columns and with map-side partial
     aggregation, so one patient or code with very many facts does not fill a task: afterwards a
     patient has at most three rows per code. Catalyst moves the semi-join below the aggregation when
-    the active patients are small enough to broadcast.
+    the active patients are small enough to broadcast. With ``partitions`` both sides of the join, and
+    the result, are hash partitioned by patient into that many parts.
     """
     flag = F.when(F.col("valueflag_cd").isin(HIGH, LOW), F.col("valueflag_cd"))
-    return (
+    triples = (
         facts.where((F.col("concept_cd") != "") & F.col("patient_num").isNotNull())
         .select(F.col("patient_num").alias("pn"), "concept_cd", flag.alias("flag"))
         .distinct()
-        .join(active, "pn", "left_semi")
     )
+    if partitions:
+        triples = triples.repartition(partitions, "pn")
+        active = active.repartition(partitions, "pn")
+    return triples.join(active, "pn", "left_semi")
 
 
 def concept_rollup(
@@ -94,9 +98,7 @@ def patient_concepts(
     """
     if small is None:
         small = fits_broadcast(expansion)
-    triples = fact_triples(facts, active)
-    if small and partitions:
-        triples = triples.repartition(partitions, "pn")
+    triples = fact_triples(facts, active, partitions if small else None)
     flag_met = F.col("need_flag").isNull() | (F.col("need_flag") == F.col("flag"))
     pairs = (
         hot_key_join(

@@ -114,9 +114,14 @@ class Study:
         return self.stage.table("pairs", build, "pn", buckets, MANY_KEYS)
 
     def buckets(self) -> int:
-        """Buckets that keep every core busy and hold a bounded number of patients each."""
+        """Buckets that keep every core busy and hold a bounded number of patients each.
+
+        A shuffle setting of like size is taken as it is, so that joins by patient need no other one.
+        """
         cores = self.spark.sparkContext.defaultParallelism
-        return max(cores, math.ceil(self.n_active() / PATIENTS_PER_BUCKET))
+        least = max(cores, math.ceil(self.n_active() / PATIENTS_PER_BUCKET))
+        shuffle = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return shuffle if least <= shuffle <= 4 * least else least
 
     def concept_names(self) -> DataFrame:
         return cc.concept_names(self.branches(), self.star.concepts)

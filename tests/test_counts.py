@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -80,15 +81,30 @@ def test_patient_concepts_either_way_of_joining(spark, rows, clinic, small, part
     assert rows(cc.abnormal_flags(branch_map, facts, active, small)) == sorted(flagged)
 
 
-def test_facts_are_scanned_once_and_the_last_distinct_is_local(spark, plan, clinic, tmp_path):
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_facts_are_scanned_once_and_shuffled_twice(spark, plan, clinic, tmp_path, broadcast):
+    """Once for the distinct triples and once by patient, whether the active patients are few or many."""
     facts, branch_map, active = frames(spark, clinic)
     facts.write.parquet(str(tmp_path / "facts"))
+    active.write.parquet(str(tmp_path / "active"))
     facts = spark.read.parquet(str(tmp_path / "facts"))
-    text = plan(cc.patient_concepts(facts, active, cc.code_expansion(branch_map), 4, small=True))
-    assert text.count("FileScan") == 1
-    top = text[: text.index("REPARTITION_BY_NUM")]
-    assert top.count("Exchange hashpartitioning") == 1  # the one by patient
-    assert "concept_cd" in text[text.index("PushedFilters") :]
+    active = spark.read.parquet(str(tmp_path / "active"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, broadcast)
+        text = plan(cc.patient_concepts(facts, active, cc.code_expansion(branch_map), 7, small=True))
+    finally:
+        spark.conf.set(key, before)
+    to_facts = text[: text.index("concept_cd", text.index("FileScan parquet"))]
+    assert text.count("valueflag_cd") and text.count("FileScan") == 2
+    assert to_facts.count("Exchange hashpartitioning") == 2
+    by_patient = re.search(r"hashpartitioning\(pn#\d+L, 7\)", to_facts).start()
+    by_triple = re.search(r"hashpartitioning\(pn#\d+L, concept_cd#\d+, flag", to_facts).start()
+    assert by_patient < by_triple  # the later step is printed first
+    if broadcast == "10m":  # the semi-join is below the aggregation
+        assert by_triple < to_facts.index("LeftSemi")
+    assert "NestedLoop" not in text and "Cartesian" not in text
 
 
 def test_a_bound_is_measured_in_rows_and_bytes(spark):
