@@ -17,13 +17,19 @@ RESULT_COLUMNS = [
 RANKINGS = ("odds_ratio", "chisq")
 
 
-def scheme_filter(schemes: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+def wanted_patterns(patterns: list[str] | str | None) -> list[str]:
+    """The patterns without repeats; none if every domain is wanted."""
+    wanted = {patterns} if isinstance(patterns, str) else set(patterns or [])
+    return [] if ALL in wanted else sorted(wanted)
+
+
+def scheme_filter(schemes: DataFrame, patterns: list[str] | str | None = None) -> DataFrame:
     """Names (``c_name``) of the domains whose key starts with one of ``patterns``.
 
     No pattern, or ``ALL`` among them, keeps every domain. ``%`` and ``_`` are wildcards.
     """
-    wanted = sorted(set(patterns or []))
-    if wanted and ALL not in wanted:
+    wanted = wanted_patterns(patterns)
+    if wanted:
         hits = [codes.like(F.col("c_key"), p + "%") for p in wanted]
         schemes = schemes.where(reduce(lambda a, b: a | b, hits))
     return schemes.select("c_name").distinct()
@@ -79,7 +85,7 @@ def compare(
     scored: DataFrame,
     schemes: DataFrame,
     limit: int | None = None,
-    patterns: list[str] | None = None,
+    patterns: list[str] | str | None = None,
     rank_by: str = "odds_ratio",
 ) -> DataFrame:
     """The ``TOTAL`` row, then the codes of the wanted domains from most over- to most under-represented.
@@ -92,7 +98,7 @@ def compare(
     is_total = F.col("ccd") == TOTAL
     total = scored.where(is_total)
     codes_ = scored.where(~is_total & F.col("prefix").isNotNull())
-    if patterns and ALL not in patterns:
+    if wanted_patterns(patterns):
         allowed = scheme_filter(schemes, patterns).withColumnRenamed("c_name", "prefix")
         codes_ = codes_.join(allowed, "prefix", "left_semi").select(*scored.columns)
     if limit is None:

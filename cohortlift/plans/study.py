@@ -206,7 +206,9 @@ class Study:
         sets that need work share one pass over the patient x concept table. Gives the cohort id
         and size of every patient set that exists.
         """
-        wanted = self.cohort_ids(*patient_sets)
+        return self._ensure(self.cohort_ids(*patient_sets))
+
+    def _ensure(self, wanted: dict[str, int]) -> dict[int, tuple[str, int]]:
         if not wanted:
             return {}
         sizes = ct.measure_cohorts(self.members(wanted), list(wanted))
@@ -256,7 +258,7 @@ class Study:
                 return Run(NO_STORED_QUERY.format(query_master))
         elif only_existing or self._still_holds(old, found):
             return self._compared((old.cohort_id, old.n), None, **options)
-        ensured = self.ensure_cohorts(found.result_instance_id)
+        ensured = self._ensure({found.cohort_id: found.result_instance_id})
         return self._compared(ensured[found.result_instance_id], None, **options)
 
     def run_patient_set(self, patient_set: int, only_existing: bool = False, **options) -> Run:
@@ -313,7 +315,7 @@ class Study:
         test: tuple[str, int],
         reference: tuple[str, int] | None,
         limit: int | str | None = None,
-        patterns: list[str] | None = None,
+        patterns: list[str] | str | None = None,
         cutoff: float | None = None,
         rank_by: str = "odds_ratio",
     ) -> Run:

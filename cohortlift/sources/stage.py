@@ -111,6 +111,7 @@ class CohortStore:
     def write(self, counts: DataFrame) -> None:
         (
             counts.select("ccd", "cnt", "frc", "members_hash", "cohort_id")
+            .hint("rebalance", "cohort_id")  # few files per cohort; AQE splits large ones
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("cohort_id")

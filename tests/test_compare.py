@@ -78,6 +78,7 @@ def test_domains(spark, tables):
     assert found("A:") == ["TOTAL", "A:1", "A:2"]
     assert found("A_") == ["TOTAL", "A:1", "A:2", "A_:1"]  # _ is a wildcard
     assert found("none") == ["TOTAL"]
+    assert codes_of(cmp.compare(scored, schemes, None, "C")) == ["TOTAL", "C:1"]
 
 
 def test_cutoff_holds_for_the_total_row_too(spark, tables):
