@@ -21,6 +21,19 @@ from cohortlift.operators import cohorts, compare, concepts, counts, ontology, r
 from cohortlift.sources import retail, sinks  # noqa: E402
 from cohortlift.sources.stage import shared_folder  # noqa: E402
 
+try:
+    from cohortlift.llm import registry as llm  # noqa: E402
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith("cohortlift.llm"):
+        raise
+    llm = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as error:
+    if error.name != "corpus_pipeline":
+        raise
+    corpus_pipeline = None
+
 SETS = {
     "M11_I101_R1": retail.BUILDING,
     "M11_I102_R2": retail.BUILDING_NEAR,
@@ -245,8 +258,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on_study(query: Callable[[Study], DataFrame]):
         return lambda spark, sf_dir: query(study(spark, sf_dir))
 
-    return {q.__name__: on_study(q) for q in _QUERIES}
+    found: dict[str, Callable] = {q.__name__: on_study(q) for q in _QUERIES}
+    if llm:
+        found |= llm.queries()
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql_equivalents.build()
+    found = sql_equivalents.build()
+    if llm:
+        found |= llm.oracle_sql()
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
