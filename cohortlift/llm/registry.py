@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlift.llm.pii import op8_pii
 from cohortlift.llm.secrets import op9_secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: list[Query] = [op9_secret_scan]
+QUERIES: list[Query] = [op8_pii, op9_secret_scan]
 
 
 def queries() -> dict[str, Query]:
