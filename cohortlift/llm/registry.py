@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlift.llm.fingerprints import op1_fingerprint
 from cohortlift.llm.pii import op8_pii
 from cohortlift.llm.secrets import op9_secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: list[Query] = [op8_pii, op9_secret_scan]
+QUERIES: list[Query] = [op1_fingerprint, op8_pii, op9_secret_scan]
 
 
 def queries() -> dict[str, Query]:
