@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlift.llm.fingerprints import op1_fingerprint
+from cohortlift.llm.language import op4_language
 from cohortlift.llm.pii import op8_pii
+from cohortlift.llm.quality import op2_quality
 from cohortlift.llm.secrets import op9_secret_scan
 from cohortlift.llm.simhash import op5_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: list[Query] = [op1_fingerprint, op5_simhash, op8_pii, op9_secret_scan]
+QUERIES: list[Query] = [op1_fingerprint, op2_quality, op4_language, op5_simhash, op8_pii, op9_secret_scan]
 
 
 def queries() -> dict[str, Query]:
