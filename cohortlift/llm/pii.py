@@ -149,18 +149,32 @@ def mentions(base: DataFrame, rule: Disclosure) -> DataFrame:
 
 def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame, rule: Disclosure, scratch: Scratch) -> DataFrame:
     """(entity, term, share) of the pairs at or above the threshold."""
+    n = F.lit(base.count()).cast("double")
+    information = F.log(n / F.col("n_entity"))
+
+    def share(n_term: str) -> Column:
+        mutual = F.log(n * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+        # In a corpus whose every document has the entity there is nothing left to disclose.
+        return F.when(information > 0, mutual / information)
+
+    entities = (
+        base.select("row", F.explode("around.entity").alias("entity"))
+        .groupBy("entity")
+        .agg(F.count_distinct("row").alias("n_entity"))
+    )
+    # A term is in at least as many documents as have it near any entity. Where even that many make its
+    # share too small, it need not be counted in the corpus.
+    near_any = near.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     together = (
         near.groupBy("entity", "term")
         .agg(F.count_distinct("row").alias("n_both"))
         .where(F.col("n_both") >= rule.support)
+        .join(entities, "entity")
+        .join(near_any, "term")
+        .where(share("n_near") >= rule.share)
     )
     together = scratch.write(together, "together")
     terms = within(scratch.write(together.select("term").distinct(), "terms"))
-    entities = (
-        base.select("row", F.explode("around.entity").alias("entity"))
-        .groupBy("entity")
-        .agg(F.count_distinct("row").alias("n_entity"))
-    )
     words = F.array_distinct(F.split(F.lower(whole_text()), BETWEEN_WORDS))
     counts = (
         docs.select(F.explode(words).alias("term"))
@@ -168,18 +182,8 @@ def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame, rule: Disclos
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    total = base.agg(F.count(F.lit(1)).alias("n"))
-    n = F.lit(total.first()["n"]).cast("double")
-    information = F.log(n / F.col("n_entity"))
-    mutual = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    # In a corpus whose every document has the entity there is nothing left to disclose.
-    share = F.when(information > 0, mutual / information)
-    return (
-        together.join(entities, "entity")
-        .join(counts, "term")
-        .select("entity", "term", share.alias("share"))
-        .where(F.col("share") >= rule.share)
-    )
+    found = together.join(counts, "term").select("entity", "term", share("n_term").alias("share"))
+    return found.where(F.col("share") >= rule.share)
 
 
 def sanitise(docs: DataFrame, scratch: Scratch, rule: Disclosure = Disclosure()) -> DataFrame:  # noqa: B008
