@@ -11,7 +11,7 @@ the generalised Jaccard similarity of their weights (sum of minima over sum of m
 keeps 16 bits of each sample; likeness is the share of equal samples, corrected for chance.
 
 Defined results: a null text is empty; texts without words all have the fingerprint of zeros, and are
-like each other with likeness 1. Rows are ordered by id, nulls first, then by text, so repeated ids
+like each other with likeness 1. Rows are ordered by id, nulls first, then by a hash of the text, so repeated ids
 and rows are neighbours of each other. The only row of a table is its own next document.
 """
 
@@ -217,8 +217,11 @@ def with_next(docs: DataFrame, scratch: Scratch, samples: int = SAMPLES) -> Data
 
     ranged = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-        .repartitionByRange("doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        # The hash stands for the text, so that the sample of the range bounds holds no texts.
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie", "text")
+        .select("doc_id", "text")
     )
     walked = scratch.write(ranged.mapInArrow(walk, from_arrow_schema(_WALKED)), "walked")
 
