@@ -12,10 +12,11 @@ from cohortlift.llm.pii import op8_pii
 from cohortlift.llm.quality import op2_quality
 from cohortlift.llm.secrets import op9_secret_scan
 from cohortlift.llm.simhash import op5_simhash
+from cohortlift.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: list[Query] = [op1_fingerprint, op2_quality, op4_language, op5_simhash, op8_pii, op9_secret_scan]
+QUERIES: list[Query] = [op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op8_pii, op9_secret_scan]
 
 
 def queries() -> dict[str, Query]:
