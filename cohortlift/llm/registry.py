@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlift.llm.chat import OP6_SQL, op6_chat
+from cohortlift.llm.decontamination import op7_decontamination
 from cohortlift.llm.fingerprints import op1_fingerprint
 from cohortlift.llm.language import op4_language
 from cohortlift.llm.pii import op8_pii
@@ -16,7 +18,10 @@ from cohortlift.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: list[Query] = [op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op8_pii, op9_secret_scan]
+QUERIES: list[Query] = [
+    op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op6_chat,
+    op7_decontamination, op8_pii, op9_secret_scan,
+]
 
 
 def queries() -> dict[str, Query]:
@@ -24,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": OP6_SQL}
