@@ -10,6 +10,7 @@ from cohortlift.llm.chat import OP6_SQL, op6_chat
 from cohortlift.llm.decontamination import op7_decontamination
 from cohortlift.llm.fingerprints import op1_fingerprint
 from cohortlift.llm.language import op4_language
+from cohortlift.llm.mixing import op10_mixing
 from cohortlift.llm.pii import op8_pii
 from cohortlift.llm.quality import op2_quality
 from cohortlift.llm.secrets import op9_secret_scan
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: list[Query] = [
     op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op6_chat,
-    op7_decontamination, op8_pii, op9_secret_scan,
+    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing,
 ]
 
 
