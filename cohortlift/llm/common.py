@@ -71,3 +71,21 @@ def batched(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): all other columns in one, so that none can clash with a working column."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The columns that were packed, in their order, and ``more``."""
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns], *more)
+
+
+def without(docs: DataFrame, dropped: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Packed documents but those whose ``row_key`` is in ``dropped`` (a column ``key``)."""
+    keys = within(scratch.write(dropped.select("key").distinct(), name))
+    keyed = docs.withColumn("key", row_key())
+    return keyed.join(keys, "key", "left_anti").drop("key")

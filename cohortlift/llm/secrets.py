@@ -129,7 +129,7 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: list[Rule], scratch: Scratch) -> DataFrame:
-    """``docs`` with ``spans``, by start and then in the order of the rules."""
+    """``docs`` (doc_id, text and others) with ``spans``, by start and then in the order of the rules."""
     spark = docs.sparkSession
     indexed = [r for r in rules if trigram_query(r.pattern)]
     trigrams = sorted({t for r in indexed for c in trigram_query(r.pattern) for t in c})
