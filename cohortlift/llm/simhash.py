@@ -124,9 +124,10 @@ def covering_masks(radius: int) -> list[int]:
 def _star_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning set of the links within ``radius`` among a bucket's fingerprints."""
     root = np.arange(len(fps))
+    bits = fps.view(np.uint64)  # bits of a signed number would be counted in its absolute value
     links = []
     for i in range(1, len(fps)):
-        near = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius)
+        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= radius)
         for j in np.unique(root[near]):  # one link to each group it joins
             links.append((int(fps[i]), int(fps[near[np.argmax(root[near] == j)]])))
             root[root == j] = i
@@ -154,7 +155,7 @@ def links_within(distinct: DataFrame, radius: int, scratch: Scratch, bucket: int
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for fps in batch["fps"].to_pylist() for x in _star_links(np.array(fps), radius)]
+            found = [x for fps in batch["fps"].to_pylist() for x in _star_links(np.array(fps, dtype=np.int64), radius)]
             u, v = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]
