@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlift.llm.common import batched, fold, table, whole_text
 from cohortlift.llm.subword import (
@@ -44,8 +46,8 @@ BATCH_CHARS = 400_000
 BATCH_WINDOWS = 2_048
 
 #: Labelled rows of each class, and windows of each of them (evenly spread), that training sees at most.
-TRAINING = Training(rows_per_class=2_000, epochs=8, rate=0.01, batch=64, seed=11)
-TRAINING_WINDOWS = 24
+TRAINING = Training(rows_per_class=1_500, epochs=8, rate=0.01, batch=64, seed=11)
+TRAINING_WINDOWS = 20
 WINDOWS_PER_EPOCH = 6_000
 #: Share of the toxic documents that may be left out of an epoch as wrongly labelled.
 TRIM = 0.1
@@ -271,30 +273,46 @@ def training_windows(docs: DataFrame, labelled: DataFrame, t: Training, most: in
             for label, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 cuts = [c for part in parts(text.lower()) for c in _cuts(tokens([part]))]
                 chosen = {round(i) for i in np.linspace(0, len(cuts) - 1, min(most, len(cuts)))}
-                out += [(label, doc_id, *cuts[i]) for i in sorted(chosen)]
-            arrays = zip(*out, strict=True) if out else [[]] * 5
-            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int32())] * 3]
+                tie = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
+                out += [(label, doc_id, tie, i, *cuts[i]) for i in sorted(chosen)]
+            arrays = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(a), kind) for a, kind in zip(arrays, kinds, strict=True)], names=names
             )
 
-    names = ["label", "doc_id", "words", "grams", "sizes"]
-    schema = "label int, doc_id bigint, words array<int>, grams array<int>, sizes array<int>"
+    names = ["label", "doc_id", "tie", "nth", "words", "grams", "sizes"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3]
+    schema = (
+        "label int, doc_id bigint, tie bigint, nth int, words array<int>, grams array<int>, sizes array<int>"
+    )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     rows = texts.join(sample, "doc_id").select(F.col("label").cast("int"), "doc_id", "text")
-    found = sorted(
-        (r["doc_id"], r["label"], r["words"], r["grams"], r["sizes"])
-        for r in rows.mapInArrow(cut, schema).toArrow().to_pylist()
-    )
-    words = np.zeros((len(found), WINDOW), dtype=np.int64)
-    there = np.zeros((len(found), WINDOW), dtype=bool)
-    sizes = np.zeros((len(found), WINDOW), dtype=np.int64)
-    for i, (_, _, w, _, s) in enumerate(found):
-        words[i, : len(w)], there[i, : len(w)], sizes[i, : len(s)] = w, True, s
-    grams = np.array([g for row in found for g in row[3]], dtype=np.int64)
-    _, doc = np.unique(np.array([r[0] for r in found], dtype=np.int64), return_inverse=True)
-    toxic = np.array([r[1] == 1 for r in found])
-    return Windows(words, there, grams, np.concatenate([[0], np.cumsum(sizes.reshape(-1))]), doc, toxic)
+    return _windows(rows.mapInArrow(cut, schema).toArrow())
+
+
+def _windows(found: pa.Table) -> Windows:
+    """The windows in the order of document and place, whatever order they came in."""
+    plain = {c: found[c].to_numpy() for c in ("label", "doc_id", "tie", "nth")}
+    order = np.lexsort([plain["nth"], plain["tie"], plain["doc_id"]])
+
+    def ragged(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = found[name].combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return lists.flatten().to_numpy()[np.repeat(start, size) + within], size
+
+    n = len(order)
+    there = np.zeros((n, WINDOW), dtype=bool)
+    words, sizes = np.zeros((2, n, WINDOW), dtype=np.int32)
+    flat, length = ragged("words")
+    there[:] = np.arange(WINDOW) < length[:, None]
+    words[there] = flat
+    sizes[there] = ragged("sizes")[0]
+    edges = np.concatenate([[0], np.cumsum(sizes.reshape(-1), dtype=np.int64)])
+    _, doc = np.unique(plain["doc_id"][order], return_inverse=True)
+    return Windows(words, there, ragged("grams")[0], edges, doc, plain["label"][order] == 1)
 
 
 def loss_gradient(p: Params, k: Tokens, there: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
@@ -454,18 +472,18 @@ def fit(docs: DataFrame, labelled: DataFrame, t: Training = TRAINING, most: int
 
 
 def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` and ``score``."""
-    plain = docs.select(*carry, whole_text().alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    """The columns ``carry`` of ``docs`` and ``score``; ``docs`` have a column ``text``."""
+    plain = docs.select(*dict.fromkeys([*carry, "text"]))
+    out = T.StructType([*docs.select(*carry).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["_text"].to_pylist()
+            texts = [t or "" for t in batch["text"].to_pylist()]
             found = np.zeros(len(texts)) if model is None else model.scores(texts)
-            columns = [*batch.columns[:-1], pa.array(found, pa.float64())]
+            columns = [*(batch[c] for c in carry), pa.array(found, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, "score"])
 
-    return plain.mapInArrow(run, f"{kinds}, score double")
+    return plain.mapInArrow(run, out)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
