@@ -7,7 +7,9 @@ by many of them are written once per application and data folder, as a site woul
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,7 +169,9 @@ def duplicate_keys(s: Study) -> DataFrame:
 
 
 def key_violations(s: Study) -> DataFrame:
-    return s.key_violations()
+    """The shared tables, which hold their keys, and the facts, where patient and code do repeat."""
+    facts = counts.key_violations("facts", s.star.facts, ["patient_num", "concept_cd"])
+    return s.key_violations().unionByName(facts)
 
 
 def chi2_scores(s: Study) -> DataFrame:
@@ -175,7 +179,7 @@ def chi2_scores(s: Study) -> DataFrame:
 
 
 def compare_population(s: Study) -> DataFrame:
-    return _rounded(compare.compare(_scores(s), s.schemes(), limit=10))
+    return _rounded(compare.placed(compare.compare(_scores(s), s.schemes(), limit=10)))
 
 
 def compare_filtered(s: Study) -> DataFrame:
@@ -183,22 +187,25 @@ def compare_filtered(s: Study) -> DataFrame:
 
 
 def compare_by_chisq(s: Study) -> DataFrame:
-    return _rounded(compare.compare(_scores(s), s.schemes(), limit=25, rank_by="chisq"))
+    result = compare.compare(_scores(s), s.schemes(), limit=25, rank_by="chisq")
+    return _rounded(compare.placed(result, "chisq"))
 
 
 def compare_cohorts(s: Study) -> DataFrame:
     """The two-set request as a user runs it: subset check, stored counts, comparison."""
-    return _rounded(s.run(test=retail.BUILDING_NEAR, reference=retail.BUILDING, limit=15).result)
+    run = s.run(test=retail.BUILDING_NEAR, reference=retail.BUILDING, limit=15)
+    return _rounded(compare.placed(run.result))
 
 
 def compare_query(s: Study) -> DataFrame:
     """The query-master request: its latest patient set against the population."""
-    return _rounded(s.run(query_master=11, limit=12).result)
+    return _rounded(compare.placed(s.run(query_master=11, limit=12).result))
 
 
 def existing_cohort(s: Study) -> DataFrame:
     s.ensure_cohorts(retail.BUILDING, retail.MACHINERY)
-    stored = cohorts.existing_cohort(s.store().read(), result_instance_id=retail.MACHINERY)
+    store = s.store()
+    stored = store.counts(store.newest(result=retail.MACHINERY))
     return _rounded(stored.select("cohort_id", "ccd", "cnt", "frc"))
 
 
@@ -222,7 +229,7 @@ _RESULT_SCHEMA = (
 
 
 def _new_path(s: Study, name: str) -> str:
-    return f"{s.stage.folder}/{name}"
+    return f"{s.tables.folder}/{name}_{uuid.uuid4().hex[:8]}"
 
 
 def write_csv(s: Study) -> DataFrame:
@@ -239,13 +246,41 @@ def write_json(s: Study) -> DataFrame:
     return _rounded(s.spark.read.schema(_RESULT_SCHEMA).json(path))
 
 
+def payload_rows(s: Study) -> DataFrame:
+    """The whole payload of a request, any number of rows and domains, written and read back."""
+    path = _new_path(s, "payload")
+    s.run(patient_set=retail.BUILDING).write_payload(path)
+    schema = "ccd string, name string, ref bigint, test bigint"
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("ref", "test")]
+    rows = s.spark.read.schema(schema).json(f"{path}/rows")
+    prefixes = s.spark.read.schema("name string, description string").json(f"{path}/prefixes")
+    status = s.spark.read.schema("status string").json(f"{path}/status")
+    parts = [
+        rows.select(F.lit("rows").alias("kind"), F.col("ccd").alias("item"), F.col("name").alias("label"), "ref", "test"),
+        prefixes.select(F.lit("prefixes"), "name", "description", *none),
+        status.select(F.lit("status"), "status", F.lit(None).cast("string"), *none),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def fixed_denominator(s: Study) -> DataFrame:
+    """Population counts divided by a number that the site gives."""
+    other = Study(s.spark, s.star, replace(s.rules, denominator=5_000), s.stage)
+    return _rounded(other.population_counts())
+
+
+def like_match(s: Study) -> DataFrame:
+    """The code map with paths taken as patterns."""
+    return ontology.concept_branch_map(s.branches(), s.star.concepts, s.rules.separator, "like")
+
+
 _QUERIES = [
     active_patients, ontology_branches, concept_branch_map, concept_rollup, abnormal_flags,
     patient_concepts, concept_names, population_counts, concept_schemes, domain_list,
     scheme_filter, resolve_query, resolve_patient_set, cohort_members, cohort_counts,
     counts_wide, subset_check, duplicate_keys, key_violations, chi2_scores, compare_population,
     compare_filtered, compare_by_chisq, compare_cohorts, compare_query, existing_cohort,
-    export_whole, report_table, write_csv, write_json,
+    export_whole, report_table, write_csv, write_json, payload_rows, fixed_denominator, like_match,
 ]
 
 

@@ -19,12 +19,14 @@ def resolve_query(
     query_master_id: int | None = None,
 ) -> DataFrame:
     """The latest patient set with members of one query master, or of every query master."""
-    with_members = patient_sets.select("result_instance_id").distinct()
-    lineage = _lineage(masters, instances, results).join(
-        with_members, "result_instance_id", "left_semi"
-    )
+    lineage = _lineage(masters, instances, results)
     if query_master_id is not None:
+        # The runs of one master are few; only the memberships of their sets are read.
         lineage = lineage.where(F.col("query_master_id") == query_master_id)
+        sets = [r.result_instance_id for r in lineage.select("result_instance_id").distinct().collect()]
+        patient_sets = patient_sets.where(F.col("result_instance_id").isin(sets))
+    with_members = patient_sets.select("result_instance_id").distinct()
+    lineage = lineage.join(with_members, "result_instance_id", "left_semi")
     newest = F.max(F.struct("result_instance_id", "query_instance_id")).alias("newest")
     return _with_cohort_id(
         lineage.groupBy("query_master_id").agg(newest).select("query_master_id", "newest.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlift.functions import codes, scores
@@ -96,7 +96,7 @@ def compare(
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     is_total = F.col("ccd") == TOTAL
-    total = scored.where(is_total)
+    total = scored.where(is_total).limit(1)
     codes_ = scored.where(~is_total & F.col("prefix").isNotNull())
     if wanted_patterns(patterns):
         allowed = scheme_filter(schemes, patterns).withColumnRenamed("c_name", "prefix")
@@ -109,6 +109,11 @@ def compare(
     return total.unionByName(both).orderBy(*result_order(rank_by)).limit(2 * limit + 1)
 
 
+def placed(result: DataFrame, rank_by: str = "odds_ratio") -> DataFrame:
+    """A limited comparison with the ``place`` of each row; for reports, as one task numbers all rows."""
+    return result.withColumn("place", F.row_number().over(Window.orderBy(*result_order(rank_by))))
+
+
 def rank_order(rank_by: str = "odds_ratio", most_over_first: bool = True) -> list[Column]:
     """Sort keys from one end of the ranking. Unscored codes count as most over-represented."""
     if rank_by not in RANKINGS:

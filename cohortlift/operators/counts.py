@@ -160,6 +160,12 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
+def key_violations(table_name: str, df: DataFrame, keys: list[str]) -> DataFrame:
+    """``table_name, key, n_rows`` of repeated keys, the key as JSON text."""
+    key = F.to_json(F.struct(*keys)).alias("key")
+    return duplicate_keys(df, keys).select(F.lit(table_name).alias("table_name"), key, "n_rows")
+
+
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 

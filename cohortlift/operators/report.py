@@ -13,14 +13,25 @@ from cohortlift.operators.compare import rank_order
 BREAK = "..."
 
 
+FIXED_COLUMNS = ("ccd", "name", "chisq", "odds_ratio", "dir")
+
+
 def label_columns(reference_name: str, test_name: str) -> dict[str, str]:
-    """Result columns named after the two sets: upper case, ``_`` for other characters."""
-    ref, test = (
-        re.sub(r"\W+", "_", name.upper(), flags=re.ASCII) for name in (reference_name, test_name)
-    )
-    if ref == test:
-        raise ValueError(f"both sets would be named {ref!r}")
-    return {"ref": ref, "frc_ref": f"FRC_{ref}", "test": test, "frc_test": f"FRC_{test}"}
+    """Result columns named after the two sets: upper case, ``_`` for other characters.
+
+    A number is added where a name would be that of another column, in whatever case.
+    """
+    taken = {c.upper() for c in FIXED_COLUMNS}
+    found = {}
+    for key, name in (("ref", reference_name), ("test", test_name)):
+        plain = label = re.sub(r"\W+", "_", name.upper(), flags=re.ASCII)
+        number = 1
+        while {label, f"FRC_{label}"} & taken:
+            number += 1
+            label = f"{plain}_{number}"
+        taken |= {label, f"FRC_{label}"}
+        found[key], found[f"frc_{key}"] = label, f"FRC_{label}"
+    return found
 
 
 def report_table(

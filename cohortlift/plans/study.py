@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlift.functions.codes import TOTAL
 from cohortlift.operators import cohorts as co
 from cohortlift.operators import compare as cmp
 from cohortlift.operators import concepts as cc
@@ -21,12 +23,15 @@ from cohortlift.sources.star import Star
 DONE = "Done, chi success!"
 IDENTICAL = "Job canceled, identical patient sets"
 NOT_A_SUBSET = "Job canceled, all patients in test subset must be in the reference set"
-NO_STORED_SET = "No data for PSID {0}, try running without -e/--exists"
-NO_STORED_QUERY = "No data for QMID {0}, try running without -e/--exists"
+NO_STORED_SET = "No data for PSID {0}, try running without only_existing"
+NO_STORED_QUERY = "No data for QMID {0}, try running without only_existing"
 UNKNOWN_SET = "ERROR, patient set (PSID={0}) not found in QT tables"
 UNKNOWN_QUERY = "ERROR, QMID {0} has no patient set result instance"
 
-PATIENTS_PER_BUCKET = 10_000
+#: A patient has about a hundred pairs, of about 20 bytes each in a file: about 200 MB a bucket.
+PATIENTS_PER_BUCKET = 100_000
+#: More patients than that make larger buckets, whose joins sort and spill; the result is the same.
+MOST_BUCKETS = 20_000
 
 # Nearly all keys of the distinct facts are new, so a small first-level hash map only costs time.
 MANY_KEYS = {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
@@ -61,8 +66,15 @@ class Run:
     def ok(self) -> bool:
         return self.status == DONE
 
-    def payload(self) -> str:
-        return sinks.payload(self.result, self.schemes, self.status, self.limit)
+    def payload(self, most_rows: int = sinks.REPORT_ROWS) -> str:
+        """The report as one JSON text, of at most ``most_rows`` rows; :meth:`write_payload` has no bound."""
+        return sinks.payload(self.result, self.status, self.limit, most_rows)
+
+    def write_payload(self, path: str) -> None:
+        """The whole result and its domains as JSON lines, of any size."""
+        if self.result is None:
+            raise ValueError(self.status)
+        sinks.write_payload(self.result, self.schemes, self.status, path)
 
 
 class Study:
@@ -75,13 +87,15 @@ class Study:
         self.star = star
         self.rules = rules
         self.stage = stage or StageTables(spark)
-        self._store: CohortStore | None = None
+        # Tables and counts of other rules are other tables.
+        self.tables = self.stage.variant(f"rules_{hashlib.sha256(repr(rules).encode()).hexdigest()[:12]}")
         self._n_active: int | None = None
+        self._checked = False
 
     # Shared tables
 
     def active(self) -> DataFrame:
-        return self.stage.table(
+        return self.tables.table(
             "active", lambda: cc.active_patients(self.star.facts, self.rules.active)
         )
 
@@ -95,7 +109,7 @@ class Study:
         return on.ontology_branches(self.star.ontology, r.branch, r.value_flag, r.every_branch)
 
     def branch_map(self) -> DataFrame:
-        return self.stage.table(
+        return self.tables.table(
             "branch_map",
             lambda: on.concept_branch_map(
                 self.branches(), self.star.concepts, self.rules.separator, self.rules.match
@@ -110,8 +124,8 @@ class Study:
                 self.star.facts, self.active(), cc.code_expansion(self.branch_map()), self.buckets()
             )
 
-        buckets = None if self.stage.exists("pairs") else self.buckets()
-        return self.stage.table("pairs", build, "pn", buckets, MANY_KEYS)
+        buckets = None if self.tables.exists("pairs") else self.buckets()
+        return self.tables.table("pairs", build, "pn", buckets, MANY_KEYS)
 
     def buckets(self) -> int:
         """Buckets that keep every core busy and hold a bounded number of patients each.
@@ -119,16 +133,15 @@ class Study:
         A shuffle setting of like size is taken as it is, so that joins by patient need no other one.
         """
         cores = self.spark.sparkContext.defaultParallelism
-        least = max(cores, math.ceil(self.n_active() / PATIENTS_PER_BUCKET))
         shuffle = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return shuffle if least <= shuffle <= 4 * least else least
+        return choose_buckets(self.n_active(), cores, shuffle)
 
     def concept_names(self) -> DataFrame:
         return cc.concept_names(self.branches(), self.star.concepts)
 
     def population_counts(self) -> DataFrame:
         r = self.rules
-        return self.stage.table(
+        population = self.tables.table(
             "population",
             lambda: ct.population_counts(
                 self.patient_concepts(),
@@ -139,38 +152,35 @@ class Study:
                 r.strip,
             ),
         )
+        if not self._checked:
+            if population.where(F.col("ccd") == TOTAL).limit(2).count() > 1:
+                self.tables.drop("population")
+                raise ValueError(f"{TOTAL!r} is reserved for the row of all patients, but facts have it as a code")
+            self._checked = True
+        return population
 
     def schemes(self) -> DataFrame:
-        return self.stage.table(
+        return self.tables.table(
             "schemes", lambda: ct.concept_schemes(self.population_counts(), self.star.schemes)
         )
 
     def store(self) -> CohortStore:
-        if self._store is None:
-            self._store = CohortStore(self.spark, f"{self.stage.folder}/cohort_counts")
-        return self._store
+        """Counts of cohorts on the present build of the tables; another build has its own."""
+        return CohortStore(self.spark, f"{self.tables.folder}/cohorts")
 
     def rebuild(self) -> None:
-        """Forget the shared tables and the cohorts counted on them, for changed inputs."""
-        self.stage.drop("active", "branch_map", "pairs", "population", "schemes")
-        self.store().clear()
-        self._n_active = None
+        """Build the shared tables and the cohorts counted on them anew, for changed inputs."""
+        self.tables.rebuild()
+        self._n_active, self._checked = None, False
 
     def key_violations(self) -> DataFrame:
         """Rows that break the key of a shared table; empty for sound tables."""
         checks = {
             "active": (self.active(), ["pn"]),
             "pairs": (self.patient_concepts(), ["ccd", "pn"]),
-            "population": (self.population_counts(), ["prefix", "ccd", "total"]),
+            "population": (self.population_counts(), ["ccd"]),
         }
-        found = [
-            ct.duplicate_keys(df, keys).select(
-                F.lit(name).alias("table_name"),
-                F.to_json(F.struct(*keys)).alias("key"),
-                "n_rows",
-            )
-            for name, (df, keys) in checks.items()
-        ]
+        found = [ct.key_violations(name, df, keys) for name, (df, keys) in checks.items()]
         return found[0].unionByName(found[1]).unionByName(found[2])
 
     # Cohorts
@@ -188,7 +198,7 @@ class Study:
             members,
             self.population_counts(),
             sizes or ct.measure_cohorts(members, list(sets)),
-            self.stage.bucket_count("pairs"),
+            self.tables.bucket_count("pairs"),
         )
 
     def cohort_ids(self, *patient_sets: int) -> dict[str, int]:
@@ -212,15 +222,11 @@ class Study:
         if not wanted:
             return {}
         sizes = ct.measure_cohorts(self.members(wanted), list(wanted))
-        stored = {
-            r.cohort_id: (r.n, r.members_hash)
-            for r in co.stored_cohorts(self.store().read())
-            .where(F.col("cohort_id").isin(list(wanted)))
-            .collect()
-        }
+        store = self.store()
+        stored = {c: (s.n, s.members_hash) for c in wanted if (s := store.get(c))}
         missing = {c: r for c, r in wanted.items() if stored.get(c) != sizes[c]}
         if missing:
-            self.store().write(self.compute_cohorts(missing, {c: sizes[c] for c in missing}))
+            store.write(self.compute_cohorts(missing, {c: sizes[c] for c in missing}))
         return {r: (c, sizes[c][0]) for c, r in wanted.items()}
 
     # Requests
@@ -250,10 +256,8 @@ class Study:
         ).first()
         if found is None:
             return Run(UNKNOWN_QUERY.format(query_master))
-        old = co.newest_cohort(
-            co.stored_cohorts(self.store().read(), query_master_id=query_master)
-        ).first()
-        if old.cohort_id is None:
+        old = self.store().newest(master=query_master)
+        if old is None:
             if only_existing:
                 return Run(NO_STORED_QUERY.format(query_master))
         elif only_existing or self._still_holds(old, found):
@@ -299,9 +303,8 @@ class Study:
         """Cohort id and size of the newest stored result of each patient set."""
         found = {}
         for patient_set in patient_sets:
-            stored = co.stored_cohorts(self.store().read(), result_instance_id=patient_set)
-            newest = co.newest_cohort(stored).first()
-            if newest.cohort_id is not None:
+            newest = self.store().newest(result=patient_set)
+            if newest is not None:
                 found[patient_set] = (newest.cohort_id, newest.n)
         return found
 
@@ -332,3 +335,7 @@ class Study:
         return Run(DONE, result, test[0], limit, self.schemes())
 
 
+def choose_buckets(patients: int, cores: int, shuffle: int) -> int:
+    """Buckets for a table by patient: enough for every core, of bounded size, never more than Spark allows."""
+    least = min(MOST_BUCKETS, max(cores, math.ceil(patients / PATIENTS_PER_BUCKET)))
+    return shuffle if least <= shuffle <= min(4 * least, MOST_BUCKETS) else least

@@ -41,7 +41,9 @@ def retail_star(spark: SparkSession, sf_dir: str, stage: StageTables) -> Star:
     def read(name: str, *columns: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
-    patient_sets = stage.table("patient_sets", lambda: _patient_sets(read))
+    patient_sets = stage.table(
+        "patient_sets", lambda: _patient_sets(read), range_by="result_instance_id"
+    )
     return Star(
         facts=stage.table("facts", lambda: _facts(read)),
         concepts=stage.table("concepts", lambda: _concepts(read)),

@@ -1,14 +1,16 @@
-"""Result sinks: CSV, JSON lines and the payload of a limited report."""
+"""Result sinks: CSV, JSON lines, a whole payload, and a limited report as one text."""
 
 from __future__ import annotations
 
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlift.operators.compare import domain_list
 
-MAX_DOMAINS = 10_000
+#: Rows of a report that the driver holds, unless a caller allows more.
+REPORT_ROWS = 10_001
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -41,20 +43,36 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def payload(result: DataFrame | None, schemes: DataFrame | None, status: str, limit: int | None) -> str:
-    """``{cols, rows, prefixes, status}`` as one JSON text, for a report of at most ``2 limit + 1`` rows.
+def write_payload(result: DataFrame, schemes: DataFrame, status: str, path: str) -> None:
+    """A result of any size: ``rows``, ``prefixes`` and ``status`` as JSON lines under ``path``.
 
-    An unlimited result grows with the data and belongs in :func:`write_json`, and so does a list of
-    more than ``MAX_DOMAINS`` domains.
+    ``status`` is written last, so a folder that has it is whole.
+    """
+    write_json(result, f"{path}/rows")
+    write_json(domain_list(schemes), f"{path}/prefixes")
+    columns = F.array(*[F.lit(c.upper()) for c in result.columns])
+    one = result.sparkSession.range(1)
+    write_json(one.select(F.lit(status).alias("status"), columns.alias("cols")), f"{path}/status")
+
+
+def read_payload(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, line): every line of the three parts, as written."""
+    parts = [
+        spark.read.text(f"{path}/{kind}").select(F.lit(kind).alias("kind"), F.col("value").alias("line"))
+        for kind in ("rows", "prefixes", "status")
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def payload(result: DataFrame | None, status: str, limit: int | None, most_rows: int = REPORT_ROWS) -> str:
+    """``{cols, rows, status}`` of a limited report as one JSON text.
+
+    ``limit`` codes of either end and the total must be ``most_rows`` at most; a larger result, and the
+    list of domains, which grows with the codes, are written by :func:`write_payload`.
     """
     if result is None:
         return json.dumps({"cols": [], "rows": [], "status": status})
-    if limit is None:
-        raise ValueError("a payload needs a limited report; use write_json for a whole result")
-    rows = [list(row) for row in result.limit(2 * limit + 1).collect()]
-    domains = [list(row) for row in domain_list(schemes).limit(MAX_DOMAINS + 1).collect()]
-    if len(domains) > MAX_DOMAINS:
-        raise ValueError("too many domains for a payload; use write_json for the domain list")
-    return json.dumps(
-        {"cols": [c.upper() for c in result.columns], "rows": rows, "prefixes": domains, "status": status}
-    )
+    if limit is None or 2 * limit + 1 > most_rows:
+        raise ValueError(f"a report has a limit and at most {most_rows} rows; use write_payload for others")
+    rows = [list(row) for row in result.collect()]
+    return json.dumps({"cols": [c.upper() for c in result.columns], "rows": rows, "status": status})

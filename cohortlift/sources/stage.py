@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlift.functions.codes import TOTAL
+from cohortlift.sources.files import Files
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode a fresh one if it is unset."""
@@ -23,16 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class StageTables:
-    """Named tables under one folder: built when first asked for, then read.
+    """Named tables under one folder: built when first asked for, then read, by later applications too.
 
-    A table exists once its write has been committed, so a build that was cut short is done again,
-    and readers never depend on blocks held by an executor.
+    The tables of one build lie in a folder of their own, ``<prefix>/builds/<build>``. A table exists once
+    its manifest is there, which is written after the commit: an unfinished build is done again, of two
+    at a time the first counts, and nothing depends on the session's catalog or on an executor's blocks.
+    :meth:`rebuild` starts a new build; who reads the old one goes on until :meth:`clean`.
     """
 
     def __init__(self, spark: SparkSession, prefix: str | None = None, folder: str | None = None):
         self.spark = spark
+        self.files = Files(spark)
         self.prefix = prefix or f"cohortlift_{uuid.uuid4().hex[:12]}"
-        self.folder = f"{folder or shared_folder(spark)}/{self.prefix}"
+        self.root = f"{folder or shared_folder(spark)}/{self.prefix}"
+        builds = [b for b in self.files.names(f"{self.root}/builds") if not b.startswith(".")]
+        self.build = builds[-1] if builds else self._new_build()
+
+    def _new_build(self) -> str:
+        build = f"{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+        self.files.create(f"{self.root}/builds/{build}/BUILD", build)
+        return build
+
+    @property
+    def folder(self) -> str:
+        return f"{self.root}/builds/{self.build}"
+
+    def variant(self, key: str) -> StageTables:
+        """Tables that depend on this build and on ``key``, such as a hash of rules."""
+        return StageTables(self.spark, key, self.folder)
 
     def table(
         self,
@@ -41,35 +67,81 @@ class StageTables:
         bucket_by: str | None = None,
         buckets: int | None = None,
         conf: dict[str, str] | None = None,
+        range_by: str | None = None,
     ) -> DataFrame:
         """The stage table ``name``, written from ``build()`` if it does not exist yet.
 
-        Buckets are sorted by their key. ``conf`` holds for the session while the table is written.
+        Buckets are sorted by their key; so are the files of a table laid out by ranges of a column, of
+        which a reader of few values opens few. ``conf`` holds for the session while it is written.
         """
         if not self.exists(name):
+            path = f"{self.folder}/{name}_{uuid.uuid4().hex[:8]}"
+            manifest = {"path": path, "bucket_by": bucket_by, "buckets": buckets if bucket_by else None}
             with _conf(self.spark, conf or {}):
-                writer = build().write.format("parquet").mode("overwrite")
-                if bucket_by and buckets:
-                    writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
-                writer.option("path", f"{self.folder}/{name}").saveAsTable(self._full(name))
-        return self.spark.table(self._full(name))
+                df = build()
+                if range_by:
+                    df = df.repartitionByRange(range_by).sortWithinPartitions(range_by)
+                if manifest["buckets"]:
+                    writer = df.write.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by)
+                    writer.option("path", path).saveAsTable(_table_name(path))
+                else:
+                    df.write.parquet(path)
+            self.files.create(self._manifest(name), json.dumps(manifest))
+        found = self._found(name)
+        if not found["buckets"]:
+            return self.spark.read.parquet(found["path"])
+        return self._bucketed(found)
+
+    def _bucketed(self, found: dict) -> DataFrame:
+        name = _table_name(found["path"])
+        if not self.spark.catalog.tableExists(name):
+            schema = self.spark.read.parquet(found["path"]).schema
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            by = found["bucket_by"]
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {found['buckets']} BUCKETS "
+                f"LOCATION '{found['path']}'"
+            )
+        return self.spark.table(name)
 
     def exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(self._full(name))
+        return self.files.exists(self._manifest(name))
 
     def bucket_count(self, name: str) -> int | None:
         """Number of buckets a written table has, or None."""
-        details = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self._full(name)}")
-        found = details.where("col_name = 'Num Buckets'").first()
-        return int(found.data_type) if found else None
+        return self._found(name)["buckets"]
+
+    def _manifest(self, name: str) -> str:
+        return f"{self.folder}/{name}.json"
 
-    def _full(self, name: str) -> str:
-        return f"{self.prefix}_{name}"
+    def _found(self, name: str) -> dict:
+        return json.loads(self.files.read(self._manifest(name)))
 
     def drop(self, *names: str) -> None:
         """Forget stage tables, so that they are built anew when next asked for."""
         for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
+            self.files.delete(self._manifest(name))
+
+    def rebuild(self) -> None:
+        """Start a new build, for changed inputs; the tables of the old one stay as they are."""
+        self.build = self._new_build()
+
+    def clean(self) -> None:
+        """Delete all builds but the present one. Nobody should be reading them any more."""
+        for build in self.files.names(f"{self.root}/builds"):
+            if build != self.build:
+                self.files.delete(f"{self.root}/builds/{build}")
+
+    def remove(self) -> None:
+        """Delete all tables, as for a study under a random prefix that is over."""
+        self.files.delete(self.root)
+
+
+def _table_name(path: str) -> str:
+    """A name for the session's catalog that no other path has."""
+    table = path.rsplit("/", 1)[1]
+    return f"cohortlift_{hashlib.sha256(path.encode()).hexdigest()[:12]}_{table.rsplit('_', 1)[0]}"
 
 
 @contextmanager
@@ -84,39 +156,78 @@ def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A stored cohort: its size, the hash of its members, and where its counts are."""
+
+    cohort_id: str
+    n: int
+    members_hash: int
+    written: str
+
+    @property
+    def ids(self) -> tuple[int, ...]:
+        return tuple(map(int, re.findall(r"\d+", self.cohort_id)))
+
+
 class CohortStore:
-    """Stored cohort counts: one long table, partitioned by cohort.
+    """Stored cohort counts of one build.
 
-    Another cohort adds a partition instead of two columns, and a cohort computed again replaces
-    only its own partition.
+    Each write has a folder with one part for each cohort. What is stored of a patient set or a query
+    master is named by empty files in a folder of that set or master, so a request lists that folder and
+    reads one part, however many cohorts are stored. A cohort that is counted again gets a newer name.
     """
 
-    SCHEMA = "ccd string, cnt bigint, frc double, members_hash bigint, cohort_id string"
+    SCHEMA = "ccd string, cnt bigint, frc double, members_hash bigint"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
-        self._write_nothing("append")
-
-    def clear(self) -> None:
-        self._write_nothing("overwrite")
-
-    def _write_nothing(self, mode: str) -> None:
-        nothing = self.spark.createDataFrame([], self.SCHEMA)
-        nothing.write.mode(mode).partitionBy("cohort_id").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        self.files = Files(spark)
+
+    def find(self, result: int | None = None, master: int | None = None) -> list[Stored]:
+        """Newest counts of each cohort of a patient set or of a query master, newest ids last."""
+        folder = f"result/{result}" if result is not None else f"master/{master}"
+        newest: dict[str, Stored] = {}
+        for name in self.files.names(f"{self.path}/{folder}"):
+            if name.count("~") == 3:
+                cohort_id, n, members_hash, written = name.split("~")
+                found = Stored(cohort_id, int(n), int(members_hash), written)
+                if cohort_id not in newest or newest[cohort_id].written < written:
+                    newest[cohort_id] = found
+        return sorted(newest.values(), key=lambda s: s.ids)
+
+    def newest(self, result: int | None = None, master: int | None = None) -> Stored | None:
+        found = self.find(result, master)
+        return found[-1] if found else None
+
+    def get(self, cohort_id: str) -> Stored | None:
+        result = int(cohort_id.rsplit("_R", 1)[1])
+        return next((s for s in self.find(result=result) if s.cohort_id == cohort_id), None)
 
     def write(self, counts: DataFrame) -> None:
+        written = f"{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}/counts/{written}"
         (
             counts.select("ccd", "cnt", "frc", "members_hash", "cohort_id")
             .hint("rebalance", "cohort_id")  # few files per cohort; AQE splits large ones
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("cohort_id")
-            .parquet(self.path)
+            .write.partitionBy("cohort_id")
+            .parquet(path)
         )
+        totals = self.spark.read.schema(f"{self.SCHEMA}, cohort_id string").parquet(path)
+        for r in totals.where(F.col("ccd") == TOTAL).select("cohort_id", "cnt", "members_hash").collect():
+            stored = Stored(r.cohort_id, r.cnt, r.members_hash, written)
+            name = f"{r.cohort_id}~{r.cnt}~{r.members_hash}~{written}"
+            for folder in (f"master/{stored.ids[0]}", f"result/{stored.ids[2]}"):
+                self.files.create(f"{self.path}/{folder}/{name}", "")
+
+    def counts(self, stored: Stored) -> DataFrame:
+        """``ccd, cnt, frc, members_hash, cohort_id`` of one cohort."""
+        path = f"{self.path}/counts/{stored.written}/cohort_id={stored.cohort_id}"
+        return self.spark.read.schema(self.SCHEMA).parquet(path).withColumn("cohort_id", F.lit(stored.cohort_id))
 
     def cohort(self, cohort_id: str) -> DataFrame:
-        return self.read().where(F.col("cohort_id") == cohort_id)
+        stored = self.get(cohort_id)
+        if stored is None:
+            raise KeyError(cohort_id)
+        return self.counts(stored)

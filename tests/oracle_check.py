@@ -66,7 +66,7 @@ def main() -> None:
     sql = entry.oracle_sql()
     bad = 0
     for name, query in entry.queries().items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+        if name not in sql or len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
         start = time.time()
         df = query(spark, sf_dir)

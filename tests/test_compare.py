@@ -120,7 +120,7 @@ def test_limited_plan_has_top_k_and_no_window(spark, tables):
     population, test, _, schemes = tables
     result = cmp.compare(cmp.concept_scores(population, test), schemes, 3, ["A:"])
     text = result._jdf.queryExecution().sparkPlan().toString()
-    assert text.count("TakeOrderedAndProject") == 3
+    assert text.count("TakeOrderedAndProject") == 2  # one for each end; the total is one row
     assert "Window" not in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
@@ -149,8 +149,11 @@ def test_report(spark, tables):
     assert float(lines[1][7]) == pytest.approx(4)
     assert lines[5] == ("...", "", "", "", "", "", "", "", "")
     assert lines[7][6] == ""  # no chi-square where the cohort has all
-    with pytest.raises(ValueError):
-        report.label_columns("a b", "A-B")
+    twins = report.report_table(result, "Name", "name")
+    assert twins.columns[2:6] == ["NAME_2", "FRC_NAME_2", "NAME_3", "FRC_NAME_3"]
+    assert report.label_columns("a b", "A-B")["test"] == "A_B_2"
+    assert report.label_columns("x", "FRC_x")["test"] == "FRC_X_2"
+    assert twins.count() == len(lines)
 
 
 def test_report_without_an_under_represented_code(spark, tables):
@@ -175,14 +178,10 @@ def test_csv_and_json_round_trip(spark, tables, tmp_path):
 def test_payload(spark, tables):
     population, test, _, schemes = tables
     result = cmp.compare(cmp.concept_scores(population, test), schemes, limit=1)
-    got = json.loads(sinks.payload(result, schemes, "fine", 1))
+    got = json.loads(sinks.payload(result, "fine", 1))
     assert got["cols"][:3] == ["PREFIX", "CCD", "NAME"] and got["status"] == "fine"
     assert [r[1] for r in got["rows"]] == ["TOTAL", "A:1", "C:1"]
-    assert got["prefixes"][0] == ["A", "Alpha"]
-    assert json.loads(sinks.payload(None, None, "nothing", None)) == {
-        "cols": [],
-        "rows": [],
-        "status": "nothing",
-    }
-    with pytest.raises(ValueError):
-        sinks.payload(result, schemes, "fine", None)
+    assert json.loads(sinks.payload(None, "nothing", None)) == {"cols": [], "rows": [], "status": "nothing"}
+    for limit in (None, 20_000):
+        with pytest.raises(ValueError, match="write_payload"):
+            sinks.payload(result, "fine", limit)

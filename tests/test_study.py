@@ -81,7 +81,28 @@ def test_patient_set_against_population(study):
     assert ordered[1:11] == found[1:11]
     assert set(found) <= set(ordered)
     body = json.loads(run.payload())
-    assert body["status"] == st.DONE and len(body["rows"]) == 21 and len(body["prefixes"]) > 3
+    assert body["status"] == st.DONE and len(body["rows"]) == 21
+    with pytest.raises(ValueError, match="write_payload"):
+        run.payload(most_rows=20)
+
+
+def test_whole_payload_of_many_domains(spark, tmp_path):
+    from cohortlift.sources import sinks
+
+    result = spark.range(12_000).select(F.col("id").cast("string").alias("ccd"))
+    schemes = spark.range(12_000).select(
+        F.concat(F.lit("D"), "id").alias("c_name"), F.lit("a domain").alias("c_description")
+    )
+    sinks.write_payload(result, schemes, "fine", f"{tmp_path}/payload")
+    lines = sinks.read_payload(spark, f"{tmp_path}/payload").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in lines} == {"rows": 12_000, "prefixes": 12_000, "status": 1}
+
+
+def test_buckets_for_any_number_of_patients():
+    assert st.choose_buckets(1_000_000, 8, 40) == 40
+    assert st.choose_buckets(1_000_000, 8, 200) == st.choose_buckets(1_000_000, 8, 4) == 10
+    assert st.choose_buckets(10**9, 1_000, 200) == 10_000
+    assert st.choose_buckets(10**10, 1_000, 200) == st.choose_buckets(10**12, 1_000, 90_000) == 20_000
 
 
 def test_small_cohorts(study):
@@ -144,12 +165,7 @@ RULES = Rules(active="concept_cd LIKE 'V:%'")
 def poison(study, cohort_id):
     """Change a stored count, to see whether the stored result is used."""
     stored = study.store().cohort(cohort_id)
-    rows = [tuple(r) for r in stored.collect()]
-    schema = stored.schema
-    changed = study.spark.createDataFrame(
-        [(c, 9 if c == "A:1" else n, f, h, i) for c, n, f, h, i in rows], schema
-    )
-    study.store().write(changed)
+    study.store().write(stored.withColumn("cnt", F.when(F.col("ccd") == "A:1", 9).otherwise(F.col("cnt"))))
 
 
 def count_of(run, code):
@@ -198,16 +214,84 @@ def test_query_master_uses_its_latest_set_or_an_equal_stored_one(spark):
     assert grown.run(query_master=1, only_existing=True).cohort_id == "M1_I11_R105"
 
 
-def test_rebuild_follows_changed_facts(spark):
+@pytest.mark.parametrize("mode", ["static", "dynamic"])
+def test_rebuild_follows_changed_facts(spark, mode):
     members = [(100, p) for p in range(6)]
     stage = StageTables(spark)
-    study = Study(spark, small_star(spark, members), RULES, stage)
-    assert count_of(study.run(patient_set=100), "A:1") == 3
-    more = Study(spark, small_star(spark, members, [(1, "A:1", None)]), RULES, stage)
-    assert count_of(more.run(patient_set=100), "A:1") == 3
-    more.rebuild()
-    assert more.store().read().count() == 0
-    assert count_of(more.run(patient_set=100), "A:1") == 4
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, mode)
+        study = Study(spark, small_star(spark, members), RULES, stage)
+        assert count_of(study.run(patient_set=100), "A:1") == 3
+        old = study.population_counts()
+        more = Study(spark, small_star(spark, members, [(1, "A:1", None)]), RULES, stage)
+        assert count_of(more.run(patient_set=100), "A:1") == 3
+        more.rebuild()
+        assert more.store().newest(result=100) is None
+        assert count_of(more.run(patient_set=100), "A:1") == 4
+        counted = {r.ccd: r.total for r in more.population_counts().collect()}
+        assert counted["A:1"] == 16 and {r.ccd: r.total for r in old.collect()}["A:1"] == 15
+        more.tables.clean()
+        assert count_of(more.run(patient_set=100), "A:1") == 4
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_another_session_finds_the_tables_and_changed_rules_make_others(spark, tmp_path):
+    members = [(100, p) for p in range(6)]
+    star = small_star(spark, members)
+    first = Study(spark, star, RULES, StageTables(spark, "site", str(tmp_path)))
+    assert count_of(first.run(patient_set=100), "A:1") == 3
+
+    def nothing():
+        raise AssertionError("built again")
+
+    other = spark.newSession()
+    for name in [t for t in other.catalog.listTables() if t.name.startswith("cohortlift_")]:
+        other.sql(f"DROP TABLE {name.name}")  # as in another application, whose catalog is empty
+    again = Study(other, star, RULES, StageTables(other, "site", str(tmp_path)))
+    for table in ("active", "branch_map", "pairs", "population"):
+        assert again.tables.table(table, nothing).count() > 0
+    assert again.tables.bucket_count("pairs") == first.tables.bucket_count("pairs")
+    assert again.store().newest(result=100).n == 6
+    stricter = Study(other, star, Rules(active=RULES.active, min_total=20), StageTables(other, "site", str(tmp_path)))
+    assert "A:1" not in codes_of(stricter.population_counts())
+    assert "A:1" in codes_of(again.population_counts())
+
+
+def test_requests_read_one_stored_cohort(spark, plan):
+    members = [(r, p) for r in range(100, 130) for p in range(r % 7)]
+    data = small_star(spark, members)
+    star = Star(
+        **{t: getattr(data, t) for t in SCHEMAS if t not in ("query_instances", "query_results")},
+        query_instances=spark.createDataFrame([(10, 1)], SCHEMAS["query_instances"]),
+        query_results=spark.createDataFrame([(r, 10, 1) for r in range(100, 130)], SCHEMAS["query_results"]),
+    )
+    study = Study(spark, star, RULES)
+    study.ensure_cohorts(*range(100, 130))
+    assert len(study.store().find(master=1)) == 30
+    stored = study.store().newest(result=104)
+    assert (stored.cohort_id, stored.n) == ("M1_I10_R104", 6)
+    files = study.store().counts(stored).inputFiles()
+    assert files and all("cohort_id=M1_I10_R104/" in f for f in files)
+
+
+def test_the_reserved_code_is_refused(spark):
+    members = [(100, p) for p in range(6)]
+    study = Study(spark, small_star(spark, members, [(p, "TOTAL", None) for p in range(20)]), RULES)
+    with pytest.raises(ValueError, match="reserved"):
+        study.run(patient_set=100)
+
+
+def test_one_master_reads_its_own_memberships(study, plan):
+    from cohortlift.operators import cohorts as co
+
+    t = study.star
+    resolved = co.resolve_query(t.query_masters, t.query_instances, t.query_results, t.patient_sets, 11)
+    text = plan(resolved)
+    assert "PushedFilters: [In(result_instance_id, [1,2])" in text.replace("IsNotNull(result_instance_id), ", "")
+    assert resolved.count() == 1
 
 
 def test_inactive_members_do_not_count(spark):
