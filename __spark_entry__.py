@@ -145,7 +145,7 @@ def cohort_members(s: Study) -> DataFrame:
 
 
 def cohort_counts(s: Study) -> DataFrame:
-    return _rounded(_counts(s, *SETS))
+    return _rounded(counts.with_zeros(_counts(s, *SETS), s.population_counts(), list(SETS)))
 
 
 def counts_wide(s: Study) -> DataFrame:
@@ -205,8 +205,8 @@ def compare_query(s: Study) -> DataFrame:
 def existing_cohort(s: Study) -> DataFrame:
     s.ensure_cohorts(retail.BUILDING, retail.MACHINERY)
     store = s.store()
-    stored = store.counts(store.newest(result=retail.MACHINERY))
-    return _rounded(stored.select("cohort_id", "ccd", "cnt", "frc"))
+    found = store.newest(result=retail.MACHINERY)
+    return _rounded(counts.with_zeros(store.counts(found), s.population_counts(), [found.cohort_id]))
 
 
 def export_whole(s: Study) -> DataFrame:

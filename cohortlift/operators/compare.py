@@ -69,7 +69,14 @@ def concept_scores(
         base = base.where(F.col("ref") >= cutoff)
     q, p = F.col("frc_ref"), F.col("frc_test")
     return (
-        base.join(rows, "ccd")
+        base.join(rows, "ccd", "left")
+        .withColumns(
+            {
+                # Stored counts are positive; a code without one has no patient in the cohort.
+                "test": F.coalesce("test", F.lit(0).cast("bigint")),
+                "frc_test": F.coalesce("frc_test", F.lit(0.0)),
+            }
+        )
         .withColumns(
             {
                 "chisq": scores.chisq(F.col("test"), n, q, p),

@@ -72,52 +72,48 @@ def cohort_counts(
     sizes: dict[str, tuple[int, int]],
     buckets: int | None = None,
 ) -> DataFrame:
-    """``cohort_id, ccd, cnt, frc, members_hash`` of each measured cohort for every population code.
-
-    Counts of all cohorts come from one pass over ``pairs``. A zero for every population code, which
-    carries the cohort's measures, joins the same aggregation, so that codes without a cohort
-    patient need no join. Flagged labs are divided by the cohort's count of their base lab, other
-    codes by the cohort's size; the ``TOTAL`` row holds the size. ``members`` are distinct
-    ``(cohort_id, pn)``. If ``pairs`` has ``buckets`` by patient, only the members are shuffled: each
-    bucket probes a hash table of its share of them or, if the share is large, is merged with it.
+    """``cohort_id, ccd, cnt, frc, members_hash`` of each measured cohort: positive counts and the total.
+
+    Counts of all cohorts come from one pass over ``pairs``, for codes of the population. Flagged labs are
+    divided by the cohort's count of their base lab, other codes by the cohort's size; the ``TOTAL`` row
+    holds the size. ``members`` are distinct ``(cohort_id, pn)``. If ``pairs`` has ``buckets`` by patient,
+    only the members are shuffled: each bucket probes a hash table of its share of them or, if the share
+    is large, is merged with it.
     """
     if not sizes:
         raise ValueError("name at least one cohort")
-    members = members.where(F.col("cohort_id").isin(list(sizes)))
+    measures = F.broadcast(  # a row for each cohort of the request
+        pairs.sparkSession.createDataFrame(
+            [(c, n, h) for c, (n, h) in sizes.items()], "cohort_id string, n bigint, members_hash bigint"
+        )
+    )
+    members = members.join(measures.select("cohort_id"), "cohort_id", "left_semi")
     if buckets:
         # Spelled out, as otherwise the side with more partitions would set the number for both.
         members = members.repartition(buckets, "pn")
         if sum(n for n, _ in sizes.values()) / buckets <= MEMBERS_PER_BUCKET:
             members = members.hint("shuffle_hash")
-    hits = pairs.join(members, "pn").select(
-        "cohort_id", "ccd", F.lit(1).alias("hit"), *[_null_long(c) for c in ("n", "members_hash")]
-    )
-    listed = [
-        F.struct(F.lit(c).alias("cohort_id"), _long(n).alias("n"), _long(h).alias("members_hash"))
-        for c, (n, h) in sizes.items()
-    ]
-    zeros = population.select(F.inline(F.array(*listed)), "ccd", F.lit(0).alias("hit"))
+    hits = pairs.join(members, "pn").groupBy("cohort_id", "ccd").agg(F.count("*").alias("cnt"))
     counted = (
-        hits.unionByName(zeros)
-        .groupBy("cohort_id", "ccd")
-        .agg(
-            F.sum("hit").alias("cnt"),
-            F.max("n").alias("n"),
-            F.max("members_hash").alias("members_hash"),
-        )
+        _with_base_count(hits, "cnt", "cohort_id")
+        .join(population.where(F.col("ccd") != TOTAL).select("ccd"), "ccd", "left_semi")
+        .join(measures, "cohort_id")
+        .select("cohort_id", "ccd", "cnt", _fraction("cnt", F.col("n")).alias("frc"), "members_hash")
     )
-    is_total = F.col("ccd") == TOTAL
-    fraction = F.coalesce(_fraction("cnt", F.col("n")), F.lit(0.0))
+    totals = measures.select(
+        "cohort_id", F.lit(TOTAL).alias("ccd"), F.col("n").alias("cnt"), F.lit(1.0).alias("frc"), "members_hash"
+    )
+    return counted.unionByName(totals)
+
+
+def with_zeros(counts: DataFrame, population: DataFrame, cohort_ids: list[str]) -> DataFrame:
+    """``cohort_id, ccd, cnt, frc`` of the named cohorts for every population code."""
+    ids = F.explode(F.array(*[F.lit(c) for c in cohort_ids])).alias("cohort_id")
+    found = counts.select("cohort_id", "ccd", "cnt", "frc")
     return (
-        _with_base_count(counted, "cnt", "cohort_id")
-        .where("n is not null")  # codes of the population only
-        .select(
-            "cohort_id",
-            "ccd",
-            F.when(is_total, F.col("n")).otherwise(F.col("cnt")).alias("cnt"),
-            F.when(is_total, F.lit(1.0)).otherwise(fraction).alias("frc"),
-            "members_hash",
-        )
+        population.select(ids, "ccd")
+        .join(found, ["cohort_id", "ccd"], "left")
+        .select("cohort_id", "ccd", F.coalesce("cnt", _long(0)).alias("cnt"), F.coalesce("frc", F.lit(0.0)).alias("frc"))
     )
 
 
@@ -129,9 +125,13 @@ def counts_wide(population: DataFrame, counts: DataFrame, cohort_ids: list[str])
         columns += [F.max(F.when(here, F.col("cnt"))).alias(c)]
         columns += [F.max(F.when(here, F.col("frc"))).alias(f"frc_{c}")]
     wide = counts.where(F.col("cohort_id").isin(cohort_ids)).groupBy("ccd").agg(*columns)
-    names = [n for c in cohort_ids for n in (c, f"frc_{c}")]
+    zeros = [
+        F.coalesce(F.col(n), zero).alias(n)
+        for c in cohort_ids
+        for n, zero in ((c, _long(0)), (f"frc_{c}", F.lit(0.0)))
+    ]
     return population.join(wide, "ccd", "left").select(
-        "prefix", "ccd", "name", "total", "frc_total", *names
+        "prefix", "ccd", "name", "total", "frc_total", *zeros
     )
 
 
@@ -170,10 +170,6 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _null_long(name: str) -> Column:
-    return F.lit(None).cast("bigint").alias(name)
-
-
 def _number(value: Column | int) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

@@ -198,7 +198,9 @@ def test_cohort_counts(spark, rows):
     assert {c: n for c, (n, _) in sizes.items()} == {"A": 4, "B": 1, "EMPTY": 0}
     for buckets in (None, 3):
         counts = ct.cohort_counts(pairs, members, population, sizes, buckets)
-        got = {(r.cohort_id, r.ccd): r for r in counts.collect()}
+        assert counts.where("cnt <= 0 and ccd <> 'TOTAL'").count() == 0  # zeros are not stored
+        filled = ct.with_zeros(counts, population, ids)
+        got = {(r.cohort_id, r.ccd): r for r in filled.collect()}
         assert len(got) == 3 * population.count()
         assert (got["A", "LOINC:123-4"].cnt, got["A", "LOINC:123-4"].frc) == (4, 1.0)
         assert (got["A", "H_LOINC:123-4"].cnt, got["A", "H_LOINC:123-4"].frc) == (3, 3 / 4)

@@ -29,6 +29,7 @@ def test_shared_tables_hold_their_keys(study):
 
 def test_invariants(study):
     counts = study.compute_cohorts({"A": retail.BUILDING, "B": retail.NOBODY})
+    counts = ct.with_zeros(counts, study.population_counts(), ["A", "B"])
     joined = counts.join(study.population_counts(), "ccd")
     bad = joined.where("cnt > total or frc < 0 or frc > 1 or frc_total <= 0 or frc_total > 1")
     assert bad.count() == 0
