@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,7 +85,11 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def _levels(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Level k: (tree, node, up, n, total), ``up`` the ancestor 2**k above, over the n nodes below it."""
+    """Level k: (tree, node, up, n, total), ``up`` the ancestor 2**k above, over the n nodes below it.
+
+    A level holds the nodes that had an ancestor so high in the level before; where ``up`` is null the
+    root is reached, and n and total are those of the whole path.
+    """
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     first = nodes.join(known, ["tree", "parent"], "left").select(
         "tree",
@@ -96,25 +101,27 @@ def _levels(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
     levels = [scratch.write(first, "level_0")]
     open_before = None
     while True:
-        now = levels[-1]
-        still_open = now.where("up is not null").count()
-        # Nodes that a cycle holds stay open for ever; any other node is done within the next step.
+        now = levels[-1].where("up is not null")
+        still_open = now.count()
+        # Nodes that a cycle holds stay open for ever; of others the open ones get fewer each time.
         if still_open in (0, open_before):
             return levels
         open_before = still_open
-        above = now.select(
-            "tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("t2")
-        )
-        doubled = now.join(above, ["tree", "up"], "left").select(
+        above = now.unionByName(_at_root(levels)).toDF("tree", "up", "up2", "n2", "total2")
+        doubled = now.join(above, ["tree", "up"]).select(
             "tree",
             "node",
             F.col("up2").alias("up"),
-            (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
-            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
+            (F.col("n") + F.col("n2")).alias("n"),
+            (F.col("total") + F.col("total2")).alias("total"),
         )
         levels.append(scratch.write(doubled, f"level_{len(levels)}"))
 
 
+def _at_root(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [level.where("up is null") for level in levels])
+
+
 def ranked_paths(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     """(tree, path, rank, place, role, text) of the ``top`` branches of each tree.
 
@@ -124,7 +131,7 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     once = nodes.groupBy("tree", "node").agg(F.min(row).alias("r")).select("tree", "node", "r.*")
     once = scratch.write(once.withColumn("tree", F.coalesce("tree", F.lit(""))), "nodes")
     levels = _levels(once, scratch)
-    done = levels[-1].where("up is null")
+    done = _at_root(levels)
     parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node"))
     leaves = done.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("n")), "node")
