@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlift.llm import secrets_sql
 from cohortlift.llm.chat import OP6_SQL, op6_chat
 from cohortlift.llm.decontamination import op7_decontamination
 from cohortlift.llm.fingerprints import op1_fingerprint
@@ -30,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL}
+    return {"op6_chat": OP6_SQL, "op9_secret_scan": secrets_sql.build()}

@@ -9,9 +9,10 @@ import re
 
 import pytest
 
-from cohortlift.llm import mixing, pii, secrets
+from cohortlift.llm import mixing, pii, registry, secrets
 from cohortlift.llm.common import Scratch
 from tests.llm.rows import empty, odd
+from tests.oracle_check import differences, run_sql
 
 
 def _docs(spark, texts):
@@ -52,6 +53,12 @@ def test_secret_scan_matches_brute_force(spark):
     assert any(r["s"] for r in rows)
 
 
+def test_secret_scan_equals_its_sql(spark):
+    small = "/root/testdata/sf0.001"
+    columns, rows = run_sql(small, registry.oracle_sql()["op9_secret_scan"])
+    assert differences(registry.queries()["op9_secret_scan"](spark, small), columns, rows) == ""
+
+
 def test_trigram_queries_hold_for_every_match():
     rng = random.Random(5)
     for rule in secrets.BASE + secrets.MORE:
