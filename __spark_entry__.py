@@ -24,7 +24,7 @@ from cohortlift.sources import retail, sinks  # noqa: E402
 from cohortlift.sources.stage import shared_folder  # noqa: E402
 
 try:
-    from cohortlift.llm import registry as llm  # noqa: E402
+    import cohortlift.llm.registry as llm  # noqa: E402
 except ModuleNotFoundError as error:
     if not (error.name or "").startswith("cohortlift.llm"):
         raise
