@@ -7,9 +7,8 @@ orthogonal to their vectors, so every pair within the radius agrees on all kept
 
 Only distinct fingerprints enter the tables. A bucket of up to ``BUCKET`` of them is compared at once
 and emits a spanning set of links, not all pairs. A larger one is dealt out by the points halfway: two
-fingerprints within 2 h bits have a common point within h bits of each, so each one emits all points
-within h flips of bits that the table ignores, and those that meet in a point are linked to the least
-of them (exactly for even radii; odd ones check the link). No bucket is capped or skipped.
+fingerprints within the radius have a point between them, so each one emits the points within half of it,
+by flips of bits that the table ignores, and those that meet in a point are linked. No bucket is capped.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any
 other; rows without id keep their fingerprint, and ids that repeat count as one document for each text.
@@ -27,12 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlift.llm.common import Scratch, table, whole_text
+from cohortlift.llm.common import Scratch, table, whole_text, within
 from cohortlift.llm.components import connected_components
 
 SEED = 42
-#: Distinct fingerprints of a bucket that are compared in one task.
-BUCKET = 2_048
+#: Distinct fingerprints of a bucket that are compared in one task: a second or so of work. Points halfway are
+#: thousands for each fingerprint at a radius of 6, so they pay only for buckets that are larger still.
+BUCKET = 32_768
 #: Bytes of text cut into words, and shingles whose bits are counted, at a time.
 PIECE_BYTES = 4_000_000
 PIECE_SHINGLES = 100_000
@@ -128,28 +128,32 @@ def _star_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     links = []
     for i in range(1, len(fps)):
         near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= radius)
-        for j in np.unique(root[near]):  # one link to each group it joins
-            links.append((int(fps[i]), int(fps[near[np.argmax(root[near] == j)]])))
-            root[root == j] = i
+        if not len(near):
+            continue
+        groups = root[near]
+        root[i] = groups[0]
+        links.append((int(fps[i]), int(fps[near[0]])))
+        for other in np.unique(groups[groups != groups[0]]):  # one link to each group that i joins
+            links.append((int(fps[i]), int(fps[near[np.argmax(groups == other)]])))
+            root[root == other] = groups[0]
     return links
 
 
 def links_within(distinct: DataFrame, radius: int, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links among distinct fingerprints ``fp`` that connect all pairs within ``radius`` bits."""
-    tables = F.array(
-        *[
-            F.struct(F.lit(n).alias("n"), F.lit(m).cast("bigint").alias("mask"))
-            for n, m in enumerate(covering_masks(radius))
-        ]
-    )
-    placed = distinct.select("fp", F.explode(tables).alias("t")).select(
-        "fp", "t.n", "t.mask", F.col("fp").bitwiseAND(F.col("t.mask")).alias("key")
-    )
-    sizes = placed.groupBy("n", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    masks = covering_masks(radius)
+    of_table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("mask")) for n, m in enumerate(masks)])
+    # One number names table and kept bits, the table in its low bits; should two buckets get one number,
+    # their fingerprints are compared in vain.
+    low = len(masks)  # a power of two less one
+    kept = F.xxhash64(F.col("fp").bitwiseAND(F.col("t.mask")), F.col("t.n"))
+    key = kept.bitwiseAND(F.lit(~low)).bitwiseOR(F.col("t.n"))
+    placed = distinct.select("fp", F.explode(of_table).alias("t")).select("fp", key.alias("key"))
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = scratch.write(sizes, "buckets")
     small = (
-        placed.join(sizes.where(F.col("size") <= bucket), ["n", "key"])
-        .groupBy("n", "key")
+        placed.join(within(sizes.where(F.col("size") <= bucket).select("key")), "key")
+        .groupBy("key")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     )
 
@@ -162,21 +166,24 @@ def links_within(distinct: DataFrame, radius: int, scratch: Scratch, bucket: int
             )
 
     near = small.select("fps").mapInArrow(compare, "u bigint, v bigint")
-    large = placed.join(sizes.where(F.col("size") > bucket), ["n", "key"])
-    return near.union(_halfway_links(large, radius))
+    large = placed.join(within(sizes.where(F.col("size") > bucket).select("key")), "key")
+    mask = F.get(F.lit(masks), F.col("key").bitwiseAND(F.lit(low)).cast("int"))
+    return near.union(_halfway_links(large.select("fp", mask.alias("mask")), radius))
 
 
 def _halfway_links(placed: DataFrame, radius: int) -> DataFrame:
-    half = (radius + 1) // 2
-    flips = [sum(1 << i for i in c) for k in range(half + 1) for c in itertools.combinations(range(64), k)]
+    """Links of large buckets. Of a pair within the radius one is within half of it, rounded down, of some
+    point, and the other within the rest; all that reach a point are linked to the least so near to it."""
+    near, far = radius // 2, radius - radius // 2
+    flips = [sum(1 << i for i in c) for k in range(far + 1) for c in itertools.combinations(range(64), k)]
     signed = [f - (1 << 64) if f >> 63 else f for f in flips]
     # A pair of the same bucket differs only in bits that its table ignores.
     usable = F.filter(F.lit(signed), lambda f: f.bitwiseAND(F.col("mask")) == 0)
-    points = placed.select("fp", F.explode(F.transform(usable, lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
-    if radius % 2 == 0:
-        least = points.groupBy("point").agg(F.min("fp").alias("v"))
-        return points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    raise ValueError("buckets above the bound need an even radius")
+    points = placed.select("fp", F.explode(usable).alias("flip")).select(
+        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") <= near).alias("near")
+    )
+    least = points.where("near").groupBy("point").agg(F.min("fp").alias("v"))
+    return points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def grouped(docs: DataFrame, words: int, radius: int, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:

@@ -100,8 +100,8 @@ def test_masks_cover_every_pair_within_the_radius(radius):
         assert any((m & (2**64 - 1)) & differing == 0 for m in masks)
 
 
-@pytest.mark.parametrize("bucket", [1, 3, 10_000])
-def test_links_connect_all_pairs_within_the_radius(spark, bucket):
+@pytest.mark.parametrize("bucket, radius", [(1, 2), (1, 3), (3, 2), (10_000, 2), (10_000, 5)])
+def test_links_connect_all_pairs_within_the_radius(spark, bucket, radius):
     rng = random.Random(9)
     fps = set()
     for _ in range(12):  # chains and clusters around a few centres
@@ -119,14 +119,14 @@ def test_links_connect_all_pairs_within_the_radius(spark, bucket):
 
     for i, a in enumerate(fps):
         for b in fps[:i]:
-            if (a ^ b).bit_count() <= 2 and find(a) != find(b):
+            if (a ^ b).bit_count() <= radius and find(a) != find(b):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     frame = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")
     scratch = Scratch(spark, "t")
-    links = scratch.write(simhash.links_within(frame, 2, scratch, bucket), "links")
+    links = scratch.write(simhash.links_within(frame, radius, scratch, bucket), "links")
     for r in links.collect():
-        assert ((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() <= 2
+        assert ((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() <= radius
     roots = {r["node"]: r["root"] for r in connected_components(links, scratch).collect()}
     groups = defaultdict(set)
     for f in fps:
