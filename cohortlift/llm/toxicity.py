@@ -311,6 +311,7 @@ def _windows(found: pa.Table) -> Windows:
     words[there] = flat
     sizes[there] = ragged("sizes")[0]
     edges = np.concatenate([[0], np.cumsum(sizes.reshape(-1), dtype=np.int64)])
+    pa.default_memory_pool().release_unused()
     _, doc = np.unique(plain["doc_id"][order], return_inverse=True)
     return Windows(words, there, ragged("grams")[0], edges, doc, plain["label"][order] == 1)
 
