@@ -5,7 +5,9 @@ its BM25 share of its segment's own score, so a passage that holds the whole seg
 passage of every document (windows of ``PASSAGE`` words, half overlapping, so that each segment-long run
 of words lies whole in one) is a query. Block-max WAND retrieves all segments that score at least
 ``threshold``, and these are verified: an item counts as leaked if a document's passages hold at least
-``overlap`` of the word n-grams of its question, and of its answer.
+``overlap`` of the words of its question, and of its answer. A word is held if it stands there with one of
+its neighbours in the item, so that a changed word costs itself and not the words around it. Items without
+an answer of their own are verified as a whole.
 
 WAND runs only in the live blocks of a passage: the greatest impacts of its rarer terms in the block, with
 the most that frequent terms give any segment there, reach the threshold. No other block can hold a hit.
@@ -38,8 +40,8 @@ SHARD = 20_000
 BLOCK = 8
 FREQUENT = 0.04
 K1, B = 1.2, 0.75
-#: Words of the n-grams by which overlap is measured; a shorter question or answer is one n-gram.
-GRAM = 5
+#: Words are neighbours up to this distance: past one word that is changed, left out or put in.
+REACH = 2
 
 _WORDS = re.compile(r"\w+")
 
@@ -48,7 +50,7 @@ _WORDS = re.compile(r"\w+")
 class Rule:
     #: Share of a segment's own BM25 score from which it is retrieved.
     threshold: float = 0.7
-    #: Share of the n-grams of question and answer that a document must hold.
+    #: Share of the words of question and answer that a document must hold.
     overlap: float = 0.8
 
 
@@ -56,9 +58,26 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def grams(of: list[str]) -> list[tuple[str, ...]]:
-    n = min(GRAM, len(of))
-    return [tuple(of[i : i + n]) for i in range(len(of) - n + 1)] if n else []
+def pairs(of: list[str]) -> Iterator[tuple[tuple[str, ...], tuple[int, ...]]]:
+    """Neighbours in their order, and their places."""
+    for i in range(len(of)):
+        for j in range(i + 1, min(i + REACH + 1, len(of))):
+            yield (of[i], of[j]), (i, j)
+
+
+@dataclass
+class Part:
+    """A question or an answer: its length, and the places of its pairs; a lone word stands for itself."""
+
+    size: int
+    places: list[tuple[tuple[str, ...], tuple[int, ...]]]
+
+    @classmethod
+    def of(cls, found: list[str]) -> Part:
+        return cls(len(found), [((found[0],), (0,))] if len(found) == 1 else list(pairs(found)))
+
+    def share(self, held: set[int]) -> float:
+        return len(held) / self.size if self.size else 1.0
 
 
 @dataclass
@@ -75,9 +94,9 @@ class Postings:
 class Index:
     terms: dict[str, int]
     postings: list[Postings]
-    #: Of each segment its item; of each item its id and the n-grams of question and answer.
+    #: Of each segment its item; of each item its id, question and answer.
     item_of: list[int]
-    items: list[tuple[int | None, list, list]]
+    items: list[tuple[int | None, Part, Part]]
     #: Of each rarer term (block, greatest impact there); None for frequent terms.
     rare: list[list[tuple[int, float]] | None] = field(default_factory=list)
     #: The most that frequent terms give a segment of each block.
@@ -93,7 +112,7 @@ def build(items: list[tuple], idf: dict[str, float], mean_length: float) -> Inde
     index = Index({}, [], [], [])
     for item_id, question, answer in items:
         q, a = words(question), words(answer)
-        index.items.append((item_id, grams(q), grams(a)))
+        index.items.append((item_id, Part.of(q), Part.of(a)))
         for segment in segments(q + a):
             scale = K1 * (1 - B + B * len(segment) / mean_length)
             counts = Counter(segment)
@@ -228,25 +247,27 @@ def leaks(index: Index, text: str | None, rule: Rule) -> list[tuple]:
         ]
         if not retrieved:
             continue
-        passage = found[start : start + PASSAGE]
+        end = min(start + PASSAGE, len(found))
         held: dict[int, set] = {}
         for segment, score in retrieved:
             item = index.item_of[segment]
             hit = hits.setdefault(item, _Hit(start=start))
-            hit.score, hit.end = max(hit.score, score), start + len(passage)
+            hit.score, hit.end = max(hit.score, score), end
             _, question, answer = index.items[item]
-            for wanted, seen in ((question, hit.question), (answer, hit.answer)):
-                for i, g in enumerate(wanted):
-                    n = len(g)
-                    if n not in held:
-                        held[n] = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
-                    if g in held[n]:
-                        seen.add(i)
+            # The rest of a longer item stands around the passage of one segment.
+            n = question.size + answer.size
+            more = n if n > SEGMENT else 0
+            if more not in held:
+                passage = found[max(0, start - more) : end + more]
+                held[more] = {p for p, _ in pairs(passage)} | {(w,) for w in passage}
+            for part, seen in ((question, hit.question), (answer, hit.answer)):
+                for pair, places in part.places:
+                    if pair in held[more]:
+                        seen.update(places)
     out = []
     for item, hit in sorted(hits.items()):
         item_id, question, answer = index.items[item]
-        q = len(hit.question) / len(question) if question else 1.0
-        a = len(hit.answer) / len(answer) if answer else 1.0
+        q, a = question.share(hit.question), answer.share(hit.answer)
         if q >= rule.overlap and a >= rule.overlap:
             out.append((item_id, hit.score, q, a, hit.start, hit.end))
     return out
@@ -310,12 +331,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFr
 
 
 def question_and_answer(benchmark: DataFrame) -> DataFrame:
-    """Items of plain texts: the last sentence is the answer, what stands before it the question."""
-    text = whole_text()
-    cut = r"(?s)^(.*[.!?])\s+(\S.*)$"
-    answer = F.regexp_extract(text, cut, 2)
-    question = F.when(answer == "", text).otherwise(F.regexp_extract(text, cut, 1))
-    return benchmark.select("item_id", question.alias("question"), answer.alias("answer"))
+    """Items of plain texts, which have no answer of their own: the question is the whole text."""
+    return benchmark.select("item_id", whole_text().alias("question"), F.lit("").alias("answer"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

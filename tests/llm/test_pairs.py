@@ -267,3 +267,24 @@ def test_decontamination_odd_rows(spark):
     assert Counter((r["doc_id"], r["item_id"]) for r in found) == {(1, 3): 2, (2, 3): 1, (8, None): 1}
     assert decontamination.find_leaks(empty(spark), items).count() == 0
     assert decontamination.find_leaks(odd(spark), items.limit(0)).count() == 0
+
+
+def test_leaks_with_a_word_changed_or_the_last_sentence_left_out(spark):
+    rng = random.Random(6)
+    pick = lambda n: [f"t{rng.randrange(400)}" for _ in range(n)]
+    items = [(i, pick(rng.randint(14, 40)), pick(rng.randint(1, 3))) for i in range(20)]
+    bench = spark.createDataFrame(
+        [(i, f"{' '.join(q)}. {' '.join(a)}.") for i, q, a in items], "item_id bigint, text string"
+    )
+    docs, expected = [], set()
+    for i, q, a in items:
+        whole = q + a
+        changed = [[*whole[:k], "other", *whole[k + 1 :]] for k in range(len(whole))]
+        for ws in [*changed, q]:
+            expected.add((len(docs), i))
+            docs.append((len(docs), " ".join(["before"] * 70 + ws + ["after"] * 70)))
+        docs.append((len(docs), " ".join(whole[: len(whole) * 7 // 10])))
+        docs.append((len(docs), " ".join(rng.sample(whole, len(whole)))))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
+    found = decontamination.find_leaks(frame, decontamination.question_and_answer(bench)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected
