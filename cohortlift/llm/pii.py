@@ -6,8 +6,9 @@ information content, both estimated from document counts over the whole corpus:
 
     share = log(N * n(t, e) / (n(t) * n(e))) / log(N / n(e))
 
-n(t, e) counts documents with t in the surroundings of e, n(t) and n(e) those with t or e anywhere.
-A term that occurs with e alone has share 1 and is removed; one above the threshold is generalised.
+n(t, e) counts documents that hold both, however far apart, n(t) and n(e) those with t or e. A term that
+occurs with e alone has share 1 and is removed; one above the threshold is generalised, both wherever they
+stand in the documents that hold e.
 
 Everything is DataFrame expressions. Defined results: a null text is empty; equal rows (id and text)
 count as one document in the estimates and each get their spans; ids may be null or repeated.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortlift.llm.common import Scratch, row_key, table, whole_text, within
 from cohortlift.llm.spans import (
+    between,
     by_start,
     count_of,
     find_spans,
@@ -46,7 +48,9 @@ CARD = r"[0-9](?:[ -]?[0-9]){15,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-WORD = r"[\p{L}\p{N}]{3,}"
+IN_WORD = r"[\p{L}\p{N}]"
+#: Characters of a word that may be a term.
+LEAST = 3
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -54,8 +58,6 @@ BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 class Disclosure:
     """When a term gives an entity away."""
 
-    #: Code points on each side of an entity that are its surroundings.
-    radius: int = 64
     #: Share of the entity's information from which a term is generalised.
     share: float = 0.9
     #: Documents in which both must occur together; fewer say nothing about how they relate.
@@ -95,112 +97,130 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _surroundings(text: Column, span: Column, radius: int) -> Column:
-    """The entity and the text on its two sides, with where each side starts and the text's length."""
-    left = F.greatest(span["start"] - radius, F.lit(0))
-    return F.struct(
-        _entity(span).alias("entity"),
-        left.alias("left"),
-        F.substring(text, (left + 1).cast("int"), (span["start"] - left).cast("int")).alias("before"),
-        span["end"].alias("right"),
-        F.substring(text, (span["end"] + 1).cast("int"), F.lit(radius)).alias("after"),
-    )
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces for its spans, in the order of start, so that all else keeps its place."""
+
+    def merge(acc: Column, s: Column) -> Column:
+        blank = F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)).cast("int")
+        gap = between(text, acc["at"], s["start"])
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], gap, F.repeat(F.lit(" "), blank)).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    rest = lambda acc: F.concat(acc["out"], between(text, acc["at"], F.char_length(text)))
+    return F.aggregate(spans, start, merge, rest)
+
 
+def words_of(text: Column) -> Column:
+    """The distinct words of a text as written."""
+    return F.filter(F.array_distinct(F.split(text, BETWEEN_WORDS)), lambda w: F.char_length(w) >= LEAST)
 
-def find_base(docs: DataFrame, rule: Disclosure) -> DataFrame:
-    """(doc_id, row, base, around): base spans and the surroundings of each."""
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(words_of(text), F.lower))
+
+
+def find_base(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, base, entities, rest): base spans, their entities, and the text without them."""
     text = whole_text()
     found = docs.select("doc_id", row_key().alias("row"), text.alias("t"), base_spans(text).alias("base"))
-    around = F.transform("base", lambda s: _surroundings(F.col("t"), s, rule.radius))
-    return found.select("doc_id", "row", "base", around.alias("around"))
-
-
-def mentions(base: DataFrame, rule: Disclosure) -> DataFrame:
-    """(row, entity, term, start, end, hit): whole words near an entity, outside all base spans."""
-    rows = base.where(F.size("base") > 0).dropDuplicates(["row"])
-    near = rows.select("row", "base", F.explode("around").alias("a"))
-    sides = near.select(
-        "row",
-        "base",
-        "a.entity",
-        F.explode(
-            F.array(
-                F.struct(F.col("a.left").alias("at"), F.col("a.before").alias("side"), F.lit(True).alias("head")),
-                F.struct(F.col("a.right").alias("at"), F.col("a.after").alias("side"), F.lit(False).alias("head")),
-            )
-        ).alias("s"),
-    ).select("row", "base", "entity", "s.*")
-    words = sides.select(
-        "row", "base", "entity", "at", "head",
-        F.char_length("side").alias("size"),
-        F.explode(find_spans(F.col("side"), "term", WORD)).alias("w"),
-    )
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    # A word at the outer edge of the surroundings may be cut off.
-    cut = (F.col("head") & (F.col("w.start") == 0) & (F.col("at") > 0)) | (
-        ~F.col("head") & (F.col("w.end") == F.col("size")) & (F.col("size") >= rule.radius)
-    )
-    apart = ~F.exists("base", lambda b: (b["start"] < start) & (start < b["end"]))
-    return words.where(~cut & apart).select(
-        "row", "entity", F.lower("w.hit").alias("term"),
-        start.alias("start"), end.alias("end"), F.col("w.hit").alias("hit"),
-    )
+    rest = F.when(F.size("base") > 0, blanked(F.col("t"), by_start(F.col("base"), KINDS)))
+    entities = F.array_distinct(F.transform("base", _entity))
+    return found.select("doc_id", "row", "base", entities.alias("entities"), rest.alias("rest"))
 
 
-def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame, rule: Disclosure, scratch: Scratch) -> DataFrame:
+def known_entities(base: DataFrame, rule: Disclosure, scratch: Scratch) -> DataFrame:
+    """(row, entity, n_entity) of the entities in at least ``support`` distinct rows."""
+    held = scratch.write(base.select("row", F.explode("entities").alias("entity")).distinct(), "held")
+    counts = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    counts = within(scratch.write(counts.where(F.col("n_entity") >= rule.support), "entities"))
+    return scratch.write(held.join(counts, "entity").select("row", "entity", "n_entity"), "known")
+
+
+def disclosures(
+    docs: DataFrame, rows: DataFrame, known: DataFrame, n_rows: int, rule: Disclosure, scratch: Scratch
+) -> DataFrame:
     """(entity, term, share) of the pairs at or above the threshold."""
-    n = F.lit(base.count()).cast("double")
+    n = F.lit(n_rows).cast("double")
     information = F.log(n / F.col("n_entity"))
 
-    def share(n_term: str) -> Column:
-        mutual = F.log(n * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+    def share(n_term: str | Column, n_both: str = "n_both") -> Column:
+        mutual = F.log(n * F.col(n_both) / (F.col(n_term) if isinstance(n_term, str) else n_term) / F.col("n_entity"))
         # In a corpus whose every document has the entity there is nothing left to disclose.
         return F.when(information > 0, mutual / information)
 
-    entities = (
-        base.select("row", F.explode("around.entity").alias("entity"))
-        .groupBy("entity")
-        .agg(F.count_distinct("row").alias("n_entity"))
-    )
-    # A term is in at least as many documents as have it near any entity. Where even that many make its
-    # share too small, it need not be counted in the corpus.
-    near_any = near.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
+    # A term is in at least as many documents as have it beside any entity. Where even that many make its
+    # share too small, it need not be counted: not for an entity whose every document has it, and not in
+    # the corpus.
+    near = rows.select("row", F.explode(terms_of(F.col("rest"))).alias("term"))
+    counts = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    most = known.agg(F.max("n_entity").alias("n_entity"))
+    counts = counts.where(F.col("n_near") >= rule.support).crossJoin(F.broadcast(most))
+    at_most = share("n_near", "n_entity") >= rule.share - 1e-9
+    # For all but the entities of more than a third of the documents, a greater count allows more.
+    often = F.col("n_entity") * 3 > n
+    counts = within(scratch.write(counts.where(at_most | often).select("term", "n_near"), "counts"))
     together = (
-        near.groupBy("entity", "term")
-        .agg(F.count_distinct("row").alias("n_both"))
-        .where(F.col("n_both") >= rule.support)
-        .join(entities, "entity")
-        .join(near_any, "term")
-        .where(share("n_near") >= rule.share)
+        near.join(counts, "term")
+        .join(within(known), "row")
+        .where(at_most)
+        .groupBy("entity", "term", "n_entity", "n_near")
+        .agg(F.count(F.lit(1)).alias("n_both"))
+        .where((F.col("n_both") >= rule.support) & (share("n_near") >= rule.share))
     )
     together = scratch.write(together, "together")
     terms = within(scratch.write(together.select("term").distinct(), "terms"))
-    words = F.array_distinct(F.split(F.lower(whole_text()), BETWEEN_WORDS))
-    counts = (
-        docs.select(F.explode(words).alias("term"))
+    in_docs = (
+        docs.select(F.explode(terms_of(whole_text())).alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    found = together.join(counts, "term").select("entity", "term", share("n_term").alias("share"))
+    # A word that only a base span sets off is not among the words of the plain text.
+    n_term = F.greatest("n_term", "n_near")
+    found = together.join(in_docs, "term", "left").select("entity", "term", share(n_term).alias("share"))
     return found.where(F.col("share") >= rule.share)
 
 
+def occurrences(text: Column, kinds: Column) -> Column:
+    """Spans of all whole words of ``text`` that are keys of the map ``kinds``, by start."""
+    one = F.concat(F.lit(rf"(?s).*?(?:(?<!{IN_WORD})(?:"), F.array_join(F.map_keys(kinds), "|"))
+    cuts = F.regexp_extract_all(text, F.concat(one, F.lit(rf")(?!{IN_WORD})|\z)")), F.lit(0))
+
+    def step(acc: Column, cut: Column) -> Column:
+        end = (acc["at"] + F.char_length(cut)).cast("bigint")
+        hit = F.regexp_extract(cut, rf"(?<!{IN_WORD}){IN_WORD}++\z", 0)
+        kind = F.try_element_at(kinds, hit)
+        span = F.struct(kind.alias("kind"), (end - F.char_length(hit)).alias("start"), end.alias("end"), hit.alias("hit"))
+        more = F.when(kind.isNotNull(), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), more.alias("found"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), no_spans().alias("found"))
+    return F.aggregate(cuts, start, step, lambda acc: acc["found"])
+
+
 def sanitise(docs: DataFrame, scratch: Scratch, rule: Disclosure = Disclosure()) -> DataFrame:  # noqa: B008
     """(doc_id, row, spans): base spans by kind, then terms to remove and to generalise, by start."""
-    base = scratch.write(find_base(docs, rule), "base")
-    near = scratch.write(mentions(base, rule), "near")
-    told = within(scratch.write(disclosures(docs, base, near, rule, scratch), "told"))
-    kind = F.when(F.col("share") >= 1 - 1e-9, "remove").otherwise("general")
-    span = F.struct(kind.alias("kind"), "start", "end", "hit")
-    terms = (
-        near.join(told, ["entity", "term"])
-        .groupBy("row", "start", "end", "hit")
-        .agg(F.max("share").alias("share"))
+    base = scratch.write(find_base(docs), "base")
+    known = known_entities(base, rule, scratch)
+    of_rows = within(scratch.write(known.select("row").distinct(), "of_rows"))
+    rows = base.where(F.size("base") > 0).select("row", "rest").join(of_rows, "row", "left_semi")
+    rows = scratch.write(rows.dropDuplicates(["row"]), "rows")
+    told = disclosures(docs, rows, known, base.count(), rule, scratch)
+    told = within(scratch.write(told, "told"))
+    kind = F.when(F.max("share") >= 1 - 1e-9, "remove").otherwise("general")
+    kinds = (
+        rows.select("row", F.explode(words_of(F.col("rest"))).alias("hit"))
+        .join(told.withColumnRenamed("term", "t"), F.lower("hit") == F.col("t"))
+        .join(within(known), ["row", "entity"])
+        .groupBy("row", "hit")
+        .agg(kind.alias("kind"))
         .groupBy("row")
-        .agg(F.collect_list(span).alias("terms"))
-        .select("row", by_start(F.col("terms"), TERM_KINDS).alias("terms"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("hit", "kind"))).alias("kinds"))
     )
+    terms = rows.join(kinds, "row").select("row", occurrences(F.col("rest"), F.col("kinds")).alias("terms"))
     of = lambda k: F.filter("terms", lambda s: s["kind"] == k)
     added = F.coalesce(F.concat(*[of(k) for k in TERM_KINDS]), no_spans())
     return base.join(terms, "row", "left").select("doc_id", "row", F.concat("base", added).alias("spans"))

@@ -78,7 +78,7 @@ def redact(text: Column, spans: Column, placeholder: Callable[[Column], Column])
 
     def merge(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
-        gap = _between(text, acc["at"], s["start"])
+        gap = between(text, acc["at"], s["start"])
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(inside, acc["out"])
@@ -91,10 +91,10 @@ def redact(text: Column, spans: Column, placeholder: Callable[[Column], Column])
         spans,
         start,
         merge,
-        lambda acc: F.concat(acc["out"], _between(text, acc["at"], F.char_length(text))),
+        lambda acc: F.concat(acc["out"], between(text, acc["at"], F.char_length(text))),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def _between(text: Column, start: Column, end: Column) -> Column:
+def between(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))

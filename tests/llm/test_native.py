@@ -152,6 +152,60 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[10] == texts[10]
 
 
+def test_terms_far_from_the_entity_are_found_and_replaced_everywhere(spark):
+    filler = " ".join(["plain words of any letter"] * 40)
+    far = [f"Dear Zanzibar, {filler} {i} boss@x.org {filler} ZANZIBAR. Zanzibar's" for i in range(4)]
+    texts = far + [f"dear {filler} nobody {i}" for i in range(60)] + ["rare@x.org Yonder"] * 2
+    docs = _docs(spark, texts)
+    found = pii.sanitise(docs, Scratch(spark, "t"))
+    rows = {r["doc_id"]: r["spans"] for r in found.collect()}
+    for i, text in enumerate(far):
+        expected = [("remove", m.start(), m.end()) for m in re.finditer("(?i)zanzibar", text)]
+        assert len(expected) == 3
+        assert [(s["kind"], s["start"], s["end"]) for s in rows[i] if s["kind"] != "email"] == expected
+    assert all(not rows[i] for i in range(4, 64))
+    assert [s["kind"] for s in rows[64]] == ["email"]  # in fewer rows than the support
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised_text(docs, found).collect()}
+    assert all("zanzibar" not in clean[i].lower() for i in range(4))
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}word" for a in "abcdefghij" for b in "abcdefghij"] + ["İxyz", "ab"]
+    entities = [f"p{i}@q.org" for i in range(12)] + ["10.0.0.1"]
+    texts = []
+    for i in range(400):
+        of = [rng.choice(vocabulary) for _ in range(rng.randint(0, 25))]
+        for e in rng.sample(range(13), rng.choice([0, 0, 0, 1, 2])):
+            of += [entities[e], f"Name{e}", rng.choice([f"Nick{e}", "nobody"])]
+        rng.shuffle(of)
+        texts.append(" ".join(of))
+    rule = pii.Disclosure()
+    rows = {r["doc_id"]: r["spans"] for r in pii.sanitise(_docs(spark, texts), Scratch(spark, "t"), rule).collect()}
+
+    word = re.compile(r"[^\W_]{3,}")
+    outside = [re.sub(r"\S+@\S+|10\.0\.0\.1", lambda m: " " * len(m[0]), t) for t in texts]
+    plain = [{w.lower() for w in word.findall(t)} for t in texts]
+    near = [{w.lower() for w in word.findall(t)} for t in outside]
+    holds = [{e for e in entities if e in t.split()} for t in texts]
+    n, told = len(texts), {}
+    for e in entities:
+        mine = [i for i in range(n) if e in holds[i]]
+        for t in set().union(*(near[i] for i in mine)) if mine else ():
+            both = sum(t in near[i] for i in mine)
+            share = math.log(n * both / (sum(t in p for p in plain) * len(mine))) / math.log(n / len(mine))
+            if both >= rule.support and share >= rule.share:
+                told[e, t] = share
+    assert told
+    for i in range(n):
+        expected = set()
+        for m in word.finditer(outside[i]):
+            shares = [told[e, m[0].lower()] for e in holds[i] if (e, m[0].lower()) in told]
+            if shares:
+                expected.add(("remove" if max(shares) >= 1 - 1e-9 else "general", m.start(), m.end()))
+        assert {(s["kind"], s["start"], s["end"]) for s in rows[i] if s["kind"] in pii.TERM_KINDS} == expected
+
+
 def test_pii_odd_rows(spark):
     found = pii.sanitise(odd(spark), Scratch(spark, "t"))
     assert found.count() == odd(spark).count()
