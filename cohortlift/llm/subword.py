@@ -175,7 +175,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 class Training:
     #: Labelled rows of a class that are learned from at most, those of least hash of the id.
     rows_per_class: int = 1_500
-    #: Classes at most, the most frequent.
+    #: Classes that the driver may hold; more label values are an error.
     classes: int = 256
     dimensions: int = 12
     epochs: int = 12
@@ -196,13 +196,15 @@ def fit(docs: DataFrame, labelled: DataFrame, f: Features, t: Training) -> Model
     """Learn the classes of ``labelled`` (doc_id, label); None if there is no labelled document.
 
     Executors turn the sampled texts, whole, into counts of at most ``f.buckets`` numbers; the driver
-    gets at most ``rows_per_class`` such rows of each class.
+    gets at most ``rows_per_class`` such rows of each class. All label values are learned, or none: more than
+    ``classes`` raise a ValueError, as a document of one left out would get a wrong label.
     """
-    counts = labelled.where("label is not null").groupBy("label").count()
-    frequent = [r["label"] for r in counts.orderBy(F.desc("count"), "label").limit(t.classes).collect()]
-    if not frequent:
+    values = labelled.where("label is not null").select("label").distinct().limit(t.classes + 1).count()
+    if values > t.classes:
+        raise ValueError(f"more than {t.classes} label values; raise Training.classes to learn them all")
+    if not values:
         return None
-    sample = training_rows(labelled.where(F.col("label").isin(frequent)), t)
+    sample = training_rows(labelled, t)
     kind = dict(sample.dtypes)["label"]
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

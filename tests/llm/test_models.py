@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -171,3 +172,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(empty(spark), model, ["doc_id"]).count() == 0
     assert toxicity.fit(docs, labels.where("label = 0")) is None
     assert {r["score"] for r in toxicity.score(odd(spark), None, ["doc_id"]).collect()} == {0.0}
+
+
+def test_more_label_values_than_may_be_learned_are_an_error(spark):
+    rows = [(i, f"word{i % 3} " * 9, f"l{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string")
+    three = replace(TRAINING, classes=3)
+    assert subword.fit(docs, docs.select("doc_id", "label"), FEATURES, three).classes == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="label values"):
+        subword.fit(docs, docs.select("doc_id", "label"), FEATURES, replace(three, classes=2))
