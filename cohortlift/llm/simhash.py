@@ -30,6 +30,8 @@ from cohortlift.llm.common import Scratch, table, whole_text, within
 from cohortlift.llm.components import connected_components
 
 SEED = 42
+#: Words of a shingle, and bits in which linked fingerprints differ at most.
+WORDS, RADIUS = 3, 2
 #: Distinct fingerprints of a bucket that are compared in one task: a second or so of work. Points halfway are
 #: thousands for each fingerprint at a radius of 6, so they pay only for buckets that are larger still.
 BUCKET = 32_768
@@ -112,12 +114,17 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
 
 def covering_masks(radius: int) -> list[int]:
-    """The bits that each table keeps, as signed numbers."""
-    vectors = list(range(1, 2 ** (radius + 1)))
-    # Every vector about as often, in a fixed mixed order.
-    of_bit = [vectors[i % len(vectors)] for i in range(64)]
-    random.Random(radius).shuffle(of_bit)
-    kept = (sum(1 << i for i in range(64) if (of_bit[i] & v).bit_count() % 2) for v in vectors)
+    """The bits that each table keeps, as signed numbers.
+
+    The vectors of the positions all have the top bit and are dealt out evenly, so that up to a radius of 6
+    every table keeps half of the bits. The table of the top bit alone would keep all of them, and is left out:
+    fingerprints that agree on all bits are one.
+    """
+    top = 2**radius
+    mixed = random.Random(radius).sample(range(top, 2 * top), top)
+    of_bit = [mixed[i % top] for i in range(64)]
+    tables = [v for v in range(1, 2 * top) if v != top]
+    kept = (sum(1 << i for i in range(64) if (of_bit[i] & v).bit_count() % 2) for v in tables)
     return [m - (1 << 64) if m >> 63 else m for m in kept]
 
 
@@ -145,7 +152,7 @@ def links_within(distinct: DataFrame, radius: int, scratch: Scratch, bucket: int
     of_table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("mask")) for n, m in enumerate(masks)])
     # One number names table and kept bits, the table in its low bits; should two buckets get one number,
     # their fingerprints are compared in vain.
-    low = len(masks)  # a power of two less one
+    low = (1 << len(masks).bit_length()) - 1
     kept = F.xxhash64(F.col("fp").bitwiseAND(F.col("t.mask")), F.col("t.n"))
     key = kept.bitwiseAND(F.lit(~low)).bitwiseOR(F.col("t.n"))
     placed = distinct.select("fp", F.explode(of_table).alias("t")).select("fp", key.alias("key"))
@@ -208,5 +215,5 @@ def as_hex(fp: Column) -> Column:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and the components of links within 2 bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = grouped(docs, words=3, radius=2, scratch=Scratch(spark, "op5"))
+    found = grouped(docs, words=WORDS, radius=RADIUS, scratch=Scratch(spark, "op5"))
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
