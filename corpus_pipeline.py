@@ -1,14 +1,16 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
 1. toxicity: documents that the network rejects go.
-2. near duplicates: of documents linked by SimHash one stays, that of least id.
+2. near duplicates: of documents linked by SimHash (shingle length and radius of ``op5_simhash``) one stays, that
+   of least id.
 3. decontamination: documents that leak a test item go.
 4. secrets: what the scan finds is replaced by its kind; no document goes.
 5. mixing: every document gets the rate ``mix_rate`` at which it enters the mix.
 
-Defined results for all stages: a null text is kept as it is; rows without id are documents like others;
-whole rows that repeat (same id and text) are near duplicates of each other, and one stays; an empty table
-gives an empty one; further columns pass through, whatever their names.
+Defined results for all stages: a null text is kept as it is, but for the second stage, where all texts without
+a word (null, empty, white space) have fingerprint zero and are one group; rows without id are documents like
+others; whole rows that repeat (same id and text) are near duplicates of each other, and one stays; an empty
+table gives an empty one; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,6 @@ from cohortlift.llm.common import Scratch, fold, packed, row_key, table, unpacke
 
 #: Score from which a document is rejected.
 TOXIC = 0.5
-#: Near duplicates: words of a shingle, and bits in which linked fingerprints differ at most. Texts whose
-#: sets of five-word shingles are alike to 0.8 differ in about 9 bits, to 0.95 in about 4; unlike ones
-#: in 14 and more. Covering tables double with each bit.
-SHINGLE_WORDS, RADIUS = 5, 6
 #: Shares of tokens in the mix, by the quality that ``labels`` marks.
 TARGETS = {"q1": 0.92, "q0": 0.08}
 
@@ -42,7 +40,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     scratch = Scratch(spark, "near_duplicates")
     keyed = docs.select(row_key().alias("key"), F.col("doc_id").cast("bigint").alias("id"), "text")
     groups = simhash.grouped(
-        keyed.select(F.col("key").alias("doc_id"), "text"), SHINGLE_WORDS, RADIUS, scratch
+        keyed.select(F.col("key").alias("doc_id"), "text"), simhash.WORDS, simhash.RADIUS, scratch
     )
     groups = groups.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("group"))
     ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
