@@ -32,7 +32,7 @@ except ModuleNotFoundError as error:
 try:
     import corpus_pipeline  # noqa: E402
 except ModuleNotFoundError as error:
-    if error.name != "corpus_pipeline":
+    if error.name != "corpus_pipeline" and not (error.name or "").startswith("cohortlift.llm"):
         raise
     corpus_pipeline = None
 
