@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlift.sources.files import Files
 from cohortlift.sources.stage import shared_folder
 
 #: Rows of a few bytes each that may be broadcast; beyond it a join shuffles.
@@ -28,11 +29,20 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` as a table, with a folder for each value of the column ``by``."""
         path = f"{self.folder}/{name}"
-        df.write.mode("error").parquet(path)
+        writer = df.write.mode("error")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def all(self, name: str, schema: str) -> DataFrame:
+        """All tables written under the folder ``name``; no rows if there is none."""
+        path = f"{self.folder}/{name}"
+        if not Files(self.spark).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")

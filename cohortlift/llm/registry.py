@@ -16,13 +16,14 @@ from cohortlift.llm.pii import op8_pii
 from cohortlift.llm.quality import op2_quality
 from cohortlift.llm.secrets import op9_secret_scan
 from cohortlift.llm.simhash import op5_simhash
+from cohortlift.llm.topk import OP11_SQL, op11_topk
 from cohortlift.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: list[Query] = [
     op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op6_chat,
-    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing,
+    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing, op11_topk,
 ]
 
 
@@ -31,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op9_secret_scan": secrets_sql.build()}
+    return {"op6_chat": OP6_SQL, "op9_secret_scan": secrets_sql.build(), "op11_topk": OP11_SQL}
