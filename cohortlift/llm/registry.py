@@ -10,6 +10,7 @@ from cohortlift.llm import secrets_sql
 from cohortlift.llm.chat import OP6_SQL, op6_chat
 from cohortlift.llm.decontamination import op7_decontamination
 from cohortlift.llm.fingerprints import op1_fingerprint
+from cohortlift.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from cohortlift.llm.language import op4_language
 from cohortlift.llm.mixing import op10_mixing
 from cohortlift.llm.pii import op8_pii
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: list[Query] = [
     op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op6_chat,
-    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing, op11_topk,
+    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing, op11_topk, op13_hard_negatives,
 ]
 
 
@@ -32,4 +33,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op9_secret_scan": secrets_sql.build(), "op11_topk": OP11_SQL}
+    return {
+        "op6_chat": OP6_SQL,
+        "op9_secret_scan": secrets_sql.build(),
+        "op11_topk": OP11_SQL,
+        "op13_hard_negatives": OP13_SQL,
+    }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlift.llm import registry, topk
+from cohortlift.llm import hard_negatives, registry, topk
 from cohortlift.llm.common import Scratch
 from cohortlift.llm.vectors import Best, integer_rows
 from tests.oracle_check import differences, run_sql
@@ -130,6 +130,83 @@ def test_best_keeps_ties_by_id():
     assert found == [r for g in range(3) for r in [w for w in want if w[0] == g][:4]]
 
 
+def brute_mined(rows, k, m):
+    found = {(i, v, l) for i, x, l, *_ in rows if l is not None and (v := whole(x, hard_negatives.SCALE)) is not None}
+    out = []
+    for a in found:
+        if a[0] is None or a[0] % 100:
+            continue
+        scored = sorted(((-product(a[1], c[1]), c[0] is None, c[0] or 0, c) for c in found if c != a), key=lambda c: c[:3])
+        for s, _, _, p in [c for c in scored if c[3][2] == a[2]][:k]:
+            inside = [n for n in scored if n[3][2] != a[2] and 80 * -s <= 100 * -n[0] <= 100 * -s]
+            out += [(a[0], p[0], place, n[3][0], -s, -n[0]) for place, n in enumerate(inside[:m], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("tile_rows, size", [(8_192, 16_384), (20, 3), (150, 1), (60, 100)])
+def test_hard_negatives_equal_brute_force(spark, tile_rows, size):
+    rows = ODD if tile_rows == 8_192 else clustered(700, 7 if tile_rows == 60 else 23, tile_rows)
+    ints = integer_rows(frame(spark, rows), hard_negatives.SCALE, F.col("label").cast("bigint").alias("label"))
+    ints = ints.where("label is not null")
+    found = hard_negatives.mined(ints, F.col("vec_id") % 100 == 0, 4, 3, Scratch(spark, "t"), tile_rows, size=size)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute_mined(rows, 4, 3)
+
+
+def test_no_vectors_and_no_anchors(spark):
+    for rows in ([], [(1, [1.0], 0, 0.0, "x")], [(100, [1.0], None, 0.0, "x")]):
+        ints = integer_rows(frame(spark, rows), 256, F.col("label").cast("bigint").alias("label"))
+        found = hard_negatives.mined(ints.where("label is not null"), F.col("vec_id") % 100 == 0, 4, 3, Scratch(spark, "t"))
+        assert found.count() == 0
+
+
+def test_boxes_hold_their_rows_and_bound_their_products():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-300, 300, size=(3_000, 6))
+    tree = hard_negatives.Tree(np.arange(3_000), np.zeros(3_000, bool), np.zeros(3_000), v, [0, 1, 2, 3])
+    assert sorted(map(tuple, tree.v.tolist())) == sorted(map(tuple, v.tolist()))
+    q = rng.integers(-300, 300, size=(20, 6))
+    least, greatest = hard_negatives.intervals(q, tree.low, tree.high)
+
+    def check(node):
+        if tree.children[node] is None:
+            rows = tree.rows(node)
+        else:
+            parts = [check(c) for c in tree.children[node]]
+            rows = slice(parts[0].start, parts[-1].stop)
+        products = tree.v[rows] @ q.T
+        assert (products.min(axis=0) >= least[:, node]).all() and (products.max(axis=0) <= greatest[:, node]).all()
+        return rows
+
+    assert check(len(tree.children) - 1) == slice(0, 3_000)
+    # Packed boxes are much smaller than those of rows in any order.
+    loose = hard_negatives.Tree(np.arange(3_000), np.zeros(3_000, bool), np.zeros(3_000), v, [])
+    size = lambda t: (t.high - t.low)[: t.leaves].sum()
+    assert size(tree) < 0.7 * size(loose)
+
+
+def test_queue_opens_few_leaves():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-300, 300, size=(20_000, 3))
+    tree = hard_negatives.Tree(np.arange(20_000), np.zeros(20_000, bool), np.zeros(20_000), v, [0, 1, 2])
+    q = np.array([200, -100, 50])
+    least, greatest = hard_negatives.intervals(q[None], tree.low, tree.high)
+    for low, high in ((-np.inf, np.inf), (10_000, 20_000)):
+        window = hard_negatives.Window_(5, low, high)
+        every = lambda rows: np.ones(rows.stop - rows.start, dtype=bool)
+        opened = hard_negatives.best_first(tree, q, least[0], greatest[0], [window], every)
+        want = sorted((-s, i) for i, s in enumerate((v @ q).tolist()) if low <= s <= high)[:5]
+        assert [(s, i) for s, _, i in window.found] == want
+        assert opened < 0.25 * tree.leaves
+
+
+def test_op13_equals_its_sql(spark):
+    for data in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        columns, rows = run_sql(data, registry.oracle_sql()["op13_hard_negatives"])
+        found = registry.queries()["op13_hard_negatives"](spark, data)
+        assert differences(found, columns, rows) == ""
+        assert found.count() > 0 and dict(found.dtypes)["rank"] == "int"
+
+
 def test_op11_equals_its_sql(spark):
     for data in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
         columns, rows = run_sql(data, registry.oracle_sql()["op11_topk"])
