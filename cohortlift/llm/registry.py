@@ -17,6 +17,7 @@ from cohortlift.llm.pii import op8_pii
 from cohortlift.llm.quality import op2_quality
 from cohortlift.llm.secrets import op9_secret_scan
 from cohortlift.llm.simhash import op5_simhash
+from cohortlift.llm.spelling import OP12_SQL, op12_spelling
 from cohortlift.llm.topk import OP11_SQL, op11_topk
 from cohortlift.llm.toxicity import op3_toxicity
 
@@ -24,7 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: list[Query] = [
     op1_fingerprint, op2_quality, op3_toxicity, op4_language, op5_simhash, op6_chat,
-    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing, op11_topk, op13_hard_negatives,
+    op7_decontamination, op8_pii, op9_secret_scan, op10_mixing, op11_topk, op12_spelling,
+    op13_hard_negatives,
 ]
 
 
@@ -37,5 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat": OP6_SQL,
         "op9_secret_scan": secrets_sql.build(),
         "op11_topk": OP11_SQL,
+        "op12_spelling": OP12_SQL,
         "op13_hard_negatives": OP13_SQL,
     }
