@@ -29,16 +29,21 @@ def fact_triples(facts: DataFrame, active: DataFrame, partitions: int | None = N
     the active patients are small enough to broadcast. With ``partitions`` both sides of the join, and
     the result, are hash partitioned by patient into that many parts.
     """
+    triples = distinct_facts(facts)
+    if partitions:
+        triples = triples.repartition(partitions, "pn")
+        active = active.repartition(partitions, "pn")
+    return triples.join(active, "pn", "left_semi")
+
+
+def distinct_facts(facts: DataFrame) -> DataFrame:
+    """Distinct ``(pn, concept_cd, flag)`` of all patients."""
     flag = F.when(F.col("valueflag_cd").isin(HIGH, LOW), F.col("valueflag_cd"))
-    triples = (
+    return (
         facts.where((F.col("concept_cd") != "") & F.col("patient_num").isNotNull())
         .select(F.col("patient_num").alias("pn"), "concept_cd", flag.alias("flag"))
         .distinct()
     )
-    if partitions:
-        triples = triples.repartition(partitions, "pn")
-        active = active.repartition(partitions, "pn")
-    return triples.join(active, "pn", "left_semi")
 
 
 def concept_rollup(
@@ -98,18 +103,22 @@ def patient_concepts(
     """
     if small is None:
         small = fits_broadcast(expansion)
-    triples = fact_triples(facts, active, partitions if small else None)
+    pairs = expanded(fact_triples(facts, active, partitions if small else None), expansion, small)
+    if partitions and not small:
+        pairs = pairs.repartition(partitions, "pn")
+    return pairs
+
+
+def expanded(triples: DataFrame, expansion: DataFrame, small: bool | None = None) -> DataFrame:
+    """Distinct ``(pn, ccd)`` that the ``(pn, concept_cd, flag)`` count for."""
     flag_met = F.col("need_flag").isNull() | (F.col("need_flag") == F.col("flag"))
-    pairs = (
+    return (
         hot_key_join(
             triples, expansion, [("concept_cd", "from_cd")], "left", ["pn"], flag_met, small
         )
         .select("pn", F.coalesce("ccd", "concept_cd").alias("ccd"))
         .distinct()
     )
-    if partitions and not small:
-        pairs = pairs.repartition(partitions, "pn")
-    return pairs
 
 
 def concept_names(branches: DataFrame, concepts: DataFrame) -> DataFrame:

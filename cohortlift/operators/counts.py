@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from cohortlift.functions.codes import TOTAL, TOTAL_NAME
 MEMBERS_PER_BUCKET = 1_000_000  # above, members are sorted (and may spill) and not hashed
 
 
+def pair_totals(pairs: DataFrame) -> DataFrame:
+    """``ccd, total``: the patients of every code. ``pairs`` must be distinct, as :func:`patient_concepts` gives them."""
+    return pairs.groupBy("ccd").agg(F.count("*").alias("total"))
+
+
 def population_counts(
     pairs: DataFrame,
     names: DataFrame,
@@ -23,12 +30,23 @@ def population_counts(
 
     ``n_active`` fills the ``TOTAL`` row; ``denominator`` (by default the same number) divides the
     counts of all codes but flagged labs, which are divided by the count of their base lab.
-    ``pairs`` must be distinct, as :func:`patient_concepts` gives them.
     """
+    return population_of_totals(pair_totals(pairs), names, n_active, denominator, min_total, strip)
+
+
+def population_of_totals(
+    totals: DataFrame,
+    names: DataFrame,
+    n_active: Column | int,
+    denominator: Column | int | None = None,
+    min_total: int = 10,
+    strip: str = "leading",
+) -> DataFrame:
+    """:func:`population_counts` from the ``(ccd, total)`` of all codes."""
     n_active = _number(n_active)
     denominator = n_active if denominator is None else _number(denominator)
     ccd = F.col("ccd")
-    counted = _with_base_count(pairs.groupBy("ccd").agg(F.count("*").alias("total")), "total")
+    counted = _with_base_count(totals, "total")
     codes_ = (
         counted.where(F.col("total") > min_total)
         .withColumn("lookup", codes.lookup_code(ccd, strip))
@@ -41,7 +59,7 @@ def population_counts(
             _fraction("total", denominator).alias("frc_total"),
         )
     )
-    total_row = pairs.sparkSession.range(1).select(
+    total_row = totals.sparkSession.range(1).select(
         F.lit(TOTAL).alias("prefix"),
         F.lit(TOTAL).alias("ccd"),
         F.lit(TOTAL_NAME).alias("name"),
@@ -66,7 +84,7 @@ def measure_cohorts(members: DataFrame, cohort_ids: list[str]) -> dict[str, tupl
 
 
 def cohort_counts(
-    pairs: DataFrame,
+    pairs: DataFrame | list[DataFrame],
     members: DataFrame,
     population: DataFrame,
     sizes: dict[str, tuple[int, int]],
@@ -76,29 +94,43 @@ def cohort_counts(
 
     Counts of all cohorts come from one pass over ``pairs``, for codes of the population. Flagged labs are
     divided by the cohort's count of their base lab, other codes by the cohort's size; the ``TOTAL`` row
-    holds the size. ``members`` are distinct ``(cohort_id, pn)``. If ``pairs`` has ``buckets`` by patient,
+    holds the size. ``members`` are distinct ``(cohort_id, pn)``. See :func:`cohort_hits` for ``buckets``.
+    """
+    parts = pairs if isinstance(pairs, list) else [pairs]
+    return cohort_fractions(cohort_hits(parts, members, sizes, buckets), sizes, population)
+
+
+def cohort_hits(
+    parts: list[DataFrame], members: DataFrame, sizes: dict[str, tuple[int, int]], buckets: int | None = None
+) -> DataFrame:
+    """``cohort_id, ccd, cnt``: how many members of each measured cohort have each code.
+
+    ``parts`` are the pairs, or parts of them that have no row in common. If they have ``buckets`` by patient,
     only the members are shuffled: each bucket probes a hash table of its share of them or, if the share
     is large, is merged with it.
     """
     if not sizes:
         raise ValueError("name at least one cohort")
-    measures = F.broadcast(  # a row for each cohort of the request
-        pairs.sparkSession.createDataFrame(
-            [(c, n, h) for c, (n, h) in sizes.items()], "cohort_id string, n bigint, members_hash bigint"
-        )
-    )
-    members = members.join(measures.select("cohort_id"), "cohort_id", "left_semi")
+    members = members.join(_measures(parts[0], sizes).select("cohort_id"), "cohort_id", "left_semi")
     if buckets:
         # Spelled out, as otherwise the side with more partitions would set the number for both.
         members = members.repartition(buckets, "pn")
         if sum(n for n, _ in sizes.values()) / buckets <= MEMBERS_PER_BUCKET:
             members = members.hint("shuffle_hash")
-    hits = pairs.join(members, "pn").groupBy("cohort_id", "ccd").agg(F.count("*").alias("cnt"))
-    counted = (
-        _with_base_count(hits, "cnt", "cohort_id")
-        .join(population.where(F.col("ccd") != TOTAL).select("ccd"), "ccd", "left_semi")
-        .join(measures, "cohort_id")
-        .select("cohort_id", "ccd", "cnt", _fraction("cnt", F.col("n")).alias("frc"), "members_hash")
+    met = [pairs.join(members, "pn").select("cohort_id", "ccd") for pairs in parts]
+    return reduce(DataFrame.union, met).groupBy("cohort_id", "ccd").agg(F.count("*").alias("cnt"))
+
+
+def cohort_fractions(
+    hits: DataFrame, sizes: dict[str, tuple[int, int]], population: DataFrame | None = None
+) -> DataFrame:
+    """The counts of :func:`cohort_counts` from the hits of the measured cohorts; of all codes without a population."""
+    measures = _measures(hits, sizes)
+    counted = _with_base_count(hits, "cnt", "cohort_id")
+    if population is not None:
+        counted = counted.join(population.where(F.col("ccd") != TOTAL).select("ccd"), "ccd", "left_semi")
+    counted = counted.join(measures, "cohort_id").select(
+        "cohort_id", "ccd", "cnt", _fraction("cnt", F.col("n")).alias("frc"), "members_hash"
     )
     totals = measures.select(
         "cohort_id", F.lit(TOTAL).alias("ccd"), F.col("n").alias("cnt"), F.lit(1.0).alias("frc"), "members_hash"
@@ -106,6 +138,12 @@ def cohort_counts(
     return counted.unionByName(totals)
 
 
+def _measures(of: DataFrame, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """A row for each cohort of a request."""
+    rows = [(c, n, h) for c, (n, h) in sizes.items()]
+    return F.broadcast(of.sparkSession.createDataFrame(rows, "cohort_id string, n bigint, members_hash bigint"))
+
+
 def with_zeros(counts: DataFrame, population: DataFrame, cohort_ids: list[str]) -> DataFrame:
     """``cohort_id, ccd, cnt, frc`` of the named cohorts for every population code."""
     ids = F.explode(F.array(*[F.lit(c) for c in cohort_ids])).alias("cohort_id")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import time
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +19,10 @@ from cohortlift.operators import compare as cmp
 from cohortlift.operators import concepts as cc
 from cohortlift.operators import counts as ct
 from cohortlift.operators import ontology as on
-from cohortlift.sources import sinks
-from cohortlift.sources.stage import CohortStore, StageTables
-from cohortlift.sources.star import Star
+from cohortlift.operators import refresh as rf
+from cohortlift.sources import sinks, snapshot
+from cohortlift.sources.stage import CohortStore, StageTables, Stored
+from cohortlift.sources.star import Star, conform
 
 # The status texts of a run.
 DONE = "Done, chi success!"
@@ -25,6 +30,8 @@ IDENTICAL = "Job canceled, identical patient sets"
 NOT_A_SUBSET = "Job canceled, all patients in test subset must be in the reference set"
 NO_STORED_SET = "No data for PSID {0}, try running without only_existing"
 NO_STORED_QUERY = "No data for QMID {0}, try running without only_existing"
+OUTDATED_SET = "Outdated data for PSID {0}, its members have changed, try running without only_existing"
+OUTDATED_QUERY = "Outdated data for QMID {0}, its members have changed, try running without only_existing"
 UNKNOWN_SET = "ERROR, patient set (PSID={0}) not found in QT tables"
 UNKNOWN_QUERY = "ERROR, QMID {0} has no patient set result instance"
 
@@ -33,6 +40,25 @@ PATIENTS_PER_BUCKET = 100_000
 #: More patients than that make larger buckets, whose joins sort and spill; the result is the same.
 MOST_BUCKETS = 20_000
 
+#: Parts that a refreshed table has at most before it is written as one.
+MOST_PARTS = 8
+
+# What each shared table is made from: rules and inputs. Made from something else it is another table.
+_ACTIVE = ("active",)
+_MAP = ("branch", "value_flag", "every_branch", "separator", "match")
+_MAP_INPUTS = ("ontology", "concepts")
+_DEPENDS = {
+    "files": ((), ("facts",)),
+    "active": (_ACTIVE, ("facts",)),
+    "branch_map": (_MAP, _MAP_INPUTS),
+    "pairs": (_ACTIVE + _MAP, ("facts", *_MAP_INPUTS)),
+    "cohorts": ((*_ACTIVE, *_MAP, "min_total"), ("facts", *_MAP_INPUTS)),
+    "population": ((*_ACTIVE, *_MAP, "min_total", "denominator", "strip"), ("facts", *_MAP_INPUTS)),
+    "schemes": ((*_ACTIVE, *_MAP, "min_total", "denominator", "strip"), ("facts", *_MAP_INPUTS, "schemes")),
+    "refresh": (_ACTIVE + _MAP, _MAP_INPUTS),  # what must be equal for a refresh by added facts
+}
+_LIKE_PAIRS = ("triples", "totals", "loaded", "more_triples", "newly_active", "candidates", "more_pairs")
+
 # Nearly all keys of the distinct facts are new, so a small first-level hash map only costs time.
 MANY_KEYS = {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
 
@@ -78,30 +104,187 @@ class Run:
 
 
 class Study:
-    """Shared tables are written when first needed and read from then on."""
+    """Shared tables are written when first needed and read from then on.
+
+    A table is named by the rules and the state of the inputs that it is made from, so other rules share what does
+    not depend on them, and changed input files make new tables, whether they change between applications or while
+    one runs: every request looks. Inputs without files or version (:class:`Star`) are taken not to change.
+
+    An ``incremental`` study keeps the distinct facts of all patients as well. If facts were only added since its
+    newest tables, it reads the added ones alone, and adds to pairs, counts and stored cohorts.
+    """
 
     def __init__(
-        self, spark: SparkSession, star: Star, rules: Rules, stage: StageTables | None = None
+        self,
+        spark: SparkSession,
+        star: Star,
+        rules: Rules,
+        stage: StageTables | None = None,
+        incremental: bool = False,
     ):
         self.spark = spark
         self.star = star
         self.rules = rules
         self.stage = stage or StageTables(spark)
-        # Tables and counts of other rules are other tables.
-        self.tables = self.stage.variant(f"rules_{hashlib.sha256(repr(rules).encode()).hexdigest()[:12]}")
+        self.incremental = incremental
+        self.tables = self.stage.variant("shared")
+        self._settle(self._digests())
+
+    # Inputs
+
+    def _digests(self) -> dict[str, str]:
+        return snapshot.digests(self.spark, self.star.sources, self.star.versions)
+
+    def _settle(self, inputs: dict[str, str]) -> None:
+        """Use the tables of this state of the inputs."""
+        self._inputs = inputs
+        keys = {}
+        for name, (rules, tables) in _DEPENDS.items():
+            made_from = [repr(getattr(self.rules, r)) for r in rules] + [inputs.get(t, "") for t in tables]
+            keys[name] = hashlib.sha256("\n".join(made_from).encode()).hexdigest()[:12]
+        self.tables = self.tables.keyed(keys | {name: keys["pairs"] for name in _LIKE_PAIRS})
         self._n_active: int | None = None
         self._checked = False
 
+    def follow(self) -> bool:
+        """Look whether inputs have changed, and if so use tables made from them; every request does this."""
+        if not self.star.sources:
+            return False
+        now = self._digests()
+        if now == self._inputs:
+            return False
+        self._reread()
+        self._settle(now)
+        return True
+
+    def _reread(self) -> None:
+        if self.star.reread:
+            self.star = self.star.reread()
+
+    # Refresh by added facts
+
+    def _grow(self) -> None:
+        """Make active patients, pairs and totals of an incremental study: from the newest ones, if facts were added."""
+        if not self.incremental or self.tables.exists("totals"):
+            return
+        # First the list of files, then the facts: what comes in between is met again by the next refresh.
+        files = self._fact_files()
+        self._reread()
+        earlier = self._earlier(files)
+        if earlier is None:
+            self._make_whole()
+        else:
+            self._make_more(*earlier)
+        entry = {"refresh": self.tables.keys["refresh"], "keys": self.tables.keys}
+        entry["earlier"] = earlier[0].keys if earlier else None
+        self.tables.files.create(f"{self._history()}/{time.time_ns():020d}_{uuid.uuid4().hex[:8]}", json.dumps(entry))
+
+    def _fact_files(self) -> DataFrame | None:
+        if "facts" not in self.star.sources:
+            return None
+        return self.tables.table("files", lambda: snapshot.files(self.spark, self.star.sources["facts"]))
+
+    def _history(self) -> str:
+        return f"{self.tables.folder}/history"
+
+    def _entries(self) -> list[dict]:
+        """How tables were made, newest first."""
+        files = self.tables.files
+        return [json.loads(files.read(f"{self._history()}/{n}")) for n in reversed(files.names(self._history()))]
+
+    def _earlier(self, files: DataFrame | None) -> tuple[StageTables, list[str]] | None:
+        """The newest tables of the same rules whose fact files are still there, and the files added since."""
+        if files is None or self.star.facts_from is None:
+            return None
+        for entry in self._entries():
+            if entry["refresh"] == self.tables.keys["refresh"]:
+                tables = self.tables.keyed(entry["keys"])
+                added = snapshot.added(tables.parts("files")[0], files)
+                return None if added is None else (tables, added)
+        return None
+
+    def _make_whole(self) -> None:
+        active = self.tables.table("active", lambda: cc.active_patients(self.star.facts, self.rules.active))
+        buckets, expansion = self.buckets(), cc.code_expansion(self.branch_map())
+        triples = self.tables.table(
+            "triples", lambda: rf.known_facts(self.star.facts).repartition(buckets, "pn"), "pn", buckets, MANY_KEYS
+        )
+        pairs = self.tables.table(
+            "pairs",
+            lambda: cc.expanded(triples.join(active.repartition(buckets, "pn"), "pn", "left_semi"), expansion),
+            "pn",
+            buckets,
+        )
+        self.tables.table("totals", lambda: ct.pair_totals(pairs))
+
+    def _make_more(self, earlier: StageTables, files: list[str]) -> None:
+        facts = conform(self.star.facts_from(files), "facts") if files else self.star.facts.limit(0)
+        t, buckets, expansion = self.tables, earlier.bucket_count("pairs"), cc.code_expansion(self.branch_map())
+
+        def bucketed(name: str, build) -> DataFrame:
+            return t.table(name, build, "pn", buckets, rf.IN_BUCKETS)
+
+        loaded = bucketed("loaded", lambda: rf.known_facts(facts).repartition(buckets, "pn"))
+        more = bucketed("more_triples", lambda: rf.new_rows(loaded, earlier.parts("triples")))
+        before = reduce(DataFrame.union, earlier.parts("active"))
+        newly = t.table(
+            "newly_active", lambda: cc.active_patients(facts, self.rules.active).join(before, "pn", "left_anti")
+        )
+        active = t.table("active", lambda: before.union(newly))
+        candidates = bucketed(
+            "candidates",
+            lambda: rf.pairs_to_add(more, earlier.parts("triples"), active, newly, expansion, buckets),
+        )
+        more_pairs = bucketed("more_pairs", lambda: rf.new_rows(candidates, earlier.parts("pairs")))
+        for name, added in (("triples", more), ("pairs", more_pairs)):
+            parts = earlier.parts(name)
+            if len(parts) < MOST_PARTS:
+                t.join_parts(name, [(earlier, name), (t, f"more_{name}")])
+            else:
+                bucketed(name, lambda p=parts, a=added: reduce(DataFrame.union, [*p, a]).repartition(buckets, "pn"))
+        totals = reduce(DataFrame.union, earlier.parts("totals"))
+        t.table("totals", lambda: rf.added_up(totals, ct.pair_totals(more_pairs), ["ccd"], "total"))
+
+    def _carry_cohorts(self, wanted: dict[str, int], sizes: dict[str, tuple[int, int]]) -> None:
+        """Store counts of cohorts that were counted on the tables before, with the pairs added since.
+
+        Holds for cohorts whose members are those of then, but for patients who became active.
+        """
+        entry = next((e for e in self._entries() if e["keys"] == self.tables.keys), None)
+        if not entry or not entry["earlier"]:
+            return
+        earlier = self.tables.keyed(entry["earlier"])
+        old = {c: s for c in wanted if (s := self._store_of(earlier).get(c))}
+        if not old:
+            return
+        sets = {c: wanted[c] for c in old}
+        then = co.cohort_members(self.star.patient_sets, earlier.parts("active")[0], sets)
+        then = ct.measure_cohorts(then, list(sets))
+        old = {c: s for c, s in old.items() if (s.n, s.members_hash) == then[c]}
+        if not old:
+            return
+        sizes = {c: sizes[c] for c in old}
+        counted = [self._store_of(earlier).counts(s).where(F.col("ccd") != TOTAL) for s in old.values()]
+        more = ct.cohort_hits(
+            self.tables.parts("more_pairs"),
+            self.members({c: wanted[c] for c in old}),
+            sizes,
+            self.tables.bucket_count("more_pairs"),
+        )
+        hits = rf.added_up(reduce(DataFrame.union, counted), more, ["cohort_id", "ccd"], "cnt")
+        self.store().write(ct.cohort_fractions(hits, sizes))
+
     # Shared tables
 
     def active(self) -> DataFrame:
+        self._grow()
         return self.tables.table(
             "active", lambda: cc.active_patients(self.star.facts, self.rules.active)
         )
 
     def n_active(self) -> int:
         if self._n_active is None:
-            self._n_active = self.active().count()
+            self._n_active = self.tables.parts("active")[0].count() if self.tables.exists("active") else self.active().count()
         return self._n_active
 
     def branches(self) -> DataFrame:
@@ -118,6 +301,7 @@ class Study:
 
     def patient_concepts(self) -> DataFrame:
         """Bucketed by patient, so that cohorts of any size are counted without shuffling it."""
+        self._grow()
 
         def build() -> DataFrame:
             return cc.patient_concepts(
@@ -140,18 +324,7 @@ class Study:
         return cc.concept_names(self.branches(), self.star.concepts)
 
     def population_counts(self) -> DataFrame:
-        r = self.rules
-        population = self.tables.table(
-            "population",
-            lambda: ct.population_counts(
-                self.patient_concepts(),
-                self.concept_names(),
-                self.n_active(),
-                r.denominator,
-                r.min_total,
-                r.strip,
-            ),
-        )
+        population = self.tables.table("population", self._population)
         if not self._checked:
             if population.where(F.col("ccd") == TOTAL).limit(2).count() > 1:
                 self.tables.drop("population")
@@ -159,19 +332,30 @@ class Study:
             self._checked = True
         return population
 
+    def _population(self) -> DataFrame:
+        r, pairs = self.rules, self.patient_concepts()
+        totals = self.tables.parts("totals")[0] if self.incremental else ct.pair_totals(pairs)
+        return ct.population_of_totals(
+            totals, self.concept_names(), self.n_active(), r.denominator, r.min_total, r.strip
+        )
+
     def schemes(self) -> DataFrame:
         return self.tables.table(
             "schemes", lambda: ct.concept_schemes(self.population_counts(), self.star.schemes)
         )
 
     def store(self) -> CohortStore:
-        """Counts of cohorts on the present build of the tables; another build has its own."""
-        return CohortStore(self.spark, f"{self.tables.folder}/cohorts")
+        """Counts of cohorts on the present tables; others have their own."""
+        return self._store_of(self.tables)
+
+    def _store_of(self, tables: StageTables) -> CohortStore:
+        return CohortStore(self.spark, f"{tables.folder}/cohorts_{tables.keys['cohorts']}")
 
     def rebuild(self) -> None:
-        """Build the shared tables and the cohorts counted on them anew, for changed inputs."""
+        """Build the shared tables and the cohorts counted on them anew, for inputs whose changes do not show."""
         self.tables.rebuild()
-        self._n_active, self._checked = None, False
+        self._reread()
+        self._settle(self._digests())
 
     def key_violations(self) -> DataFrame:
         """Rows that break the key of a shared table; empty for sound tables."""
@@ -191,15 +375,15 @@ class Study:
     def compute_cohorts(
         self, sets: dict[str, int], sizes: dict[str, tuple[int, int]] | None = None
     ) -> DataFrame:
-        """Counts of several patient sets ``{cohort id: patient set}`` in one pass, not stored."""
+        """Counts of several patient sets ``{cohort id: patient set}`` in one pass, not stored.
+
+        Those of an incremental study hold every code, as another may be in the population after a refresh.
+        """
         members = self.members(sets)
-        return ct.cohort_counts(
-            self.patient_concepts(),
-            members,
-            self.population_counts(),
-            sizes or ct.measure_cohorts(members, list(sets)),
-            self.tables.bucket_count("pairs"),
-        )
+        sizes = sizes or ct.measure_cohorts(members, list(sets))
+        population = self.population_counts()
+        hits = ct.cohort_hits(self.tables.parts("pairs"), members, sizes, self.tables.bucket_count("pairs"))
+        return ct.cohort_fractions(hits, sizes, None if self.incremental else population)
 
     def cohort_ids(self, *patient_sets: int) -> dict[str, int]:
         """``{cohort id: patient set}`` of the patient sets that exist."""
@@ -216,6 +400,7 @@ class Study:
         sets that need work share one pass over the patient x concept table. Gives the cohort id
         and size of every patient set that exists.
         """
+        self.follow()
         return self._ensure(self.cohort_ids(*patient_sets))
 
     def _ensure(self, wanted: dict[str, int]) -> dict[int, tuple[str, int]]:
@@ -223,8 +408,16 @@ class Study:
             return {}
         sizes = ct.measure_cohorts(self.members(wanted), list(wanted))
         store = self.store()
-        stored = {c: (s.n, s.members_hash) for c in wanted if (s := store.get(c))}
-        missing = {c: r for c, r in wanted.items() if stored.get(c) != sizes[c]}
+
+        def not_stored(cohorts: dict[str, int]) -> dict[str, int]:
+            stored = {c: (s.n, s.members_hash) for c in cohorts if (s := store.get(c))}
+            return {c: r for c, r in cohorts.items() if stored.get(c) != sizes[c]}
+
+        missing = not_stored(wanted)
+        if missing and self.incremental:
+            self.population_counts()
+            self._carry_cohorts(missing, sizes)
+            missing = not_stored(missing)
         if missing:
             store.write(self.compute_cohorts(missing, {c: sizes[c] for c in missing}))
         return {r: (c, sizes[c][0]) for c, r in wanted.items()}
@@ -250,6 +443,7 @@ class Study:
 
     def run_query(self, query_master: int, only_existing: bool = False, **options) -> Run:
         """Compare the latest patient set of a query master with the population."""
+        self.follow()
         s = self.star
         found = co.resolve_query(
             s.query_masters, s.query_instances, s.query_results, s.patient_sets, query_master
@@ -260,13 +454,16 @@ class Study:
         if old is None:
             if only_existing:
                 return Run(NO_STORED_QUERY.format(query_master))
-        elif only_existing or self._still_holds(old, found):
+        elif self._still_holds(old, found.cohort_id, found.result_instance_id):
             return self._compared((old.cohort_id, old.n), None, **options)
+        elif only_existing:
+            return Run(OUTDATED_QUERY.format(query_master))
         ensured = self._ensure({found.cohort_id: found.result_instance_id})
         return self._compared(ensured[found.result_instance_id], None, **options)
 
     def run_patient_set(self, patient_set: int, only_existing: bool = False, **options) -> Run:
         """Compare a patient set with the population."""
+        self.follow()
         return self._run_sets(patient_set, None, only_existing, options)
 
     def run_pair(
@@ -275,6 +472,7 @@ class Study:
         """Compare a patient set with another one that holds all of its patients."""
         if test == reference:
             return Run(IDENTICAL)
+        self.follow()
         if co.subset_check(self.star.patient_sets, test, reference).first().n_missing > 0:
             return Run(NOT_A_SUBSET)
         return self._run_sets(test, reference, only_existing, options)
@@ -291,26 +489,24 @@ class Study:
     ) -> Run:
         wanted = [test] if reference is None else [reference, test]
         if only_existing:
-            found, absent = self._stored(wanted), NO_STORED_SET
+            found: dict[int, tuple[str, int]] = {}
+            for patient_set in wanted:
+                newest = self.store().newest(result=patient_set)
+                if newest is None:
+                    return Run(NO_STORED_SET.format(patient_set))
+                if not self._still_holds(newest, newest.cohort_id, patient_set):
+                    return Run(OUTDATED_SET.format(patient_set))
+                found[patient_set] = (newest.cohort_id, newest.n)
         else:
-            found, absent = self.ensure_cohorts(*wanted), UNKNOWN_SET
-        for patient_set in wanted:
-            if patient_set not in found:
-                return Run(absent.format(patient_set))
+            found = self._ensure(self.cohort_ids(*wanted))
+            for patient_set in wanted:
+                if patient_set not in found:
+                    return Run(UNKNOWN_SET.format(patient_set))
         return self._compared(found[test], found.get(reference), **options)
 
-    def _stored(self, patient_sets: list[int]) -> dict[int, tuple[str, int]]:
-        """Cohort id and size of the newest stored result of each patient set."""
-        found = {}
-        for patient_set in patient_sets:
-            newest = self.store().newest(result=patient_set)
-            if newest is not None:
-                found[patient_set] = (newest.cohort_id, newest.n)
-        return found
-
-    def _still_holds(self, old, found) -> bool:
-        members = self.members({found.cohort_id: found.result_instance_id})
-        now = ct.measure_cohorts(members, [found.cohort_id])[found.cohort_id]
+    def _still_holds(self, old: Stored, cohort_id: str, patient_set: int) -> bool:
+        """Whether a patient set has the members that a stored cohort was counted on; no pairs are read."""
+        now = ct.measure_cohorts(self.members({cohort_id: patient_set}), [cohort_id])[cohort_id]
         return (old.n, old.members_hash) == now
 
     def _compared(

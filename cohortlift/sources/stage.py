@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 import re
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +39,24 @@ class StageTables:
     its manifest is there, which is written after the commit: an unfinished build is done again, of two
     at a time the first counts, and nothing depends on the session's catalog or on an executor's blocks.
     :meth:`rebuild` starts a new build; who reads the old one goes on until :meth:`clean`.
+
+    ``keys`` tells for a name what its table was made from (such as a hash of rules and of input files): made from
+    something else it is another table. A table may have several parts, so that rows can be added to the parts of
+    an earlier table without writing those again.
     """
 
-    def __init__(self, spark: SparkSession, prefix: str | None = None, folder: str | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        prefix: str | None = None,
+        folder: str | None = None,
+        keys: Mapping[str, str] | None = None,
+    ):
         self.spark = spark
         self.files = Files(spark)
         self.prefix = prefix or f"cohortlift_{uuid.uuid4().hex[:12]}"
         self.root = f"{folder or shared_folder(spark)}/{self.prefix}"
+        self.keys = dict(keys or {})
         builds = [b for b in self.files.names(f"{self.root}/builds") if not b.startswith(".")]
         self.build = builds[-1] if builds else self._new_build()
 
@@ -56,9 +69,15 @@ class StageTables:
     def folder(self) -> str:
         return f"{self.root}/builds/{self.build}"
 
-    def variant(self, key: str) -> StageTables:
-        """Tables that depend on this build and on ``key``, such as a hash of rules."""
-        return StageTables(self.spark, key, self.folder)
+    def variant(self, key: str, keys: Mapping[str, str] | None = None) -> StageTables:
+        """Tables that depend on this build, under ``key``."""
+        return StageTables(self.spark, key, self.folder, keys)
+
+    def keyed(self, keys: Mapping[str, str]) -> StageTables:
+        """The tables of the same build that were made from something else."""
+        other = copy.copy(self)
+        other.keys = dict(keys)
+        return other
 
     def table(
         self,
@@ -76,7 +95,7 @@ class StageTables:
         """
         if not self.exists(name):
             path = f"{self.folder}/{name}_{uuid.uuid4().hex[:8]}"
-            manifest = {"path": path, "bucket_by": bucket_by, "buckets": buckets if bucket_by else None}
+            manifest = {"paths": [path], "bucket_by": bucket_by, "buckets": buckets if bucket_by else None}
             with _conf(self.spark, conf or {}):
                 df = build()
                 if range_by:
@@ -86,22 +105,32 @@ class StageTables:
                     writer.option("path", path).saveAsTable(_table_name(path))
                 else:
                     df.write.parquet(path)
+                manifest["columns"] = df.dtypes
             self.files.create(self._manifest(name), json.dumps(manifest))
+        return reduce(DataFrame.union, self.parts(name))
+
+    def join_parts(self, name: str, tables: list[tuple[StageTables, str]]) -> None:
+        """Make the parts of written tables, with the same columns and buckets, the parts of the table ``name``."""
+        found = [of._found(table) for of, table in tables]
+        manifest = {**found[0], "paths": [path for f in found for path in f["paths"]]}
+        self.files.create(self._manifest(name), json.dumps(manifest))
+
+    def parts(self, name: str) -> list[DataFrame]:
+        """The parts of a written table; a row is in one part only."""
         found = self._found(name)
         if not found["buckets"]:
-            return self.spark.read.parquet(found["path"])
-        return self._bucketed(found)
+            return [self.spark.read.parquet(path) for path in found["paths"]]
+        return [self._bucketed(path, found) for path in found["paths"]]
 
-    def _bucketed(self, found: dict) -> DataFrame:
-        name = _table_name(found["path"])
+    def _bucketed(self, path: str, found: dict) -> DataFrame:
+        name = _table_name(path)
         if not self.spark.catalog.tableExists(name):
-            schema = self.spark.read.parquet(found["path"]).schema
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            columns = ", ".join(f"`{column}` {kind}" for column, kind in found["columns"])
             by = found["bucket_by"]
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
                 f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {found['buckets']} BUCKETS "
-                f"LOCATION '{found['path']}'"
+                f"LOCATION '{path}'"
             )
         return self.spark.table(name)
 
@@ -113,7 +142,8 @@ class StageTables:
         return self._found(name)["buckets"]
 
     def _manifest(self, name: str) -> str:
-        return f"{self.folder}/{name}.json"
+        key = self.keys.get(name)
+        return f"{self.folder}/{name}_{key}.json" if key else f"{self.folder}/{name}.json"
 
     def _found(self, name: str) -> dict:
         return json.loads(self.files.read(self._manifest(name)))
