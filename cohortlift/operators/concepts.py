@@ -103,18 +103,24 @@ def patient_concepts(
     """
     if small is None:
         small = fits_broadcast(expansion)
-    pairs = expanded(fact_triples(facts, active, partitions if small else None), expansion, small)
+    triples = fact_triples(facts, active, partitions if small else None)
+    pairs = expanded(triples, expansion, small, facts)
     if partitions and not small:
         pairs = pairs.repartition(partitions, "pn")
     return pairs
 
 
-def expanded(triples: DataFrame, expansion: DataFrame, small: bool | None = None) -> DataFrame:
-    """Distinct ``(pn, ccd)`` that the ``(pn, concept_cd, flag)`` count for."""
+def expanded(
+    triples: DataFrame, expansion: DataFrame, small: bool | None = None, facts: DataFrame | None = None
+) -> DataFrame:
+    """Distinct ``(pn, ccd)`` that the ``(pn, concept_cd, flag)`` count for.
+
+    Hot codes are found in ``facts``, which are as many rows or more and need no shuffle to be counted.
+    """
     flag_met = F.col("need_flag").isNull() | (F.col("need_flag") == F.col("flag"))
     return (
         hot_key_join(
-            triples, expansion, [("concept_cd", "from_cd")], "left", ["pn"], flag_met, small
+            triples, expansion, [("concept_cd", "from_cd")], "left", ["pn"], flag_met, small, facts
         )
         .select("pn", F.coalesce("ccd", "concept_cd").alias("ccd"))
         .distinct()

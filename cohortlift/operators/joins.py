@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
-SALTS = 16
+#: Rows of a key that one task takes in any case.
+LEAST_HOT_ROWS = 100_000
+#: A hot key is cut so that a task's share of the rows holds so many parts of it.
+PARTS_PER_TASK = 32
 
 
 def fits_broadcast(
@@ -35,26 +38,64 @@ def hot_key_join(
     spread_by: list[str],
     condition: Column | None = None,
     small: bool | None = None,
-    salts: int = SALTS,
+    sizes_from: DataFrame | None = None,
+    least_hot: int = LEAST_HOT_ROWS,
 ) -> DataFrame:
     """Join a large ``left`` to a dimension-like ``right`` on ``[(left column, right column)]``.
 
-    A right side measured to be small is broadcast, so the left side is not shuffled and a hot key
-    costs nothing. Otherwise each key is cut into ``salts`` parts by a hash of ``spread_by`` (stable
-    over task retries) and the right side is repeated once per part; AQE's skew join can still
-    split the parts further. Both ways give the same rows. ``how`` is ``inner`` or ``left``.
+    A right side measured to be small is broadcast, so the left side is not shuffled and a hot key costs nothing.
+    Otherwise the rows go three ways. Those whose key the right side does not have (if its keys alone are few
+    enough to broadcast) go around the join. Of the others, the rows of hot keys are cut into as many parts as
+    their measured number asks for, by a hash of ``spread_by`` (stable over task retries), and the right side's rows
+    of these keys are repeated for each part; all other rows are joined as they are. Keys are counted in ``sizes_from``
+    (by default ``left``), which needs the left key columns only. Both ways give the same rows. ``how`` is
+    ``inner`` or ``left``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    names = [l for l, _ in on]
     keys = reduce(lambda a, b: a & b, [F.col(l) == F.col(r) for l, r in on])
     if condition is not None:
         keys = keys & condition
     if fits_broadcast(right) if small is None else small:
         return left.join(F.broadcast(right), keys, how)
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        left.withColumn("_part", part)
-        .join(right.withColumn("_copy", copies), keys & (F.col("_part") == F.col("_copy")), how)
-        .drop("_part", "_copy")
+    known = right.select(*[F.col(r).alias(l) for l, r in on]).distinct()
+    around = None
+    if fits_broadcast(known):
+        if how == "left":
+            others = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
+            around = left.join(F.broadcast(known), names, "left_anti").select(*left.columns, *others)
+        left = left.join(F.broadcast(known), names, "left_semi").select(*left.columns)
+    hot = hot_keys(left if sizes_from is None else sizes_from, names, least_hot)
+    through = left.join(F.broadcast(hot), names, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
     )
+    last = F.coalesce("_parts", F.lit(1)) - 1
+    copied = hot.withColumnsRenamed({l: f"_hot_{l}" for l in names})
+    same = reduce(lambda a, b: a & b, [F.col(r) == F.col(f"_hot_{l}") for l, r in on])
+    copied = right.join(F.broadcast(copied), same, "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), last.cast("int")))
+    )
+    joined = through.drop("_parts").join(
+        copied.select(*right.columns, "_copy"), keys & (F.col("_part") == F.col("_copy")), how
+    )
+    joined = joined.select(*left.columns, *right.columns)
+    return joined if around is None else joined.union(around)
+
+
+def hot_keys(df: DataFrame, names: list[str], least: int = LEAST_HOT_ROWS) -> DataFrame:
+    """``names, _parts``: keys with more rows than a part of a task's share, and into how many parts to cut them.
+
+    A key is counted before the shuffle; the hot ones, of which there are fewer than parts of all tasks, are
+    held by the driver.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.select(*names).na.drop().groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.greatest(
+        F.lit(1.0), counted.agg(F.sum("_n")).scalar() / F.lit(float(tasks * PARTS_PER_TASK))
+    )
+    parts = F.ceil(F.col("_n") / part).cast("int")
+    hot = counted.where((F.col("_n") > least) & (F.col("_n") > 2 * part)).select(*names, parts.alias("_parts"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema.fields)
+    return spark.createDataFrame(hot.collect(), kinds)
