@@ -21,7 +21,9 @@ import sql_equivalents  # noqa: E402
 from cohortlift import StageTables, Study  # noqa: E402
 from cohortlift.operators import cohorts, compare, concepts, counts, ontology, report  # noqa: E402
 from cohortlift.sources import retail, sinks  # noqa: E402
+from cohortlift.sources.ranked import Ranked  # noqa: E402
 from cohortlift.sources.stage import shared_folder  # noqa: E402
+from cohortlift.sources.star import growing_facts  # noqa: E402
 
 try:
     import cohortlift.llm.registry as llm  # noqa: E402
@@ -263,6 +265,46 @@ def payload_rows(s: Study) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def _placed_result(s: Study) -> Ranked:
+    """The whole comparison of the BUILDING customers, stored in shards."""
+    return s.run(patient_set=retail.BUILDING).write_ranked(_new_path(s, "ranked"), shards=8)
+
+
+def compare_all_placed(s: Study) -> DataFrame:
+    """Every code with its place in the whole ranking."""
+    return _rounded(_placed_result(s).placed())
+
+
+def result_page(s: Study) -> DataFrame:
+    """Places 101 to 300 of the stored ranking."""
+    return _rounded(_placed_result(s).page(101, 300))
+
+
+def compare_many(s: Study) -> DataFrame:
+    """Both ends of every named set in one plan."""
+    return _rounded(s.run_many(*SETS.values(), limit=10).result)
+
+
+def subsets_of(s: Study) -> DataFrame:
+    """The patient sets (segments, and customers of a supplier and year) inside two of the segments."""
+    return s.subsets_of(retail.BUILDING, retail.MACHINERY)
+
+
+def refreshed_counts(s: Study) -> DataFrame:
+    """Population and cohort counts after two loads of facts: the second is added to the tables of the first."""
+    path = _new_path(s, "growing_facts")
+    later = F.xxhash64("patient_num", "concept_cd") < 0
+    s.star.facts.where(~later).write.mode("append").parquet(path)
+    star = growing_facts(s.star, s.spark, path)
+    growing = Study(s.spark, star, s.rules, StageTables(s.spark), incremental=True)
+    growing.ensure_cohorts(retail.BUILDING, retail.MACHINERY)
+    s.star.facts.where(later).write.mode("append").parquet(path)
+    ids = [c for c, _ in growing.ensure_cohorts(retail.BUILDING, retail.MACHINERY).values()]
+    store, population = growing.store(), growing.population_counts()
+    counted = counts.with_zeros(store.counts_of([store.get(c) for c in ids]), population, ids)
+    return _rounded(counted.join(population.select("ccd", "total", "frc_total"), "ccd"))
+
+
 def fixed_denominator(s: Study) -> DataFrame:
     """Population counts divided by a number that the site gives."""
     other = Study(s.spark, s.star, replace(s.rules, denominator=5_000), s.stage)
@@ -281,6 +323,7 @@ _QUERIES = [
     counts_wide, subset_check, duplicate_keys, key_violations, chi2_scores, compare_population,
     compare_filtered, compare_by_chisq, compare_cohorts, compare_query, existing_cohort,
     export_whole, report_table, write_csv, write_json, payload_rows, fixed_denominator, like_match,
+    compare_all_placed, result_page, compare_many, subsets_of, refreshed_counts,
 ]
 
 

@@ -58,6 +58,26 @@ def concept_scores(
     else:
         n = F.lit(size)
     rows = test.select("ccd", F.col("cnt").alias("test"), F.col("frc").alias("frc_test"))
+    base = _base(population, reference, cutoff).join(rows, "ccd", "left")
+    return _scored(base, n).select(*RESULT_COLUMNS)
+
+
+def scores_of_many(
+    population: DataFrame,
+    counts: DataFrame,
+    sizes: dict[str, int],
+    reference: DataFrame | None = None,
+    cutoff: float | None = None,
+) -> DataFrame:
+    """:func:`concept_scores` of several cohorts, with their ``cohort_id``, from their ``(cohort_id, ccd, cnt, frc)``."""
+    named = [F.struct(F.lit(c).alias("cohort_id"), F.lit(n).cast("bigint").alias("_n")) for c, n in sizes.items()]
+    base = _base(population, reference, cutoff).select("*", F.inline(F.array(*named)))
+    rows = counts.select("cohort_id", "ccd", F.col("cnt").alias("test"), F.col("frc").alias("frc_test"))
+    return _scored(base.join(rows, ["cohort_id", "ccd"], "left"), F.col("_n")).select("cohort_id", *RESULT_COLUMNS)
+
+
+def _base(population: DataFrame, reference: DataFrame | None, cutoff: float | None) -> DataFrame:
+    """Codes with their count and fraction in the reference."""
     if reference is None:
         base = population.withColumnsRenamed({"total": "ref", "frc_total": "frc_ref"})
     else:
@@ -65,26 +85,23 @@ def concept_scores(
             reference.select("ccd", F.col("cnt").alias("ref"), F.col("frc").alias("frc_ref")), "ccd"
         )
     base = base.where("frc_ref > 0")
-    if cutoff is not None:
-        base = base.where(F.col("ref") >= cutoff)
+    return base if cutoff is None else base.where(F.col("ref") >= cutoff)
+
+
+def _scored(base: DataFrame, n: Column) -> DataFrame:
     q, p = F.col("frc_ref"), F.col("frc_test")
-    return (
-        base.join(rows, "ccd", "left")
-        .withColumns(
-            {
-                # Stored counts are positive; a code without one has no patient in the cohort.
-                "test": F.coalesce("test", F.lit(0).cast("bigint")),
-                "frc_test": F.coalesce("frc_test", F.lit(0.0)),
-            }
-        )
-        .withColumns(
-            {
-                "chisq": scores.chisq(F.col("test"), n, q, p),
-                "odds_ratio": scores.odds_ratio(q, p),
-                "dir": scores.direction(q, p),
-            }
-        )
-        .select(*RESULT_COLUMNS)
+    return base.withColumns(
+        {
+            # Stored counts are positive; a code without one has no patient in the cohort.
+            "test": F.coalesce("test", F.lit(0).cast("bigint")),
+            "frc_test": F.coalesce("frc_test", F.lit(0.0)),
+        }
+    ).withColumns(
+        {
+            "chisq": scores.chisq(F.col("test"), n, q, p),
+            "odds_ratio": scores.odds_ratio(q, p),
+            "dir": scores.direction(q, p),
+        }
     )
 
 
@@ -102,12 +119,7 @@ def compare(
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    is_total = F.col("ccd") == TOTAL
-    total = scored.where(is_total).limit(1)
-    codes_ = scored.where(~is_total & F.col("prefix").isNotNull())
-    if wanted_patterns(patterns):
-        allowed = scheme_filter(schemes, patterns).withColumnRenamed("c_name", "prefix")
-        codes_ = codes_.join(allowed, "prefix", "left_semi").select(*scored.columns)
+    total, codes_ = _parts(scored, schemes, patterns)
     if limit is None:
         return total.unionByName(codes_).orderBy(*result_order(rank_by))
     over = codes_.orderBy(*rank_order(rank_by)).limit(limit)
@@ -116,6 +128,43 @@ def compare(
     return total.unionByName(both).orderBy(*result_order(rank_by)).limit(2 * limit + 1)
 
 
+def compare_many(
+    scored: DataFrame,
+    schemes: DataFrame,
+    limit: int | None = None,
+    patterns: list[str] | str | None = None,
+    rank_by: str = "odds_ratio",
+) -> DataFrame:
+    """:func:`compare` for every ``cohort_id`` of ``scored``, in one plan; rows of a cohort are in its order.
+
+    Each task keeps ``limit`` rows of a cohort and end, before these few are shuffled by cohort. (Spark does so up to
+    1,000 rows, ``spark.sql.optimizer.windowGroupLimitThreshold``; a larger limit sorts a cohort's codes.)
+    """
+    if limit is not None and limit < 0:
+        raise ValueError("limit must not be negative")
+    total, codes_ = _parts(scored, schemes, patterns, limit=None)
+    if limit is not None:
+        ends = []
+        for most_over_first in (True, False):
+            best = Window.partitionBy("cohort_id").orderBy(*rank_order(rank_by, most_over_first))
+            ends.append(codes_.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit))
+        codes_ = ends[0].union(ends[1]).drop("_rank").distinct()
+    return total.unionByName(codes_).orderBy("cohort_id", *result_order(rank_by))
+
+
+def _parts(
+    scored: DataFrame, schemes: DataFrame, patterns: list[str] | str | None, limit: int | None = 1
+) -> tuple[DataFrame, DataFrame]:
+    """The ``TOTAL`` row, or rows, and the codes of the wanted domains."""
+    is_total = F.col("ccd") == TOTAL
+    total = scored.where(is_total)
+    codes_ = scored.where(~is_total & F.col("prefix").isNotNull())
+    if wanted_patterns(patterns):
+        allowed = scheme_filter(schemes, patterns).withColumnRenamed("c_name", "prefix")
+        codes_ = codes_.join(allowed, "prefix", "left_semi").select(*scored.columns)
+    return (total.limit(limit) if limit else total), codes_
+
+
 def placed(result: DataFrame, rank_by: str = "odds_ratio") -> DataFrame:
     """A limited comparison with the ``place`` of each row; for reports, as one task numbers all rows."""
     return result.withColumn("place", F.row_number().over(Window.orderBy(*result_order(rank_by))))

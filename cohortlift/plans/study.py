@@ -17,10 +17,12 @@ from cohortlift.functions.codes import TOTAL
 from cohortlift.operators import cohorts as co
 from cohortlift.operators import compare as cmp
 from cohortlift.operators import concepts as cc
+from cohortlift.operators import containment as cn
 from cohortlift.operators import counts as ct
 from cohortlift.operators import ontology as on
 from cohortlift.operators import refresh as rf
 from cohortlift.sources import sinks, snapshot
+from cohortlift.sources.ranked import Ranked, write_ranked
 from cohortlift.sources.stage import CohortStore, StageTables, Stored
 from cohortlift.sources.star import Star, conform
 
@@ -55,6 +57,7 @@ _DEPENDS = {
     "cohorts": ((*_ACTIVE, *_MAP, "min_total"), ("facts", *_MAP_INPUTS)),
     "population": ((*_ACTIVE, *_MAP, "min_total", "denominator", "strip"), ("facts", *_MAP_INPUTS)),
     "schemes": ((*_ACTIVE, *_MAP, "min_total", "denominator", "strip"), ("facts", *_MAP_INPUTS, "schemes")),
+    "signatures": ((), ("patient_sets",)),
     "refresh": (_ACTIVE + _MAP, _MAP_INPUTS),  # what must be equal for a refresh by added facts
 }
 _LIKE_PAIRS = ("triples", "totals", "loaded", "more_triples", "newly_active", "candidates", "more_pairs")
@@ -87,6 +90,7 @@ class Run:
     cohort_id: str | None = None
     limit: int | None = None
     schemes: DataFrame | None = None
+    rank_by: str = "odds_ratio"
 
     @property
     def ok(self) -> bool:
@@ -102,6 +106,21 @@ class Run:
             raise ValueError(self.status)
         sinks.write_payload(self.result, self.schemes, self.status, path)
 
+    def write_ranked(self, path: str, shards: int | None = None) -> Ranked:
+        """The whole result in shards of consecutive places, of which pages are read."""
+        if self.result is None:
+            raise ValueError(self.status)
+        return write_ranked(self.result, cmp.result_order(self.rank_by), path, shards)
+
+
+@dataclass(frozen=True)
+class Runs:
+    """Outcome of a request for many cohorts: their rows with a ``cohort_id``, and the sets that do not exist."""
+
+    result: DataFrame | None
+    cohort_ids: dict[int, str]
+    unknown: list[int]
+
 
 class Study:
     """Shared tables are written when first needed and read from then on.
@@ -528,7 +547,41 @@ class Study:
             test[1],
         )
         result = cmp.compare(scored, self.schemes(), limit, patterns, rank_by)
-        return Run(DONE, result, test[0], limit, self.schemes())
+        return Run(DONE, result, test[0], limit, self.schemes(), rank_by)
+
+    def run_many(
+        self,
+        *patient_sets: int,
+        limit: int | str | None = None,
+        patterns: list[str] | str | None = None,
+        cutoff: float | None = None,
+        rank_by: str = "odds_ratio",
+    ) -> Runs:
+        """Compare many patient sets with the population in one plan; rows equal those of a request for each."""
+        limit = cmp.parse_limit(limit)
+        found = self.ensure_cohorts(*patient_sets)
+        unknown = [s for s in patient_sets if s not in found]
+        if not found:
+            return Runs(None, {}, unknown)
+        store = self.store()
+        counts = store.counts_of([store.get(c) for c, _ in found.values()])
+        scored = cmp.scores_of_many(self.population_counts(), counts, dict(found.values()), None, cutoff)
+        result = cmp.compare_many(scored, self.schemes(), limit, patterns, rank_by)
+        return Runs(result, {r: c for r, (c, _) in found.items()}, unknown)
+
+    # Containment
+
+    def set_signatures(self) -> DataFrame:
+        """Sizes and hashed bits of all patient sets; stored if changes of the sets would show."""
+        sets = self.star.patient_sets
+        if "patient_sets" not in self._inputs:
+            return cn.signatures(sets)
+        return self.tables.table("signatures", lambda: cn.signatures(sets))
+
+    def subsets_of(self, *references: int) -> DataFrame:
+        """``reference_set, subset, n``: the patient sets inside each reference."""
+        self.follow()
+        return cn.subsets_of(self.star.patient_sets, self.set_signatures(), list(references))
 
 
 def choose_buckets(patients: int, cores: int, shuffle: int) -> int:

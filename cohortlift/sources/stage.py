@@ -256,6 +256,18 @@ class CohortStore:
         path = f"{self.path}/counts/{stored.written}/cohort_id={stored.cohort_id}"
         return self.spark.read.schema(self.SCHEMA).parquet(path).withColumn("cohort_id", F.lit(stored.cohort_id))
 
+    def counts_of(self, stored: list[Stored]) -> DataFrame:
+        """:meth:`counts` of several cohorts, in one scan for each write that they come from."""
+        by_write: dict[str, list[str]] = {}
+        for s in stored:
+            by_write.setdefault(s.written, []).append(s.cohort_id)
+        reader = self.spark.read.schema(f"{self.SCHEMA}, cohort_id string")
+        scans = [
+            reader.parquet(f"{self.path}/counts/{written}").where(F.col("cohort_id").isin(ids))
+            for written, ids in sorted(by_write.items())
+        ]
+        return reduce(DataFrame.union, scans)
+
     def cohort(self, cohort_id: str) -> DataFrame:
         stored = self.get(cohort_id)
         if stored is None:
