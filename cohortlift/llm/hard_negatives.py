@@ -37,7 +37,7 @@ LEAST_SHARE = 80
 #: Vectors of a tile, and tiles at most; beyond it tiles get larger, read as several trees.
 TILE_ROWS, MOST_TILES = 8_192, 1_024
 #: Vectors of a tree, of a leaf, and children of a node.
-TREE_ROWS, LEAF, FANOUT = 16_384, 32, 8
+TREE_ROWS, LEAF, FANOUT = 16_384, 128, 8
 #: Coordinates by which a tree is packed, at most.
 LEVELS = 4
 MARGIN = 1e-9
@@ -76,6 +76,13 @@ class Tree:
             low.append(np.minimum.reduceat(low[-1], starts, axis=0))
             high.append(np.maximum.reduceat(high[-1], starts, axis=0))
         self.low, self.high = np.concatenate(low).astype(float), np.concatenate(high).astype(float)
+        self.x, self.longest = self.v.astype(float), lengths(self.v).max(initial=0)
+
+    def scores(self, rows: slice, q: np.ndarray) -> np.ndarray:
+        """Inner products with the rows of a leaf: by floating point where all its sums are whole and exact."""
+        if self.longest * math.sqrt(float((q.astype(float) ** 2).sum())) < 2.0**52:
+            return (self.x[rows] @ q).astype(np.int64)
+        return self.v[rows] @ q
 
     def rows(self, leaf: int) -> slice:
         return slice(leaf * LEAF, min((leaf + 1) * LEAF, len(self.v)))
@@ -89,7 +96,7 @@ def intervals(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return least - slack, greatest + slack
 
 
-class Window_:
+class ScoreWindow:
     """The ``k`` best rows of an anchor with scores from ``low`` to ``high``; ``kth`` is what a row must reach."""
 
     def __init__(self, k: int, low: float, high: float):
@@ -126,11 +133,13 @@ def best_first(
         if tree.children[node] is None:
             rows = tree.rows(node)
             opened += 1
-            take = np.flatnonzero(wanted(rows)) + rows.start
+            scores = tree.scores(rows, q)
+            inside = (scores >= min(w.kth for w in windows)) & (scores <= max(w.high for w in windows))
+            take = np.flatnonzero(inside & wanted(rows))
             if len(take):
-                scores, ids, none = tree.v[take] @ q, tree.ids[take], tree.none[take]
+                scores, take = scores[take], take + rows.start
                 for w in windows:
-                    w.add(scores, ids, none)
+                    w.add(scores, tree.ids[take], tree.none[take])
         else:
             for child in tree.children[node]:
                 if any(w.open(least[child], greatest[child]) for w in windows):
@@ -210,7 +219,7 @@ class Mining:
                 least, greatest = intervals(v[at], tree.low, tree.high)
                 out = []
                 for i, a in enumerate(at.tolist()):
-                    found = [Window_(k, low, high) for low, high in windows[a]]
+                    found = [ScoreWindow(k, low, high) for low, high in windows[a]]
                     best_first(tree, v[a], least[i], greatest[i], found, _wanted(tree, ids[a], labels[a], v[a], same))
                     for w in found:
                         out += [(a, _as_long(w.high), None if none else i, -s) for s, none, i in w.found]

@@ -184,14 +184,15 @@ def test_boxes_hold_their_rows_and_bound_their_products():
     assert size(tree) < 0.7 * size(loose)
 
 
-def test_queue_opens_few_leaves():
+def test_queue_opens_few_leaves(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAF", 32)
     rng = np.random.default_rng(5)
     v = rng.integers(-300, 300, size=(20_000, 3))
     tree = hard_negatives.Tree(np.arange(20_000), np.zeros(20_000, bool), np.zeros(20_000), v, [0, 1, 2])
     q = np.array([200, -100, 50])
     least, greatest = hard_negatives.intervals(q[None], tree.low, tree.high)
     for low, high in ((-np.inf, np.inf), (10_000, 20_000)):
-        window = hard_negatives.Window_(5, low, high)
+        window = hard_negatives.ScoreWindow(5, low, high)
         every = lambda rows: np.ones(rows.stop - rows.start, dtype=bool)
         opened = hard_negatives.best_first(tree, q, least[0], greatest[0], [window], every)
         want = sorted((-s, i) for i, s in enumerate((v @ q).tolist()) if low <= s <= high)[:5]
