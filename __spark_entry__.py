@@ -290,6 +290,12 @@ def subsets_of(s: Study) -> DataFrame:
     return s.subsets_of(retail.BUILDING, retail.MACHINERY)
 
 
+def cohort_counts_by_words(s: Study) -> DataFrame:
+    """The counts of the named sets, common codes by bitmaps."""
+    found = s.compute_cohorts_by_words(SETS, by_words=list(SETS)).drop("members_hash")
+    return _rounded(counts.with_zeros(found, s.population_counts(), list(SETS)))
+
+
 def refreshed_counts(s: Study) -> DataFrame:
     """Population and cohort counts after two loads of facts: the second is added to the tables of the first."""
     path = _new_path(s, "growing_facts")
@@ -324,6 +330,7 @@ _QUERIES = [
     compare_filtered, compare_by_chisq, compare_cohorts, compare_query, existing_cohort,
     export_whole, report_table, write_csv, write_json, payload_rows, fixed_denominator, like_match,
     compare_all_placed, result_page, compare_many, subsets_of, refreshed_counts,
+    cohort_counts_by_words,
 ]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlift.functions.codes import TOTAL
+from cohortlift.operators import bitmaps as bm
 from cohortlift.operators import cohorts as co
 from cohortlift.operators import compare as cmp
 from cohortlift.operators import concepts as cc
@@ -60,7 +61,7 @@ _DEPENDS = {
     "signatures": ((), ("patient_sets",)),
     "refresh": (_ACTIVE + _MAP, _MAP_INPUTS),  # what must be equal for a refresh by added facts
 }
-_LIKE_PAIRS = ("triples", "totals", "loaded", "more_triples", "newly_active", "candidates", "more_pairs")
+_LIKE_PAIRS = ("numbers", "words", "common", "rare_pairs", "triples", "totals", "loaded", "more_triples", "newly_active", "candidates", "more_pairs")
 
 # Nearly all keys of the distinct facts are new, so a small first-level hash map only costs time.
 MANY_KEYS = {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
@@ -404,6 +405,46 @@ class Study:
         hits = ct.cohort_hits(self.tables.parts("pairs"), members, sizes, self.tables.bucket_count("pairs"))
         return ct.cohort_fractions(hits, sizes, None if self.incremental else population)
 
+    # Cohorts by bitmaps
+
+    def bitmaps(self) -> dict[str, DataFrame]:
+        """Numbers of the patients, common codes, their words, and the pairs of all other codes; made once."""
+        t, pairs = self.tables, self.patient_concepts()
+        buckets = t.bucket_count("pairs")
+        totals = t.table("totals", lambda: ct.pair_totals(pairs))
+        common = t.table("common", lambda: bm.common_codes(totals, self.n_active()))
+        numbers = t.table("numbers", lambda: bm.numbered(self.active(), buckets), "pn", buckets)
+        words = t.table("words", lambda: bm.code_words(pairs, numbers, common), "word", buckets)
+        rare = t.table("rare_pairs", lambda: pairs.join(common, "ccd", "left_anti").select("pn", "ccd"), "pn", buckets)
+        return {"numbers": numbers, "common": common, "words": words, "rare_pairs": rare, "totals": totals}
+
+    def compute_cohorts_by_words(
+        self, sets: dict[str, int], sizes: dict[str, tuple[int, int]] | None = None, by_words: list[str] | None = None
+    ) -> DataFrame:
+        """:meth:`compute_cohorts`, with the same rows: common codes by words where a cohort meets fewer of them.
+
+        ``by_words`` names the cohorts that are counted so; the others take the pairs.
+        """
+        b = self.bitmaps()
+        members = self.members(sets)
+        sizes = sizes or ct.measure_cohorts(members, list(sets))
+        if by_words is None:
+            pairs = b["totals"].join(b["common"], "ccd", "left_semi").agg(F.sum("total")).first()[0] or 0
+            words = b["words"].count()
+            by_words = [c for c, (n, _) in sizes.items() if bm.worth_words(n, self.n_active(), words, pairs)]
+        buckets, population = self.tables.bucket_count("pairs"), self.population_counts()
+        hits = []
+        large = {c: s for c, s in sizes.items() if c in by_words}
+        small = {c: s for c, s in sizes.items() if c not in by_words}
+        if large:
+            chosen = members.where(F.col("cohort_id").isin(list(large)))
+            met = bm.cohort_words(chosen, b["numbers"]).repartition(buckets, "word").hint("shuffle_hash")
+            hits += [bm.word_hits(b["words"], met), ct.cohort_hits([b["rare_pairs"]], members, large, buckets)]
+        if small:
+            hits.append(ct.cohort_hits(self.tables.parts("pairs"), members, small, buckets))
+        hits = reduce(DataFrame.union, hits)
+        return ct.cohort_fractions(hits, sizes, None if self.incremental else population)
+
     def cohort_ids(self, *patient_sets: int) -> dict[str, int]:
         """``{cohort id: patient set}`` of the patient sets that exist."""
         s = self.star
