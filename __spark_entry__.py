@@ -61,6 +61,16 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     return _studies[key]
 
 
+def site_study(spark: SparkSession, sf_dir: str, **rules) -> Study:
+    """The study over the star with every kind of code; studies of one folder share its tables."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), f"site of {sf_dir}")
+    if key not in _studies:
+        stage = StageTables(spark)
+        _studies[key] = Study(spark, retail.site_star(spark, sf_dir, stage), retail.site_rules(), stage)
+    first = _studies[key]
+    return Study(spark, first.star, replace(first.rules, **rules), first.stage) if rules else first
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     """Round doubles, so that the last bits of either engine do not count."""
     digits = {"chisq": 6}
@@ -317,6 +327,16 @@ def fixed_denominator(s: Study) -> DataFrame:
     return _rounded(other.population_counts())
 
 
+def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population counts with ICD9 nodes of both lengths, procedure categories by path, LOINC and registry codes."""
+    return _rounded(site_study(spark, sf_dir).population_counts())
+
+
+def strip_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with flags stripped anywhere in a code to find its name and domain."""
+    return _rounded(site_study(spark, sf_dir, strip="anywhere").population_counts())
+
+
 def like_match(s: Study) -> DataFrame:
     """The code map with paths taken as patterns."""
     return ontology.concept_branch_map(s.branches(), s.star.concepts, s.rules.separator, "like")
@@ -334,6 +354,10 @@ _QUERIES = [
 ]
 
 
+#: Queries over the star with every kind of code.
+_SITE_QUERIES = [site_rules, strip_anywhere]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """What sets the BUILDING customers apart from all active customers."""
     return compare_population(study(spark, "/root/testdata/sf0.001"))
@@ -344,6 +368,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: query(study(spark, sf_dir))
 
     found: dict[str, Callable] = {q.__name__: on_study(q) for q in _QUERIES}
+    found |= {q.__name__: q for q in _SITE_QUERIES}
     if llm:
         found |= llm.queries()
     if corpus_pipeline:

@@ -15,7 +15,6 @@ BRANCH_PATTERNS = [
     ("c_basecode", "ICD9:___"),
     ("c_basecode", "ICD9:___._"),
     ("c_name", "[_____]%"),
-    ("c_fullname", "\\i2b2\\Procedures\\PRC\\Meta%\\A________\\"),
 ]
 VALUE_FLAG_PATTERNS = [
     ("c_basecode", "LOINC:_____-_"),
@@ -26,6 +25,11 @@ VALUE_FLAG_PATTERNS = [
 Predicate = Column | str | bool | list[tuple[str, str]]
 
 
+def procedure_nodes(root: str, separator: str = "\\") -> tuple[str, str]:
+    """The branch pattern of procedure categories, nine characters from ``A`` on below a site's ``root`` path."""
+    return ("c_fullname", f"{root}Meta%{separator}A________{separator}")
+
+
 def predicate(rule: Predicate) -> Column:
     """A rule as a Column: a Column, a Spark SQL condition, LIKE patterns to OR, or True/False."""
     if isinstance(rule, Column):

@@ -41,18 +41,10 @@ def report_table(
     under-represented code. The ``TOTAL`` row shows its code and the two counts only."""
     names = label_columns(reference_name, test_name)
     is_total = F.col("ccd") == TOTAL
-    order = ["_total", "_odds", "_chisq", "_dir", "_ccd", "_line"]
 
     def cell(shown: Column) -> Column:
         return F.when(is_total, F.lit("")).otherwise(F.coalesce(shown, F.lit("")))
 
-    keys = [
-        is_total.alias("_total"),
-        F.col("odds_ratio").alias("_odds"),
-        F.col("chisq").alias("_chisq"),
-        F.col("dir").alias("_dir"),
-        F.col("ccd").alias("_ccd"),
-    ]
     cells = {
         "ccd": F.col("ccd"),
         "name": cell(F.col("name")),
@@ -64,22 +56,26 @@ def report_table(
         "odds_ratio": cell(F.col("odds_ratio").cast("string")),
         "dir": cell(F.col("dir").cast("string")),
     }
-    rows = result.select(
-        *[shown.alias(name) for name, shown in cells.items()], *keys, F.lit(1).alias("_line")
-    )
+    # The sort keys are in one column, whose name is that of no cell.
+    keys = "sort_keys"
+    while keys.upper() in {name.upper() for name in cells}:
+        keys += "_"
+
+    def lines(of: DataFrame, shown: dict[str, Column], line: int) -> DataFrame:
+        sorting = F.struct(is_total.alias("total"), "odds_ratio", "chisq", "dir", "ccd", F.lit(line).alias("line"))
+        return of.select(*[c.alias(name) for name, c in shown.items()], sorting.alias(keys))
+
     first_under = (
         result.where(~is_total & (F.col("dir") == -1)).orderBy(*rank_order(rank_by)).limit(1)
     )
-    marker = first_under.select(
-        *[F.lit(BREAK if name == "ccd" else "").alias(name) for name in cells],
-        *keys,
-        F.lit(0).alias("_line"),
-    )
-    ranking = {"odds_ratio": F.col("_odds"), "chisq": F.col("_chisq") * F.col("_dir")}[rank_by]
+    marker = {name: F.lit(BREAK if name == "ccd" else "") for name in cells}
+    by = {name: F.col(f"{keys}.{name}") for name in ("total", "odds_ratio", "chisq", "dir", "ccd", "line")}
+    ranking = {"odds_ratio": by["odds_ratio"], "chisq": by["chisq"] * by["dir"]}[rank_by]
     return (
-        rows.unionByName(marker)
-        .orderBy(F.col("_total").desc(), ranking.desc_nulls_first(), "_ccd", "_line")
-        .drop(*order)
+        lines(result, cells, 1)
+        .unionByName(lines(first_under, marker, 0))
+        .orderBy(by["total"].desc(), ranking.desc_nulls_first(), by["ccd"], by["line"])
+        .drop(keys)
     )
 
 

@@ -7,10 +7,12 @@ are customer segments, and the customers a supplier delivered to in one year.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlift.operators.ontology import populated_folders
+from cohortlift.operators.ontology import BRANCH_PATTERNS, populated_folders, procedure_nodes
 from cohortlift.plans.study import Rules
 from cohortlift.sources.stage import StageTables
 from cohortlift.sources.star import SCHEMAS, Star
@@ -54,6 +56,130 @@ def retail_star(spark: SparkSession, sf_dir: str, stage: StageTables) -> Star:
     )
 
 
+def site_rules() -> Rules:
+    """The retail rules with procedure categories among the branches."""
+    return replace(retail_rules(), branch=[*BRANCH_PATTERNS, procedure_nodes("/proc/", "/")])
+
+
+def site_star(spark: SparkSession, sf_dir: str, stage: StageTables) -> Star:
+    """The retail star with the other kinds of codes that a clinical site has.
+
+    Order dates are diagnoses below three-digit (year) and four-digit (quarter) ICD9 nodes, returns are procedures
+    below categories, customers have tumor registry codes, and priorities are graded in codes that hold a flag's
+    text inside.
+    """
+
+    def read(name: str, *columns: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+    star = retail_star(spark, sf_dir, stage)
+    return replace(
+        star,
+        facts=stage.table("site_facts", lambda: star.facts.unionByName(_site_facts(read))),
+        concepts=stage.table("site_concepts", lambda: star.concepts.unionByName(_site_concepts(read))),
+        ontology=stage.table("site_ontology", lambda: star.ontology.unionByName(_site_nodes(read))),
+    )
+
+
+def _dated() -> dict:
+    year = F.lpad((F.year("o_orderdate") - 1700).cast("string"), 3, "0")
+    return {"year": year, "quarter": F.quarter("o_orderdate").cast("string"), "grade": F.substring("o_orderpriority", 1, 1)}
+
+
+def _diagnoses(read) -> DataFrame:
+    orders = read("orders", "o_custkey", "o_orderdate", "o_orderpriority").where("o_orderdate is not null")
+    code = F.concat_ws("|", F.lit("DX"), "year", "quarter", "grade")
+    return orders.withColumns(_dated()).withColumn("code", code)
+
+
+def _returns(read) -> DataFrame:
+    return read("lineitem", "l_orderkey", "l_returnflag", "l_linestatus").withColumn(
+        "code", F.concat_ws("|", F.lit("PROC"), "l_returnflag", "l_linestatus")
+    )
+
+
+def _site_facts(read) -> DataFrame:
+    def facts(df: DataFrame, patient: str, *found) -> DataFrame:
+        none = F.lit(None).cast("string").alias("valueflag_cd")
+        return df.select(F.col(patient).alias("patient_num"), F.explode(F.array(*found)).alias("concept_cd"), none)
+
+    orders = read("orders", "o_orderkey", "o_custkey")
+    returns = _returns(read).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    customers = read("customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    registry = F.concat(F.lit("NAACCR|"), F.col("c_nationkey"), F.lit(":"), F.col("c_mktsegment"))
+    graded = F.concat(F.lit("GRADE:H_"), "o_orderpriority")
+    ranked = F.concat(F.lit("L_RANK:L_"), "o_orderpriority")
+    return (
+        facts(_diagnoses(read), "o_custkey", F.col("code"), graded, ranked)
+        .unionByName(facts(returns, "o_custkey", F.col("code")))
+        .unionByName(facts(customers, "c_custkey", registry))
+    )
+
+
+def _site_concepts(read) -> DataFrame:
+    def concepts(df: DataFrame, path, code, name) -> DataFrame:
+        found = df.select(path.alias("concept_path"), code.alias("concept_cd"), name.alias("name_char"))
+        return found.distinct()
+
+    diagnoses, returns = _diagnoses(read), _returns(read)
+    path = F.concat(F.lit("/dx/"), F.concat_ws("/", "year", "quarter", "grade"), F.lit("/"))
+    name = F.concat_ws(" ", F.lit("ordered"), "year", "quarter", "grade")
+    category = F.concat(F.lit("/proc/Meta1/"), "l_returnflag", F.lit("0000000"), "l_linestatus", F.lit("/x/"))
+    graded = F.concat(F.lit("GRADE:"), "o_orderpriority")
+    ranked = F.concat(F.lit("RANK:"), "o_orderpriority")
+    return (
+        concepts(diagnoses, path, F.col("code"), name)
+        .unionByName(concepts(returns, category, F.col("code"), F.lit("returned")))
+        .unionByName(concepts(diagnoses, F.concat(F.lit("/grade/"), "grade", F.lit("/")), graded, F.lit("a grade")))
+        .unionByName(concepts(diagnoses, F.concat(F.lit("/rank/"), "grade", F.lit("/")), ranked, F.lit("a rank")))
+    )
+
+
+def _site_nodes(read) -> DataFrame:
+    """Years, quarters, grades (too deep for a branch) and categories of returns (branches if they start with A)."""
+
+    def nodes(df: DataFrame, base, dim, name) -> DataFrame:
+        return (
+            df.groupBy(base.alias("c_basecode"), dim.alias("c_dimcode"), name.alias("c_name"))
+            .agg(F.count("*").alias("c_totalnum"))
+            .select(
+                "c_basecode", "c_dimcode", "c_name", F.col("c_dimcode").alias("c_fullname"),
+                "c_totalnum", F.lit("FA").alias("c_visualattributes"),
+            )
+        )
+
+    diagnoses, returns = _diagnoses(read), _returns(read)
+    year, quarter, grade = F.col("year"), F.col("quarter"), F.col("grade")
+    category = F.concat("l_returnflag", F.lit("0000000"), "l_linestatus")
+    return (
+        nodes(diagnoses, F.concat(F.lit("ICD9:"), year), F.concat(F.lit("/dx/"), year, F.lit("/")), year)
+        .unionByName(
+            nodes(
+                diagnoses,
+                F.concat(F.lit("ICD9:"), year, F.lit("."), quarter),
+                F.concat(F.lit("/dx/"), year, F.lit("/"), quarter, F.lit("/")),
+                F.concat_ws(" ", year, quarter),
+            )
+        )
+        .unionByName(
+            nodes(
+                diagnoses,
+                F.concat(F.lit("ICD9:"), year, F.lit("."), quarter, grade),
+                F.concat(F.lit("/dx/"), F.concat_ws("/", year, quarter, grade), F.lit("/")),
+                F.concat_ws(" ", year, quarter, grade),
+            )
+        )
+        .unionByName(
+            nodes(
+                returns,
+                F.concat(F.lit("PRC:"), category),
+                F.concat(F.lit("/proc/Meta1/"), category, F.lit("/")),
+                F.concat(F.lit("returns "), category),
+            )
+        )
+    )
+
+
 def _facts(read) -> DataFrame:
     def unflagged(df: DataFrame, patient: str, *concepts) -> DataFrame:
         return df.select(

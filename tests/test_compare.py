@@ -156,6 +156,20 @@ def test_report(spark, tables):
     assert twins.count() == len(lines)
 
 
+@pytest.mark.parametrize(
+    "label", [" total", "% chisq", "_odds", "dir", "ccd", "name", "odds ratio", "sort keys", "line", "", "é", "frc", "FRC ccd"]
+)
+def test_report_takes_any_label(spark, tables, label):
+    """Labels like those of other columns and of sort keys; the rows stay the same, and the names unlike."""
+    population, test, _, schemes = tables
+    result = cmp.compare(cmp.concept_scores(population, test), schemes)
+    want = [tuple(r) for r in report.report_table(result, "a", "b").collect()]
+    for pair in ((label, "x"), ("x", label), (label, label), (label, f"{label} keys")):
+        table = report.report_table(result, *pair)
+        assert [tuple(r) for r in table.collect()] == want
+        assert len({c.upper() for c in table.columns}) == 9
+
+
 def test_report_without_an_under_represented_code(spark, tables):
     population, test, _, schemes = tables
     result = cmp.compare(cmp.concept_scores(population, test), schemes, None, ["A:"])

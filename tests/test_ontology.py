@@ -22,8 +22,8 @@ def test_branches_need_a_kind_and_the_global_rule(spark, rows):
             node("ICD9:250.1", "\\d\\250\\1\\"),
             node("ICD9:250.12", "\\d\\250\\12\\"),
             node("RX:1", "\\rx\\", name="[CV123] drugs"),
-            node("P:1", "\\p\\", full="\\i2b2\\Procedures\\PRC\\Meta1\\x\\A1234_678\\"),
-            node("P:2", "\\p\\", full="\\i2b2\\Procedures\\PRC\\Meta1\\x\\B12345678\\"),
+            node("P:1", "\\p\\", full="\\site\\Procedures\\PRC\\Meta1\\x\\A1234_678\\"),
+            node("P:2", "\\p\\", full="\\site\\Procedures\\PRC\\Meta1\\x\\B12345678\\"),
             node("LOINC:123-4", "\\l\\1\\"),
             node("LOINC:12345-6", "\\l\\2\\"),
             node("LOINC:12-6", "\\l\\3\\"),
@@ -33,7 +33,9 @@ def test_branches_need_a_kind_and_the_global_rule(spark, rows):
             node("", "\\d\\254\\", name="[CV125] drugs"),
         ],
     )
-    assert rows(on.ontology_branches(df), "c_basecode", "is_vf") == [
+    patterns = [*on.BRANCH_PATTERNS, on.procedure_nodes("\\site\\Procedures\\PRC\\")]
+    assert "P:1" not in [r.c_basecode for r in on.ontology_branches(df).collect()]
+    assert rows(on.ontology_branches(df, patterns), "c_basecode", "is_vf") == [
         ("ICD9:250", False),
         ("ICD9:250.1", False),
         ("LOINC:123-4", True),

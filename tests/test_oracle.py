@@ -7,7 +7,7 @@ from tests.oracle_check import differences, run_sql
 
 DATA = "/root/testdata/sf0.001"
 #: The queries over the star; optional subpackages have tests of their own.
-CORE = [q.__name__ for q in entry._QUERIES]
+CORE = [q.__name__ for q in entry._QUERIES + entry._SITE_QUERIES]
 
 
 @pytest.fixture(scope="module")
