@@ -83,6 +83,48 @@ def batched(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def least_of_each(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """Of each of a few groups ``by`` the rows with the ``most`` least hashes of ``key``, which is unique in ``rows``.
+
+    The hash that ends a group's share is found among the hashes below a bound that about four times as many
+    rows meet (more, should they be too few), so no task or window holds a group.
+    """
+    h, kind = F.xxhash64(key), dict(rows.dtypes)[by]
+    spark, low, span = rows.sparkSession, -(1 << 63), 1 << 64
+    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return rows
+
+    def bounded(ends: dict) -> DataFrame:
+        ends = spark.createDataFrame(list(ends.items()), f"{by} {kind}, _end bigint")
+        return rows.join(F.broadcast(ends), by).where(h <= F.col("_end")).drop("_end").select(rows.columns)
+
+    share, ends, open_ = {g: 4 * most / n for g, n in sizes.items()}, {}, set(sizes)
+    while open_:
+        bounds = {g: low + min(span - 1, int(share[g] * span)) for g in open_}
+        found: dict = {g: [] for g in open_}
+        for r in bounded(bounds).select(by, h.alias("h")).collect():
+            found[r[by]].append(r["h"])
+        for g, hashes in found.items():
+            if len(hashes) >= min(most, sizes[g]):
+                ends[g] = sorted(hashes)[min(most, len(hashes)) - 1]
+            share[g] *= 4
+        open_ -= set(ends)
+    return bounded(ends)
+
+
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The rows of ``sample`` (with a unique ``doc_id``) that have documents, each with one whole text.
+
+    Of several documents of an id that of least hash counts; the others are dropped before they are shuffled.
+    """
+    others = [c for c in sample.columns if c != "doc_id"]
+    text = whole_text()
+    least = F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"))).alias("least")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return joined.groupBy("doc_id", *others).agg(least).select("doc_id", *others, "least.text")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, row): all other columns in one, so that none can clash with a working column."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

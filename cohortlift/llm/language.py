@@ -1,7 +1,7 @@
 """Language of documents by averaged subword embeddings and a softmax (see ``subword``).
 
-A text is accepted if the probability of its language is at least a bound, calibrated so that of the
-rows kept apart in training a stated share of the rightly predicted ones is accepted.
+A text is accepted if the probability of its language is at least a bound. The bound is calibrated: of the rows
+kept apart in training that were predicted rightly, ``ACCEPTED_SHARE`` reach it.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0 and not accepted; a text
 with letters always gets the likeliest learned language, accepted or not. Repeated rows are predicted
@@ -23,14 +23,21 @@ from cohortlift.llm.subword import BATCH_CHARS, Features, Model, Training, fit
 
 FEATURES = Features(grams=(1, 2, 3), pairs=False, cased=False)
 TRAINING = Training(rows_per_class=600, epochs=8)
-#: The least probability with which a language is accepted; probabilities are calibrated.
-ACCEPT = 0.7
+#: Share of the rightly predicted rows kept apart that the bound of acceptance lets through.
+ACCEPTED_SHARE = 0.98
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def predict(docs: DataFrame, model: Model | None, accept: float = ACCEPT) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted)."""
+def acceptance(model: Model, share: float = ACCEPTED_SHARE) -> float:
+    """The least probability with which a language is accepted; 0 if no rows were kept apart."""
+    return model.confident[int((1 - share) * len(model.confident))] if model.confident else 0.0
+
+
+def predict(docs: DataFrame, model: Model | None, accept: float | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted); ``accept`` is the bound, by default the calibrated one."""
+    if accept is None:
+        accept = acceptance(model) if model else 0.0
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +52,7 @@ def predict(docs: DataFrame, model: Model | None, accept: float = ACCEPT) -> Dat
                 for i, row in zip(at[a:b], p, strict=True):
                     lang[i], score[i] = model.classes[int(row.argmax())], row.max()
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(lang), pa.array(score), pa.array(score >= accept)],
+                [batch["doc_id"], pa.array(lang), pa.array(score), pa.array((score >= accept) & np.array(known, dtype=bool))],
                 names=["doc_id", "lang_pred", "score", "accepted"],
             )
 

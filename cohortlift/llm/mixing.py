@@ -19,10 +19,10 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlift.llm.common import Scratch, table, whole_text
+from cohortlift.llm.common import Scratch, least_of_each, one_text_each, table, whole_text
 
 #: Hash buckets of words and word endings.
 BUCKETS = 4_096
@@ -77,12 +77,10 @@ def _sum_at(places: str, values: Column) -> Column:
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], s: Settings) -> Classifier | None:
     """A classifier from ``labelled`` (doc_id, domain); the driver gets ``BUCKETS`` counts for each domain."""
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
     once = known.groupBy("doc_id").agg(F.max("domain").alias("domain"))
     priors = {r["domain"]: r["count"] for r in once.groupBy("domain").count().collect()}
-    sample = once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= s.rows_per_domain)
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample.drop("_n")), "doc_id")
+    texts = one_text_each(docs, least_of_each(once, "domain", "doc_id", s.rows_per_domain))
     counts = (
         texts.select("domain", F.explode(_buckets(_tokens(F.col("text")))).alias("bucket"))
         .groupBy("domain", "bucket")

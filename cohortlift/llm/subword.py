@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.common import batched, whole_text
+from cohortlift.llm.common import batched, least_of_each, one_text_each
 
 #: Characters whose features are hashed at a time; a longer text is cut at white space.
 BATCH_CHARS = 1_000_000
@@ -160,6 +160,8 @@ class Model:
     bias: np.ndarray
     #: What logits are divided by, so that probabilities are calibrated.
     temperature: float = 1.0
+    #: Of the rows kept apart that were predicted rightly, the probabilities of their class, ascending.
+    confident: tuple[float, ...] = ()
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         total, number = summed(texts, self.features, self.table)
@@ -185,18 +187,17 @@ class Training:
 
 
 def training_rows(labelled: DataFrame, t: Training) -> DataFrame:
-    """(doc_id, label): the bounded sample of the labelled rows that training may see."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """(doc_id, label): the bounded sample of the labelled rows that training may see; of two labels the greater."""
     known = labelled.where("doc_id is not null and label is not null").select("doc_id", "label")
     once = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= t.rows_per_class).drop("_n")
+    return least_of_each(once, "label", "doc_id", t.rows_per_class)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, f: Features, t: Training) -> Model | None:
     """Learn the classes of ``labelled`` (doc_id, label); None if there is no labelled document.
 
     Executors turn the sampled texts, whole, into counts of at most ``f.buckets`` numbers; the driver
-    gets at most ``rows_per_class`` such rows of each class. All label values are learned, or none: more than
+    gets at most ``rows_per_class`` such rows of each class, one for each id however many documents have it. All label values are learned, or none: more than
     ``classes`` raise a ValueError, as a document of one left out would get a wrong label.
     """
     values = labelled.where("label is not null").select("label").distinct().limit(t.classes + 1).count()
@@ -214,8 +215,7 @@ def fit(docs: DataFrame, labelled: DataFrame, f: Features, t: Training) -> Model
             n = pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["label"], at, n], names=["label", "at", "n"])
 
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = texts.select("label", "text").mapInArrow(featurize, f"label {kind}, at array<int>, n array<int>")
+    rows = one_text_each(docs, sample).select("label", "text").mapInArrow(featurize, f"label {kind}, at array<int>, n array<int>")
     table = rows.toArrow()
     labels = table["label"].to_pylist()
     classes = sorted(set(labels))
@@ -264,9 +264,11 @@ def train(at: list, n: list, labels: list[int], classes: list, f: Features, t: T
                 # Shares are small, so their square root keeps rare features learning.
                 vectors[at[i]] -= rate * np.sqrt(share[i])[:, None] * g
     table = vectors @ weights
-    temperature = 1.0
+    temperature, confident = 1.0, []
     if len(apart):
         logits = np.stack([share[i] @ table[at[i]] for i in apart]) + bias
         loss = lambda d: -np.log(softmax(logits / d)[np.arange(len(apart)), y[apart]] + 1e-12).mean()
         temperature = float(min(np.geomspace(0.25, 4, 33), key=loss))
-    return Model(list(classes), f, table, bias, temperature)
+        chances = softmax(logits / temperature)
+        confident = np.sort(chances.max(axis=1)[chances.argmax(axis=1) == y[apart]]).tolist()
+    return Model(list(classes), f, table, bias, temperature, tuple(confident))

@@ -2,11 +2,12 @@
 
 The input at each word is a learned vector of the word and the mean of learned vectors of its character
 n-grams, all hashed. Two gated recurrent units read a window of words from either side, attention pools
-their states, and a logistic unit scores the window. Every overlapping window of a text is scored; the
-document has the score of its worst window, calibrated on the training documents.
+their states, and a logistic unit scores the window. Every overlapping window of a text is scored, from each
+word on; the document has the score of its worst window, calibrated on training documents kept apart.
 
 Labels are of documents, so training is by multiple instances: of a toxic document only windows that look
-toxic so far, the worst at least, count as toxic; all windows of other documents count as not toxic.
+toxic so far, the worst at least, count as toxic; all windows of other documents count as not toxic. At first a
+window looks as toxic as its word that tells most about the labels of the documents it is in.
 
 Defined results: null and empty texts have one window without words, the same score for all; repeated
 rows are scored each, equal texts alike; labels that are null or without document are ignored; without
@@ -20,23 +21,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlift.llm.common import batched, fold, table, whole_text
+from cohortlift.llm.common import batched, fold, one_text_each, table
 from cohortlift.llm.subword import (
     Training,
     code_points,
     gram_hashes,
     is_space,
+    pieces,
     training_rows,
     word_hashes,
 )
 
-#: Words of a window, and from one window to the next.
-WINDOW, STRIDE = 32, 16
+#: Words of a window; one starts at every word that has as many after it.
+WINDOW = 8
 GRAMS = (3, 4)
 BUCKETS = 1 << 15
 WORD_SIZE = GRAM_SIZE = 8
@@ -45,10 +46,9 @@ HIDDEN = 8
 BATCH_CHARS = 400_000
 BATCH_WINDOWS = 2_048
 
-#: Labelled rows of each class, and windows of each of them (evenly spread), that training sees at most.
-TRAINING = Training(rows_per_class=1_500, epochs=8, rate=0.01, batch=64, seed=11)
-TRAINING_WINDOWS = 20
-WINDOWS_PER_EPOCH = 6_000
+#: Labelled rows of each class that training sees at most, with all of their windows.
+TRAINING = Training(rows_per_class=1_500, epochs=8, rate=0.01, batch=128, seed=11)
+WINDOWS_PER_EPOCH = 16_000
 #: Share of the toxic documents that may be left out of an epoch as wrongly labelled.
 TRIM = 0.1
 #: Step length for the hashed vectors.
@@ -59,13 +59,15 @@ Params = dict[str, np.ndarray]
 
 @dataclass
 class Tokens:
-    """The words of some texts: buckets of each, buckets of their n-grams, and the word of each n-gram."""
+    """Some texts as sequences of types (distinct words), with the bucket and the n-grams of each type."""
 
+    #: The type of each word, and where the words of each text start and the last ends.
+    types: np.ndarray
+    edges: np.ndarray
+    #: The bucket of each type; buckets of n-grams, and the type of each, ascending.
     words: np.ndarray
     grams: np.ndarray
     owner: np.ndarray
-    #: Where the words of each text start, and where the last ends.
-    edges: np.ndarray
     #: The place of each word in the code points of all texts.
     at: np.ndarray
 
@@ -75,37 +77,32 @@ def tokens(texts: list[str]) -> Tokens:
     codes, starts = code_points(texts)
     space = is_space(codes)
     at, words = word_hashes(codes, space)
+    # Two hashes of 32 bits name a word, so that unlike words do not share a type.
+    named = words.astype(np.uint64) << np.uint64(32) | word_hashes(codes ^ np.uint32(0x5A5A), space)[1]
+    _, first, types = np.unique(named, return_index=True, return_inverse=True)
     mask = np.uint32(BUCKETS - 1)
-    first = np.zeros(len(codes), dtype=bool)
-    first[at] = True
-    number = np.cumsum(first) - 1
+    begins = np.zeros(len(codes), dtype=bool)
+    begins[at] = True
+    number = np.cumsum(begins) - 1
+    type_of = np.full(len(at) + 1, -1)  # of a word, if it is the first of its type
+    type_of[first] = np.arange(len(first))
     grams, owner = [], []
     for n in GRAMS:
         hashes, valid = gram_hashes(codes, space, n)
         place = np.flatnonzero(valid)
-        grams.append((hashes[place] & mask).astype(np.int64))
-        owner.append(number[place + 1])
-    found, of_word = np.concatenate(grams), np.concatenate(owner)
-    order = np.argsort(of_word, kind="stable")
-    edges = np.searchsorted(at, starts)
-    return Tokens((words & mask).astype(np.int64), found[order], of_word[order], edges, at)
-
-
-def window_starts(n_words: int) -> range:
-    """The windows of a text; the last one reaches its end."""
-    count = max(1, -(-(n_words - WINDOW) // STRIDE) + 1)
-    return range(0, count * STRIDE, STRIDE)
+        of_type = type_of[number[place + 1]]
+        kept = of_type >= 0
+        grams.append((hashes[place[kept]] & mask).astype(np.int64))
+        owner.append(of_type[kept])
+    found, of_type = np.concatenate(grams), np.concatenate(owner)
+    order = np.argsort(of_type, kind="stable")
+    buckets = (words[first] & mask).astype(np.int64)
+    return Tokens(types.reshape(-1), np.searchsorted(at, starts), buckets, found[order], of_type[order], at)
 
 
-def window_index(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the words, whether each place has one, and the text."""
-    size = np.diff(edges)
-    count = np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1)
-    text = np.repeat(np.arange(len(size)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    index = (edges[:-1][text] + nth * STRIDE)[:, None] + np.arange(WINDOW)[None, :]
-    there = index < edges[1:][text][:, None]
-    return np.where(there, index, 0), there, text
+def window_counts(edges: np.ndarray) -> np.ndarray:
+    """How many windows each text has: one at least, and one from each word that has a whole one after it."""
+    return np.maximum(1, np.diff(edges) - WINDOW + 1)
 
 
 def gram_means(vectors: np.ndarray, grams: np.ndarray, owner: np.ndarray, n_words: int) -> np.ndarray:
@@ -173,24 +170,84 @@ def _pool(p: Params, states: np.ndarray, there: np.ndarray) -> tuple[np.ndarray,
     return pooled @ p["out"] + p["out_b"][0], hidden, weight, pooled
 
 
+def _inputs(p: Params, t: Tokens) -> np.ndarray:
+    """The input that each type gives."""
+    return np.concatenate([p["word"][t.words], gram_means(p["gram"], t.grams, t.owner, len(t.words))], axis=1)
+
+
+def _slide(p: Params, forth: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """The logits of the ``n`` whole windows over a run of words, from what the units take of each (units, word).
+
+    At each step all windows are at consecutive words, so that a step is a slice.
+    """
+    h = HIDDEN
+    energy = np.zeros((WINDOW, h, n), dtype=np.float32)
+    value = np.zeros((WINDOW, n), dtype=np.float32)
+    for i, (taken, steps) in enumerate(((forth, range(WINDOW)), (back, range(WINDOW - 1, -1, -1)))):
+        side = "fb"[i]
+        u = np.ascontiguousarray(p[f"u_{side}"].T)
+        att = np.ascontiguousarray(p["att"][i * h : (i + 1) * h].T)
+        out = p["out"][i * h : (i + 1) * h]
+        state = np.zeros((h, n), dtype=np.float32)
+        for t in steps:
+            x = taken[:, t : t + n]
+            step = u @ state
+            gates = _sigmoid(x[: 2 * h] + step[: 2 * h])
+            new = np.tanh(x[2 * h :] + gates[h:] * step[2 * h :])
+            state = new + gates[:h] * (state - new)
+            energy[t] += att @ state
+            value[t] += out @ state
+    energy += p["att_b"][:, None]
+    weight = np.einsum("thn,h->tn", np.tanh(energy), p["att_v"])
+    weight = np.exp(weight - weight.max(axis=0))
+    return (weight * value).sum(axis=0) / weight.sum(axis=0) + p["out_b"][0]
+
+
+def window_logits(p: Params, t: Tokens, inputs: np.ndarray | None = None) -> np.ndarray:
+    """The logits of all windows, text after text; ``inputs`` are those of the types, if they are known."""
+    inputs = _inputs(p, t) if inputs is None else inputs
+    size, count = np.diff(t.edges), window_counts(t.edges)
+    first = np.cumsum(count) - count
+    found = np.empty(count.sum(), dtype=np.float32)
+    short = np.flatnonzero(size < WINDOW)
+    for a in range(0, len(short), BATCH_WINDOWS):
+        texts = short[a : a + BATCH_WINDOWS]
+        place = t.edges[texts][:, None] + np.arange(WINDOW)
+        there = place < t.edges[texts + 1][:, None]
+        padded = np.concatenate([inputs, np.zeros((1, inputs.shape[1]), dtype=inputs.dtype)])
+        x = padded[np.where(there, np.append(t.types, -1)[np.minimum(place, len(t.types))], -1)].transpose(1, 0, 2)
+        found[first[texts]] = _masked(p, x, np.ascontiguousarray(there.T))
+    # The words of all other texts in a row; windows that reach into the next text are not kept.
+    long = size >= WINDOW
+    if not long.any():
+        return found
+    types = t.types if long.all() else t.types[np.repeat(long, size)]
+    taken = {s: (inputs @ p[f"x_{s}"] + p[f"x_b_{s}"]).T.astype(np.float32, copy=False) for s in "fb"}
+    all_ = len(types) - WINDOW + 1
+    slid = np.empty(all_, dtype=np.float32)
+    for a in range(0, all_, BATCH_WINDOWS):
+        n = min(BATCH_WINDOWS, all_ - a)
+        here = types[a : a + n + WINDOW - 1]
+        slid[a : a + n] = _slide(p, taken["f"][:, here], taken["b"][:, here], n)
+    ends = np.cumsum(size[long])
+    whole = np.ones(len(types), dtype=bool)
+    for k in range(1, WINDOW):
+        whole[ends - k] = False
+    found[np.repeat(long, count)] = slid[whole[:all_]]
+    return found
+
+
+def _masked(p: Params, x: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The logits of windows of inputs (step, window, number) of which some places have no word."""
+    forth = _recur(x @ p["x_f"] + p["x_b_f"], there, p["u_f"], range(WINDOW), None)
+    back = _recur(x @ p["x_b"] + p["x_b_b"], there, p["u_b"], range(WINDOW - 1, -1, -1), None)
+    return _pool(p, np.concatenate([forth, back], axis=2), there)[0]
+
+
 def logits(p: Params, t: Tokens) -> np.ndarray:
     """The logit of the worst window of each text."""
-    n = len(t.words)
-    inputs = np.concatenate([p["word"][t.words], gram_means(p["gram"], t.grams, t.owner, n)], axis=1)
-    if not n:
-        inputs = np.zeros((1, WORD_SIZE + GRAM_SIZE), dtype=np.float32)
-    # What the units take from a word is the same in every window that has it.
-    taken = {s: inputs @ p[f"x_{s}"] + p[f"x_b_{s}"] for s in ("f", "b")}
-    index, there, text = window_index(t.edges)
-    worst = np.full(len(t.edges) - 1, -np.inf, dtype=np.float32)
-    for a in range(0, len(text), BATCH_WINDOWS):
-        rows = slice(a, a + BATCH_WINDOWS)
-        at, here = np.ascontiguousarray(index[rows].T), np.ascontiguousarray(there[rows].T)
-        forth = _recur(taken["f"][at], here, p["u_f"], range(WINDOW), None)
-        back = _recur(taken["b"][at], here, p["u_b"], range(WINDOW - 1, -1, -1), None)
-        found = _pool(p, np.concatenate([forth, back], axis=2), here)[0]
-        np.maximum.at(worst, text[rows], found)
-    return worst
+    count = window_counts(t.edges)
+    return np.maximum.reduceat(window_logits(p, t), np.cumsum(count) - count)
 
 
 def parts(text: str) -> Iterator[str]:
@@ -199,14 +256,14 @@ def parts(text: str) -> Iterator[str]:
     while len(text) - start > BATCH_CHARS:
         piece = text[start : start + BATCH_CHARS]
         at = tokens([piece]).at - 1  # one space stands before the text
-        whole = (len(at) - 1 - WINDOW) // STRIDE + 1  # the last word may be cut off
+        whole = len(at) - WINDOW  # windows without the last word, which may be cut off
         if whole < 1:
             # Words of a hundred thousand characters: windows end at such a cut.
             yield piece
             start += len(piece)
             continue
-        yield piece[: at[(whole - 1) * STRIDE + WINDOW]]
-        start += int(at[whole * STRIDE])
+        yield piece[: at[whole - 1 + WINDOW]]
+        start += int(at[whole])
     yield text[start:]
 
 
@@ -230,98 +287,84 @@ class Model:
 
 
 @dataclass
-class Windows:
-    """Training windows: words and where their n-grams lie, with the document and label of each."""
+class Corpus:
+    """Labelled texts with all their windows: the text of each, and its first word."""
 
-    words: np.ndarray
-    there: np.ndarray
-    grams: np.ndarray
-    gram_edges: np.ndarray
-    doc: np.ndarray
+    tokens: Tokens
     toxic: np.ndarray
 
+    def __post_init__(self) -> None:
+        count = window_counts(self.tokens.edges)
+        self.text = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(count) - count, count)
+        self.first = self.tokens.edges[:-1][self.text] + nth
+        self.gram_edges = np.searchsorted(self.tokens.owner, np.arange(len(self.tokens.words) + 1))
+
     def take(self, rows: np.ndarray) -> tuple[Tokens, np.ndarray]:
-        n = len(rows) * WINDOW
-        first = (rows[:, None] * WINDOW + np.arange(WINDOW)).reshape(-1)
-        size = self.gram_edges[first + 1] - self.gram_edges[first]
-        owner = np.repeat(np.arange(n), size)
+        """Some windows, as texts of ``WINDOW`` places, and which places (step, window) have a word."""
+        t = self.tokens
+        place = self.first[rows][:, None] + np.arange(WINDOW)
+        there = place < t.edges[1:][self.text[rows]][:, None]
+        used, types = np.unique(np.append(t.types, 0)[np.where(there, place, -1)], return_inverse=True)
+        size = self.gram_edges[used + 1] - self.gram_edges[used] if len(t.words) else np.zeros(len(used), dtype=int)
+        owner = np.repeat(np.arange(len(used)), size)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        grams = self.grams[self.gram_edges[first][owner] + inside]
-        edges = np.arange(0, n + 1, WINDOW)
-        return Tokens(self.words[rows].reshape(-1), grams, owner, edges, edges), self.there[rows].T
-
-
-def _cuts(k: Tokens) -> list[tuple[list, list, list]]:
-    """Words, n-grams, and number of n-grams of each word, for each window of one text."""
-    gram_edges = np.searchsorted(k.owner, np.arange(len(k.words) + 1))
-    out = []
-    for start in window_starts(len(k.words)):
-        end = min(start + WINDOW, len(k.words))
-        grams = k.grams[gram_edges[start] : gram_edges[end]]
-        sizes = np.diff(gram_edges[start : end + 1])
-        out.append((k.words[start:end].tolist(), grams.tolist(), sizes.tolist()))
-    return out
+        grams = t.grams[self.gram_edges[used][owner] + inside]
+        words = t.words[used] if len(t.words) else np.zeros(len(used), dtype=np.int64)
+        edges = np.arange(0, len(rows) * WINDOW + 1, WINDOW)
+        return Tokens(types.reshape(-1), edges, words, grams, owner, edges), there.T
 
 
-def training_windows(docs: DataFrame, labelled: DataFrame, t: Training, most: int) -> Windows:
-    """The windows of a bounded sample of labelled documents, whatever their order of arrival."""
-    sample = F.broadcast(training_rows(labelled, t))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for label, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cuts = [c for part in parts(text.lower()) for c in _cuts(tokens([part]))]
-                chosen = {round(i) for i in np.linspace(0, len(cuts) - 1, min(most, len(cuts)))}
-                tie = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
-                out += [(label, doc_id, tie, i, *cuts[i]) for i in sorted(chosen)]
-            arrays = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(a), kind) for a, kind in zip(arrays, kinds, strict=True)], names=names
-            )
-
-    names = ["label", "doc_id", "tie", "nth", "words", "grams", "sizes"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3]
-    schema = (
-        "label int, doc_id bigint, tie bigint, nth int, words array<int>, grams array<int>, sizes array<int>"
-    )
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    rows = texts.join(sample, "doc_id").select(F.col("label").cast("int"), "doc_id", "text")
-    return _windows(rows.mapInArrow(cut, schema).toArrow())
-
-
-def _windows(found: pa.Table) -> Windows:
-    """The windows in the order of document and place, whatever order they came in."""
-    plain = {c: found[c].to_numpy() for c in ("label", "doc_id", "tie", "nth")}
-    order = np.lexsort([plain["nth"], plain["tie"], plain["doc_id"]])
-
-    def ragged(name: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = found[name].combine_chunks()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        start = (np.cumsum(size) - size)[order]
-        size = size[order]
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return lists.flatten().to_numpy()[np.repeat(start, size) + within], size
-
-    n = len(order)
-    there = np.zeros((n, WINDOW), dtype=bool)
-    words, sizes = np.zeros((2, n, WINDOW), dtype=np.int32)
-    flat, length = ragged("words")
-    there[:] = np.arange(WINDOW) < length[:, None]
-    words[there] = flat
-    sizes[there] = ragged("sizes")[0]
-    edges = np.concatenate([[0], np.cumsum(sizes.reshape(-1), dtype=np.int64)])
+def training_corpus(docs: DataFrame, labelled: DataFrame, t: Training) -> Corpus | None:
+    """A bounded sample of labelled documents, whatever their order of arrival: whole texts, one for each id."""
+    sample = training_rows(labelled, t)
+    rows = one_text_each(docs, sample).select("label", "doc_id", "text").toArrow()
+    if not rows.num_rows:
+        return None
+    found = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist(), strict=True))
+    del rows
     pa.default_memory_pool().release_unused()
-    _, doc = np.unique(plain["doc_id"][order], return_inverse=True)
-    return Windows(words, there, ragged("grams")[0], edges, doc, plain["label"][order] == 1)
+    return corpus([text for _, _, text in found], [label for _, label, _ in found])
+
+
+def corpus(texts: list[str], labels: list[int]) -> Corpus:
+    """The types of all texts are made one, a batch of texts after the other."""
+    types, sizes, words, grams, counts = [], [], [], [], []
+    known: dict[tuple, int] = {}
+    split = [(i, part) for i, text in enumerate(texts) for part in _disjoint(text.lower())]
+    strings = [part for _, part in split]
+    size_of = np.zeros(len(texts), dtype=np.int64)
+    for a, b in batched(strings, BATCH_CHARS):
+        t = tokens(strings[a:b])
+        edges = np.searchsorted(t.owner, np.arange(len(t.words) + 1))
+        number = np.empty(len(t.words), dtype=np.int32)
+        for i, bucket in enumerate(t.words.tolist()):
+            own = t.grams[edges[i] : edges[i + 1]]
+            key = (bucket, own.tobytes())  # what the network sees of a word
+            if key not in known:
+                known[key] = len(known)
+                words.append(bucket)
+                grams.append(own.astype(np.int32))
+            number[i] = known[key]
+        types.append(number[t.types])
+        np.add.at(size_of, [i for i, _ in split[a:b]], np.diff(t.edges))
+    counts = [len(g) for g in grams]
+    owner = np.repeat(np.arange(len(grams)), counts)
+    flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.int32)
+    edges = np.concatenate([[0], np.cumsum(size_of)])
+    together = Tokens(np.concatenate(types), edges, np.array(words, dtype=np.int64), flat, owner, edges)
+    return Corpus(together, np.array(labels) == 1)
+
+
+def _disjoint(text: str) -> Iterator[str]:
+    """``text`` in parts cut at white space."""
+    return pieces(text, BATCH_CHARS)
 
 
 def loss_gradient(p: Params, k: Tokens, there: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
     """Mean logistic loss of windows of ``WINDOW`` words and its gradient."""
     n, h = len(y), HIDDEN
-    means = gram_means(p["gram"], k.grams, k.owner, len(k.words))
-    inputs = np.concatenate([p["word"][k.words], means], axis=1)
-    shaped = inputs.reshape(n, WINDOW, -1).transpose(1, 0, 2)
+    shaped = _inputs(p, k)[k.types].reshape(n, WINDOW, -1).transpose(1, 0, 2)
     trace: dict[str, list] = {"f": [], "b": []}
     states = []
     for side, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
@@ -361,17 +404,26 @@ def loss_gradient(p: Params, k: Tokens, there: np.ndarray, y: np.ndarray) -> tup
         g[f"x_{side}"] = np.einsum("tnk,tnj->kj", shaped, d_x)
         g[f"x_b_{side}"] = d_x.sum(axis=(0, 1))
         d_inputs += d_x @ p[f"x_{side}"].T
-    flat = d_inputs.transpose(1, 0, 2).reshape(len(k.words), -1)
-    g["word"] = np.zeros_like(p["word"])
+    flat = d_inputs.transpose(1, 0, 2).reshape(n * WINDOW, -1)
     live = there.T.reshape(-1)
-    np.add.at(g["word"], k.words[live], flat[live, :WORD_SIZE])
-    g["gram"] = np.zeros_like(p["gram"])
+    of_type = np.zeros((len(k.words), flat.shape[1]), dtype=flat.dtype)
+    np.add.at(of_type, k.types[live], flat[live])
+    # Only the buckets that occur have a gradient.
     count = np.maximum(np.bincount(k.owner, minlength=len(k.words)), 1)
-    np.add.at(g["gram"], k.grams, (flat[:, WORD_SIZE:] / count[:, None])[k.owner])
+    g["word"] = _sparse(k.words, of_type[:, :WORD_SIZE])
+    g["gram"] = _sparse(k.grams, (of_type[:, WORD_SIZE:] / count[:, None])[k.owner])
     return loss, g
 
 
-def train(w: Windows, t: Training, per_epoch: int = WINDOWS_PER_EPOCH) -> Model | None:
+def _sparse(buckets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and the sum of the rows of each."""
+    at, of = np.unique(buckets, return_inverse=True)
+    out = np.zeros((len(at), rows.shape[1]), dtype=rows.dtype)
+    np.add.at(out, of, rows)
+    return at, out
+
+
+def train(w: Corpus, t: Training, per_epoch: int = WINDOWS_PER_EPOCH) -> Model | None:
     """Adam for the network and plain descent for the hashed vectors, so that rare words move little."""
     if w.toxic.all() or not w.toxic.any():
         return None
@@ -381,14 +433,13 @@ def train(w: Windows, t: Training, per_epoch: int = WINDOWS_PER_EPOCH) -> Model
     first = {k: np.zeros_like(p[k]) for k in names}
     second = {k: np.zeros_like(p[k]) for k in names}
     # A fifth of the documents is kept apart to calibrate.
-    apart = (rng.random(w.doc.max() + 1) < 0.2)[w.doc]
+    apart = rng.random(len(w.toxic)) < 0.2
     if not (w.toxic & apart).any() or not (~w.toxic & apart).any() or not (w.toxic & ~apart).any():
         apart[:] = False
-    learn = ~apart
-    found = None
+    found = _first_look(w, ~apart)
     step, steps = 0, t.epochs * -(-per_epoch // t.batch)
     for _ in range(t.epochs):
-        rows, y = _instances(w, learn, found, per_epoch, rng)
+        rows, y = _instances(w, ~apart, found, per_epoch, rng)
         for a in range(0, len(rows), t.batch):
             step += 1
             k, there = w.take(rows[a : a + t.batch])
@@ -400,61 +451,78 @@ def train(w: Windows, t: Training, per_epoch: int = WINDOWS_PER_EPOCH) -> Model
                 second[name] += 0.01 * (g[name] ** 2 - second[name])
                 p[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-7)).astype(np.float32)
             for name in ("word", "gram"):
-                p[name] -= np.float32(VECTOR_RATE * left) * g[name]
-        found = _window_logits(p, w)
-    use = apart if apart.any() else learn
-    return _calibrated(p, w.doc[use], w.toxic[use], found[use])
+                at, change = g[name]
+                p[name][at] -= np.float32(VECTOR_RATE * left) * change
+        found = _all_logits(p, w)
+    worst = _worst(w, found)
+    use = apart if apart.any() else ~apart
+    return _calibrated(p, worst[use], w.toxic[use])
+
+
+def _first_look(w: Corpus, learn: np.ndarray) -> np.ndarray:
+    """For each window the strongest sign among its words: how many standard errors more toxic documents have it."""
+    t = w.tokens
+    text = np.repeat(np.arange(len(w.toxic)), np.diff(t.edges))
+    used = learn[text]
+    pairs = np.unique(text[used] * np.int64(len(t.words)) + t.types[used])
+    toxic_text = w.toxic[pairs // max(1, len(t.words))]
+    types = pairs % max(1, len(t.words))
+    n = np.array([(learn & ~w.toxic).sum(), (learn & w.toxic).sum()], dtype=float)
+    clean, toxic = (np.bincount(types[toxic_text == side], minlength=len(t.words)) for side in (False, True))
+    both = (clean + toxic + 1) / (n.sum() + 2)
+    sign = (toxic / n[1] - clean / n[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
+    of_word = np.append(sign[t.types], 0.0) if len(t.types) else np.zeros(1)
+    best = np.full(len(w.text), -np.inf)
+    for k in range(WINDOW):
+        place = w.first + k
+        inside = place < t.edges[1:][w.text]
+        best = np.maximum(best, np.where(inside, of_word[np.where(inside, place, -1)], -np.inf))
+    return np.where(np.isfinite(best), best, 0.0) - 3
+
+
+def _worst(w: Corpus, found: np.ndarray) -> np.ndarray:
+    count = window_counts(w.tokens.edges)
+    return np.maximum.reduceat(found, np.cumsum(count) - count)
 
 
 def _instances(
-    w: Windows, learn: np.ndarray, found: np.ndarray | None, most: int, rng: np.random.Generator
+    w: Corpus, learn: np.ndarray, found: np.ndarray, most: int, rng: np.random.Generator
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and labels of an epoch, half of them toxic, drawn with a leaning to what is judged wrong.
-
-    At first every window of a toxic document counts as toxic, then its worst and those that look it.
-    """
-    toxic, clean = w.toxic & learn, ~w.toxic & learn
-    lean = np.ones(len(w.doc))
-    if found is not None:
-        worst = np.full(w.doc.max() + 1, -np.inf)
-        np.maximum.at(worst, w.doc, found)
-        toxic = toxic & ((found > 1) | (found == worst[w.doc]))
-        # Labels err: the toxic documents that look least so are left out.
-        least = np.quantile(worst[np.unique(w.doc[toxic])], TRIM)
-        toxic = toxic & (worst[w.doc] >= min(least, 0))
-        lean = 0.02 + _sigmoid(np.where(w.toxic, -found, found))
+    """Windows and labels of an epoch, half of them toxic, drawn with a leaning to what is judged wrong."""
+    is_toxic = w.toxic[w.text]
+    toxic, clean = is_toxic & learn[w.text], ~is_toxic & learn[w.text]
+    worst = _worst(w, found)
+    toxic = toxic & ((found > 1) | (found == worst[w.text]))
+    # Labels err: the toxic documents that look least so are left out.
+    least = np.quantile(worst[w.toxic & learn], TRIM)
+    toxic = toxic & (worst[w.text] >= min(least, 0))
+    lean = 0.02 + _sigmoid(np.where(is_toxic, -found, found))
     half = most // 2
     drawn = [
         rng.choice(at, half, p=lean[at] / lean[at].sum())
         for at in (np.flatnonzero(toxic), np.flatnonzero(clean))
     ]
     rows = rng.permutation(np.concatenate(drawn))
-    return rows, w.toxic[rows]
-
-
-def _window_logits(p: Params, w: Windows) -> np.ndarray:
-    out = np.empty(len(w.doc), dtype=np.float32)
-    for a in range(0, len(out), BATCH_WINDOWS):
-        rows = np.arange(a, min(a + BATCH_WINDOWS, len(out)))
-        k, there = w.take(rows)
-        n = len(k.words)
-        x = np.concatenate([p["word"][k.words], gram_means(p["gram"], k.grams, k.owner, n)], axis=1)
-        x = x.reshape(len(rows), WINDOW, -1).transpose(1, 0, 2)
-        forth = _recur(x @ p["x_f"] + p["x_b_f"], there, p["u_f"], range(WINDOW), None)
-        back = _recur(x @ p["x_b"] + p["x_b_b"], there, p["u_b"], range(WINDOW - 1, -1, -1), None)
-        out[rows] = _pool(p, np.concatenate([forth, back], axis=2), there)[0]
-    return out
+    return rows, is_toxic[rows]
+
+
+def _all_logits(p: Params, w: Corpus) -> np.ndarray:
+    """The logits of all windows, of some texts at a time."""
+    t, out = w.tokens, []
+    number = len(t.edges) - 1
+    a = 0
+    inputs = _inputs(p, t)
+    while a < number:
+        b = max(a + 1, int(np.searchsorted(t.edges, t.edges[a] + BATCH_CHARS // 4, "right")) - 1)
+        part = Tokens(t.types[t.edges[a] : t.edges[b]], t.edges[a : b + 1] - t.edges[a], t.words, t.grams, t.owner, t.at)
+        out.append(window_logits(p, part, inputs))
+        a = b
+    return np.concatenate(out)
 
 
-def _calibrated(p: Params, doc: np.ndarray, toxic: np.ndarray, found: np.ndarray) -> Model:
+def _calibrated(p: Params, worst: np.ndarray, y: np.ndarray) -> Model:
     """A logistic curve through the documents' worst windows."""
-    n = doc.max() + 1
-    worst = np.full(n, -np.inf)
-    np.maximum.at(worst, doc, found)
-    y = np.zeros(n, dtype=bool)
-    y[doc] = toxic
-    seen = np.isfinite(worst)
-    worst, y = worst[seen].astype(np.float64), y[seen]
+    worst = worst.astype(np.float64)
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
     logit = lambda at, slope: slope * (worst - at)
     loss = lambda at, slope: float(
@@ -465,11 +533,10 @@ def _calibrated(p: Params, doc: np.ndarray, toxic: np.ndarray, found: np.ndarray
     return Model(p, float(slope), float(-slope * at))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, t: Training = TRAINING, most: int = TRAINING_WINDOWS) -> Model | None:
+def fit(docs: DataFrame, labelled: DataFrame, t: Training = TRAINING) -> Model | None:
     """Learn from ``labelled`` (doc_id, label 0 or 1); None if there are not documents of both labels."""
-    known = labelled.where(F.col("label").isin(0, 1))
-    windows = training_windows(docs, known, t, most)
-    return train(windows, t) if len(windows.doc) else None
+    found = training_corpus(docs, labelled.where(F.col("label").isin(0, 1)), t)
+    return train(found, t) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from cohortlift.llm import language, quality, subword, toxicity
+from cohortlift.llm import common, language, quality, subword, toxicity
 from tests.llm.rows import empty, odd
 
 FEATURES = subword.Features(buckets=1 << 12)
@@ -106,10 +106,15 @@ def test_language_on_held_out_rows(spark):
 def test_network_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in toxicity.new_params(rng).items()}
-    cuts = [c for t in ["ab cd ef gh " * 12, "one two", ""] for c in toxicity._cuts(toxicity.tokens([t]))]
-    w = _windows(cuts, np.arange(len(cuts)) % 2 == 0)
-    k, there = w.take(np.arange(len(cuts)))
-    _, gradient = toxicity.loss_gradient(p, k, there, w.toxic)
+    w = toxicity.corpus(["ab cd ef gh " * 4, "one two", "", "ab one one"], [1, 0, 0, 1])
+    rows = np.arange(len(w.text))
+    k, there = w.take(rows)
+    y = w.toxic[w.text]
+    _, gradient = toxicity.loss_gradient(p, k, there, y)
+    for name in ("word", "gram"):
+        at, values = gradient[name]
+        gradient[name] = np.zeros_like(p[name])
+        gradient[name][at] = values
     places = {"word": [(int(k.words[0]), 2)], "gram": [(int(k.grams[0]), 3)]}
     for name, values in p.items():
         for i in places.get(name) or [tuple(rng.integers(0, n) for n in values.shape) for _ in range(3)]:
@@ -117,37 +122,115 @@ def test_network_gradient_is_that_of_the_loss():
             losses = []
             for change in (1e-3, -1e-3):
                 values[i] = before + change
-                losses.append(toxicity.loss_gradient(p, k, there, w.toxic)[0])
+                losses.append(toxicity.loss_gradient(p, k, there, y)[0])
             values[i] = before
             assert gradient[name][i] == pytest.approx((losses[0] - losses[1]) / 2e-3, abs=2e-5)
 
 
-def _windows(cuts, toxic):
-    n, size = len(cuts), toxicity.WINDOW
-    words, sizes, there = (np.zeros((n, size), kind) for kind in (int, int, bool))
-    for i, (w, _, s) in enumerate(cuts):
-        words[i, : len(w)], sizes[i, : len(s)], there[i, : len(w)] = w, s, True
-    edges = np.concatenate([[0], np.cumsum(sizes.reshape(-1))])
-    grams = np.array([g for c in cuts for g in c[1]], dtype=int)
-    return toxicity.Windows(words, there, grams, edges, np.arange(n), toxic)
+def _plain_logit(p, words):
+    """One window, word by word and number by number, by the equations of the network."""
+    h = toxicity.HIDDEN
+    inputs = []
+    for word in words:
+        t = toxicity.tokens([word])
+        grams = [p["gram"][g] for g in t.grams]
+        inputs.append(np.concatenate([p["word"][t.words[0]], np.mean(grams, axis=0) if grams else np.zeros(8)]))
+
+    def unit(side, order):
+        states, state = {}, np.zeros(h)
+        for i in order:
+            x, back = inputs[i] @ p[f"x_{side}"] + p[f"x_b_{side}"], state @ p[f"u_{side}"]
+            z, r = (1 / (1 + np.exp(-(x[k * h : (k + 1) * h] + back[k * h : (k + 1) * h]))) for k in (0, 1))
+            new = np.tanh(x[2 * h :] + r * back[2 * h :])
+            state = states[i] = (1 - z) * new + z * state
+        return states
+
+    forth, back = unit("f", range(len(words))), unit("b", reversed(range(len(words))))
+    both = [np.concatenate([forth[i], back[i]]) for i in range(len(words))]
+    if not both:
+        return float(p["out_b"][0])
+    weight = np.exp([np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"] for s in both])
+    return float((weight / weight.sum()) @ np.array(both) @ p["out"] + p["out_b"][0])
 
 
 def test_every_overlapping_window_is_scored(monkeypatch):
+    """Against windows that slide by one word, each scored by itself."""
     p = toxicity.new_params(np.random.default_rng(1))
     rng = random.Random(8)
-    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(n)) for n in (0, 1, 32, 33, 100, 700)]
-    together = toxicity.logits(p, toxicity.tokens(texts))
-    for text, found in zip(texts, together, strict=True):
-        words = text.split()
-        starts = toxicity.window_starts(len(words))
-        assert starts[-1] + toxicity.WINDOW >= len(words)
-        each = [
-            toxicity.logits(p, toxicity.tokens([" ".join(words[s : s + toxicity.WINDOW])]))[0] for s in starts
-        ]
-        assert found == pytest.approx(max(each), abs=1e-4)
-    monkeypatch.setattr(toxicity, "BATCH_CHARS", 500)
-    cut = max(toxicity.logits(p, toxicity.tokens([part]))[0] for part in toxicity.parts(texts[-1]))
-    assert cut == pytest.approx(together[-1], abs=1e-4)
+    size = toxicity.WINDOW
+    texts = [
+        " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(n))
+        for n in (0, 1, size - 1, size, 0, size + 1, 33, 100, 2)
+    ]
+    want = [
+        [_plain_logit(p, words[s : s + size]) for s in range(max(1, len(words) - size + 1))]
+        for words in (text.split() for text in texts)
+    ]
+    monkeypatch.setattr(toxicity, "BATCH_WINDOWS", 17)
+    t = toxicity.tokens(texts)
+    assert toxicity.window_logits(p, t) == pytest.approx([x for each in want for x in each], abs=1e-4)
+    assert toxicity.logits(p, t) == pytest.approx([max(each) for each in want], abs=1e-4)
+    assert toxicity._all_logits(p, toxicity.corpus(texts, [0] * 9)) == pytest.approx(
+        [x for each in want for x in each], abs=1e-4
+    )
+    monkeypatch.setattr(toxicity, "BATCH_CHARS", 100)
+    cut = [toxicity.logits(p, toxicity.tokens([part]))[0] for part in toxicity.parts(texts[-2])]
+    assert len(cut) > 2 and max(cut) == pytest.approx(max(want[-2]), abs=1e-4)
+    both = [x for each in want for x in each]
+    assert toxicity._all_logits(p, toxicity.corpus(texts, [0] * 9)) == pytest.approx(both, abs=1e-4)
+
+
+def test_first_look_finds_the_telling_words():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(40)) for _ in range(60)]
+    texts[:15] = [t[:30] + "vile " + t[30:] for t in texts[:15]]
+    w = toxicity.corpus(texts, [1] * 15 + [0] * 45)
+    found = toxicity._first_look(w, np.ones(60, dtype=bool))
+    for i in range(15):
+        at = np.flatnonzero(w.text == i)
+        best = w.first[at[np.argmax(found[at])]] - w.tokens.edges[i]
+        assert "vile" in texts[i].split()[best : best + toxicity.WINDOW]
+
+
+def test_one_text_of_an_id_is_learned_from(spark, monkeypatch):
+    """3,000 documents share an id; of each id one text reaches the driver, whatever the order of the rows."""
+    rows = [(1, f"text {i % 7}") for i in range(3_000)] + [(i, f"other text {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, label int")
+    few = replace(TRAINING, rows_per_class=10)
+    seen = []
+    collect = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: seen.append(collect(df)) or seen[-1])
+    subword.fit(docs, labels, FEATURES, few)
+    toxicity.training_corpus(docs, labels, few)
+    assert [t.num_rows for t in seen] == [20, 20]
+    each = subword.one_text_each(docs, labels).collect()
+    assert len(each) == 59
+    again = subword.one_text_each(docs.repartition(3), labels).collect()
+    assert {tuple(r) for r in each} == {tuple(r) for r in again}
+
+
+@pytest.mark.parametrize("most", [1, 600, 1_500, 5_000])
+def test_least_hashes_of_each_group(spark, most):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 40 == 0, "b").otherwise("a").alias("label"))
+    found = common.least_of_each(rows, "label", "doc_id", most)
+    hashed = rows.withColumn("h", F.xxhash64("doc_id")).collect()
+    want = set()
+    for label in "ab":
+        want |= {r.doc_id for r in sorted((r.h, r) for r in hashed if r.label == label)[:most] for r in [r[1]]}
+    assert {r.doc_id for r in found.collect()} == want
+    text = found._jdf.queryExecution().toString()
+    assert "Window" not in text  # no task sorts a whole class
+    assert common.least_of_each(rows.limit(0), "label", "doc_id", most).count() == 0
+
+
+def test_acceptance_lets_through_its_share():
+    model = subword.Model(["a"], FEATURES, np.zeros((1, 1)), np.zeros(1), 1.0, tuple(np.linspace(0.5, 1, 101)))
+    bound = language.acceptance(model, 0.9)
+    assert sum(x >= bound for x in model.confident) == 91
+    assert language.acceptance(replace(model, confident=())) == 0.0
 
 
 def test_toxicity_on_held_out_rows(spark):
