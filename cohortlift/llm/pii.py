@@ -8,7 +8,11 @@ information content, both estimated from document counts over the whole corpus:
 
 n(t, e) counts documents that hold both, however far apart, n(t) and n(e) those with t or e. A term that
 occurs with e alone has share 1 and is removed; one above the threshold is generalised, both wherever they
-stand in the documents that hold e.
+stand in the documents that hold e. A pair counts only if it is in ``support`` documents that amount to ``evidence``.
+
+Most entities are in one or two documents, which say too little. So what entities have in common, the domain of
+addresses and the network of ips, is protected likewise: a name that recurs beside addresses of one domain, each
+of them rare, is found by their domain.
 
 Everything is DataFrame expressions. Defined results: a null text is empty; equal rows (id and text)
 count as one document in the estimates and each get their spans; ids may be null or repeated.
@@ -33,6 +37,7 @@ from cohortlift.llm.spans import (
     redact,
     spans_if,
 )
+from cohortlift.operators.joins import fits_broadcast
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM_KINDS = ["remove", "general"]
@@ -62,6 +67,9 @@ class Disclosure:
     share: float = 0.9
     #: Documents in which both must occur together; fewer say nothing about how they relate.
     support: int = 3
+    #: What these documents must amount to: their number times the information (in nats) that one has the entity.
+    #: Of terms and entities that have nothing to do with each other one in ten thousand reaches it by chance.
+    evidence: float = 9.2
 
 
 def digits(text: Column) -> Column:
@@ -97,6 +105,18 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
+def _group(span: Column) -> Column:
+    """What an entity shares with others of its owner: the domain of an address, the network of an ip."""
+    email, ip = span["kind"] == "email", span["kind"] == "ip"
+    domain = F.concat(F.lit("domain:"), F.lower(F.substring_index(span["hit"], "@", -1)))
+    return F.when(email, domain).when(ip, F.concat(F.lit("network:"), F.substring_index(span["hit"], ".", 3)))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is measured to be small in rows and bytes."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
 def blanked(text: Column, spans: Column) -> Column:
     """``text`` with spaces for its spans, in the order of start, so that all else keeps its place."""
 
@@ -123,11 +143,12 @@ def terms_of(text: Column) -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, base, entities, rest): base spans, their entities, and the text without them."""
+    """(doc_id, row, base, entities, rest): base spans, their entities and groups, and the text without them."""
     text = whole_text()
     found = docs.select("doc_id", row_key().alias("row"), text.alias("t"), base_spans(text).alias("base"))
     rest = F.when(F.size("base") > 0, blanked(F.col("t"), by_start(F.col("base"), KINDS)))
-    entities = F.array_distinct(F.transform("base", _entity))
+    groups = F.array_compact(F.transform("base", _group))
+    entities = F.array_distinct(F.concat(F.transform("base", _entity), groups))
     return found.select("doc_id", "row", "base", entities.alias("entities"), rest.alias("rest"))
 
 
@@ -135,7 +156,7 @@ def known_entities(base: DataFrame, rule: Disclosure, scratch: Scratch) -> DataF
     """(row, entity, n_entity) of the entities in at least ``support`` distinct rows."""
     held = scratch.write(base.select("row", F.explode("entities").alias("entity")).distinct(), "held")
     counts = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    counts = within(scratch.write(counts.where(F.col("n_entity") >= rule.support), "entities"))
+    counts = _small(scratch.write(counts.where(F.col("n_entity") >= rule.support), "entities"))
     return scratch.write(held.join(counts, "entity").select("row", "entity", "n_entity"), "known")
 
 
@@ -156,22 +177,23 @@ def disclosures(
     # the corpus.
     near = rows.select("row", F.explode(terms_of(F.col("rest"))).alias("term"))
     counts = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    most = known.agg(F.max("n_entity").alias("n_entity"))
-    counts = counts.where(F.col("n_near") >= rule.support).crossJoin(F.broadcast(most))
+    most = F.lit(known.agg(F.max("n_entity")).first()[0]).cast("bigint")
+    counts = counts.where(F.col("n_near") >= rule.support).withColumn("n_entity", most)
     at_most = share("n_near", "n_entity") >= rule.share - 1e-9
     # For all but the entities of more than a third of the documents, a greater count allows more.
     often = F.col("n_entity") * 3 > n
-    counts = within(scratch.write(counts.where(at_most | often).select("term", "n_near"), "counts"))
+    counts = _small(scratch.write(counts.where(at_most | often).select("term", "n_near"), "counts"))
     together = (
         near.join(counts, "term")
-        .join(within(known), "row")
+        .join(_small(known), "row")
         .where(at_most)
         .groupBy("entity", "term", "n_entity", "n_near")
         .agg(F.count(F.lit(1)).alias("n_both"))
-        .where((F.col("n_both") >= rule.support) & (share("n_near") >= rule.share))
+        .where((F.col("n_both") >= rule.support) & (F.col("n_both") * information >= rule.evidence))
+        .where(share("n_near") >= rule.share)
     )
     together = scratch.write(together, "together")
-    terms = within(scratch.write(together.select("term").distinct(), "terms"))
+    terms = _small(scratch.write(together.select("term").distinct(), "terms"))
     in_docs = (
         docs.select(F.explode(terms_of(whole_text())).alias("term"))
         .join(terms, "term", "left_semi")
@@ -209,12 +231,12 @@ def sanitise(docs: DataFrame, scratch: Scratch, rule: Disclosure = Disclosure())
     rows = base.where(F.size("base") > 0).select("row", "rest").join(of_rows, "row", "left_semi")
     rows = scratch.write(rows.dropDuplicates(["row"]), "rows")
     told = disclosures(docs, rows, known, base.count(), rule, scratch)
-    told = within(scratch.write(told, "told"))
+    told = _small(scratch.write(told, "told"))
     kind = F.when(F.max("share") >= 1 - 1e-9, "remove").otherwise("general")
     kinds = (
         rows.select("row", F.explode(words_of(F.col("rest"))).alias("hit"))
         .join(told.withColumnRenamed("term", "t"), F.lower("hit") == F.col("t"))
-        .join(within(known), ["row", "entity"])
+        .join(_small(known), ["row", "entity"])
         .groupBy("row", "hit")
         .agg(kind.alias("kind"))
         .groupBy("row")

@@ -130,6 +130,23 @@ def test_base_spans_match_brute_force(spark):
     assert {r["doc_id"]: r["s"] for r in rows} == {i: _pii_spans(t) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("shared", ["address", "domain"])
+def test_planted_names_are_found_from_three_rows_on(spark, shared):
+    """Names beside one address, or beside addresses of one domain, in 1, 2, 3 and 10 of 400 rows; others stay."""
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(300)]
+    texts = []
+    for rows in (1, 2, 3, 10):
+        for i in range(rows):
+            address = f"desk@firm{rows}.org" if shared == "address" else f"desk{i}{rows}@firm{rows}.org"
+            texts.append(f"{' '.join(rng.sample(words, 40))} Name{rows} wrote from {address} {' '.join(rng.sample(words, 40))}")
+    texts += [f"{' '.join(rng.sample(words, 80))} a{i}@big.example.com" for i in range(130)]
+    texts += [" ".join(rng.sample(words, 80)) for _ in range(400 - len(texts))]
+    found = pii.sanitise(_docs(spark, texts), Scratch(spark, "t")).collect()
+    terms = {(s["hit"], s["kind"]) for r in found for s in r["spans"] if s["kind"] in pii.TERM_KINDS}
+    assert terms == {("Name3", "remove"), ("Name10", "remove")}
+
+
 def test_terms_that_disclose_an_entity(spark):
     told = ["Contact Zanzibar at boss@x.org today"] * 4
     texts = [f"{t} number {i}" for i, t in enumerate(told)] + [f"today contact nobody {i}" for i in range(60)]
@@ -188,13 +205,16 @@ def test_disclosing_terms_match_brute_force(spark):
     plain = [{w.lower() for w in word.findall(t)} for t in texts]
     near = [{w.lower() for w in word.findall(t)} for t in outside]
     holds = [{e for e in entities if e in t.split()} for t in texts]
+    group = {e: "@q.org" if "@" in e else "10.0.0" for e in entities}  # domain and network
+    holds = [h | {group[e] for e in h} for h in holds]
     n, told = len(texts), {}
-    for e in entities:
+    for e in [*entities, "@q.org", "10.0.0"]:
         mine = [i for i in range(n) if e in holds[i]]
         for t in set().union(*(near[i] for i in mine)) if mine else ():
             both = sum(t in near[i] for i in mine)
             share = math.log(n * both / (sum(t in p for p in plain) * len(mine))) / math.log(n / len(mine))
-            if both >= rule.support and share >= rule.share:
+            known = both * math.log(n / len(mine)) >= rule.evidence
+            if both >= rule.support and known and share >= rule.share:
                 told[e, t] = share
     assert told
     for i in range(n):
