@@ -37,7 +37,7 @@ from cohortlift.llm.subword import (
 )
 
 #: Words of a window; one starts at every word that has as many after it.
-WINDOW = 8
+WINDOW = 6
 GRAMS = (3, 4)
 BUCKETS = 1 << 15
 WORD_SIZE = GRAM_SIZE = 8
@@ -83,8 +83,8 @@ def tokens(texts: list[str]) -> Tokens:
     mask = np.uint32(BUCKETS - 1)
     begins = np.zeros(len(codes), dtype=bool)
     begins[at] = True
-    number = np.cumsum(begins) - 1
-    type_of = np.full(len(at) + 1, -1)  # of a word, if it is the first of its type
+    number = np.cumsum(begins, dtype=np.int32) - 1
+    type_of = np.full(len(at) + 1, -1, dtype=np.int32)  # of a word, if it is the first of its type
     type_of[first] = np.arange(len(first))
     grams, owner = [], []
     for n in GRAMS:
@@ -175,8 +175,21 @@ def _inputs(p: Params, t: Tokens) -> np.ndarray:
     return np.concatenate([p["word"][t.words], gram_means(p["gram"], t.grams, t.owner, len(t.words))], axis=1)
 
 
+#: What inputs of gates and of new states are multiplied by, for :func:`_logistic`.
+_FOLD = np.repeat(np.array([-1, -1, -2], dtype=np.float32), HIDDEN)
+
+
+def _logistic(x: np.ndarray) -> None:
+    """The logistic function of ``-x``, in place; exp(88) and more is infinite, and its share 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 def _slide(p: Params, forth: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
-    """The logits of the ``n`` whole windows over a run of words, from what the units take of each (units, word).
+    """The logits of the ``n`` whole windows over a run of words, from what the units take of each (units, word),
+    times ``_FOLD``.
 
     At each step all windows are at consecutive words, so that a step is a slice.
     """
@@ -185,21 +198,32 @@ def _slide(p: Params, forth: np.ndarray, back: np.ndarray, n: int) -> np.ndarray
     value = np.zeros((WINDOW, n), dtype=np.float32)
     for i, (taken, steps) in enumerate(((forth, range(WINDOW)), (back, range(WINDOW - 1, -1, -1)))):
         side = "fb"[i]
-        u = np.ascontiguousarray(p[f"u_{side}"].T)
-        att = np.ascontiguousarray(p["att"][i * h : (i + 1) * h].T)
-        out = p["out"][i * h : (i + 1) * h]
+        # One product gives what the next step takes of a state, and what attention and the last unit do.
+        own = (p[f"u_{side}"] * _FOLD).T
+        of_state = np.vstack([own, p["att"][i * h : (i + 1) * h].T, p["out"][i * h : (i + 1) * h]]).astype(np.float32)
         state = np.zeros((h, n), dtype=np.float32)
+        seen = np.zeros((len(of_state), n), dtype=np.float32)
         for t in steps:
             x = taken[:, t : t + n]
-            step = u @ state
-            gates = _sigmoid(x[: 2 * h] + step[: 2 * h])
-            new = np.tanh(x[2 * h :] + gates[h:] * step[2 * h :])
-            state = new + gates[:h] * (state - new)
-            energy[t] += att @ state
-            value[t] += out @ state
-    energy += p["att_b"][:, None]
-    weight = np.einsum("thn,h->tn", np.tanh(energy), p["att_v"])
-    weight = np.exp(weight - weight.max(axis=0))
+            gates, new = seen[: 2 * h], seen[2 * h : 3 * h]
+            gates += x[: 2 * h]
+            _logistic(gates)
+            new *= gates[h:]
+            new += x[2 * h :]
+            _logistic(new)  # of twice its argument, so that this is the hyperbolic tangent
+            new *= 2
+            new -= 1
+            state -= new
+            state *= gates[:h]
+            state += new
+            np.matmul(of_state, state, out=seen)
+            energy[t] += seen[3 * h : 4 * h]
+            value[t] += seen[4 * h]
+    energy += p["att_b"][:, None].astype(np.float32)
+    np.tanh(energy, out=energy)
+    weight = np.matmul(p["att_v"].astype(np.float32), energy)
+    weight -= weight.max(axis=0)
+    np.exp(weight, out=weight)
     return (weight * value).sum(axis=0) / weight.sum(axis=0) + p["out_b"][0]
 
 
@@ -222,13 +246,13 @@ def window_logits(p: Params, t: Tokens, inputs: np.ndarray | None = None) -> np.
     if not long.any():
         return found
     types = t.types if long.all() else t.types[np.repeat(long, size)]
-    taken = {s: (inputs @ p[f"x_{s}"] + p[f"x_b_{s}"]).T.astype(np.float32, copy=False) for s in "fb"}
+    taken = {s: ((inputs @ p[f"x_{s}"] + p[f"x_b_{s}"]) * _FOLD).astype(np.float32, copy=False) for s in "fb"}
     all_ = len(types) - WINDOW + 1
     slid = np.empty(all_, dtype=np.float32)
     for a in range(0, all_, BATCH_WINDOWS):
         n = min(BATCH_WINDOWS, all_ - a)
         here = types[a : a + n + WINDOW - 1]
-        slid[a : a + n] = _slide(p, taken["f"][:, here], taken["b"][:, here], n)
+        slid[a : a + n] = _slide(p, *(np.ascontiguousarray(taken[side][here].T) for side in "fb"), n)
     ends = np.cumsum(size[long])
     whole = np.ones(len(types), dtype=bool)
     for k in range(1, WINDOW):
